@@ -90,7 +90,7 @@ def mark_baseline(listings: DataFrame, first_runs: DataFrame) -> DataFrame:
 
     ``first_runs(source, first_run)``, one row per feed.
     """
-    joined = lookup(listings, first_runs, "source")
+    joined = lookup(listings, first_runs, "source", derived=True)
     return joined.withColumn(
         "is_baseline", F.coalesce(F.col("first_seen") <= F.col("first_run"), F.lit(False))
     ).drop("first_run")

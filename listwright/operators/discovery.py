@@ -135,7 +135,7 @@ def pagination_cut(stubs: DataFrame, pages: DataFrame) -> DataFrame:
 def discovered(stubs: DataFrame, pages: DataFrame) -> DataFrame:
     """The stubs a page-by-page crawl would have kept: first occurrences before the cut."""
     first = first_seen_rows(stubs, "page_no", "pos")
-    kept = lookup(first, pagination_cut(stubs, pages), "source")
+    kept = lookup(first, pagination_cut(stubs, pages), "source", derived=True)
     return kept.filter(F.col("cut").isNull() | (F.col("page_no") < F.col("cut"))).drop("cut")
 
 
@@ -169,7 +169,7 @@ def coverage(
     asked for. With ``missing_page_ends`` a 404 is the regular end of a listing, else it
     makes coverage partial. The next checkpoint is the first page not fetched.
     """
-    asked = lookup(pages, cuts, "source").filter(
+    asked = lookup(pages, cuts, "source", derived=True).filter(
         F.col("cut").isNull() | (F.col("page_no") <= F.col("cut"))
     )
     ok = F.col("http_status") == 200

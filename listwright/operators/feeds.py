@@ -9,6 +9,7 @@ from listwright.functions import text as X
 from listwright.functions.joins import lookup
 from listwright.functions.ordered import failure_streak
 from listwright.schemas import SOURCES, conform
+from listwright.session import settle
 
 
 def seed_sources(sources: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -73,10 +74,10 @@ def apply_runs(sources: DataFrame, runs: DataFrame) -> DataFrame:
     the shuffle, so a feed with very many runs is no burden.
     """
     at = F.struct("ts", "seq")
-    last = runs.groupBy("source").agg(
+    last = settle(runs.groupBy("source").agg(
         F.max(F.struct("ts", "seq", "ok", "discovered", "checkpoint", "coverage_complete")).alias("_last"),
         F.max(F.when(F.col("ok"), at)).alias("_won"),
-    )
+    ))
     after = (
         lookup(runs.filter(~F.col("ok")), last.select("source", "_won"), "source")
         .filter(F.col("_won").isNull() | (at > F.col("_won")))
