@@ -15,43 +15,69 @@ OVERLAID = ("title", "location_state", "location_suburb", "sector_raw", "broker_
 STATUS_WORDS = r"(?i)(sold|under contract|off market)"
 
 
-def _with_lines(pages: DataFrame, html: str) -> DataFrame:
-    # One stripped copy per page; the captures below all read it.
-    return pages.withColumn("_lines", X.text_lines(F.col(html)))
+# A place is looked for at the start of a run of letters only; trying every letter of the
+# run would cost its length squared.
+_RUN = r"(?<![A-Za-z ])[A-Za-z ]++"
+PLACE_LABELLED = r"(?:Location|State)[: \n]+[A-Za-z ]+, *[A-Za-z ]+"
+PLACE_PLAIN = rf"{_RUN}, *(?:{'|'.join(C.STATE_NAMES)}) *\d{{4}}"
+CATEGORY = r"Business Category\s+([^\n]+)"
+
+
+def _read(pages: DataFrame, html: str, wordings: dict[str, Column]) -> DataFrame:
+    """Pages with the wordings found in their text; each page is stripped once and each
+    pattern run once, in projections of their own."""
+    lined = pages.withColumn("_lines", X.text_lines(F.col(html)))
+    return lined.withColumns(wordings).drop("_lines")
 
 
 def _head(value: Column, chars: int | None) -> Column:
     return value if chars is None else F.left(value, F.lit(chars))
 
 
-def _disclosed(value: Column) -> Column:
-    return F.nullif(X.trim_ws(value), F.lit("Not disclosed"))
+def _said(name: str) -> Column:
+    trimmed = F.trim(F.col(name))
+    return F.when(trimmed != "", trimmed)
+
+
+def _disclosed(name: str) -> Column:
+    return F.when(F.trim(F.col(name)) != "Not disclosed", _said(name))
+
+
+def _suburb(place: Column) -> Column:
+    named = F.trim(F.regexp_extract(place, r"(?:(?:Location|State)[: \n]+)?([A-Za-z ]+),", 1))
+    return F.when(named != "", named)
+
+
+def _state(place: Column) -> Column:
+    named = F.trim(F.regexp_extract(place, r", *([A-Za-z ]+)", 1))
+    return X.normalise_state(F.when(named != "", named))
 
 
 def card_details(pages: DataFrame, html: str = "html") -> DataFrame:
     """Fields of a labelled detail page ("Asking Price:", "Sales revenue:", ...)."""
     t = F.col("_lines")
-    place = r"(?:Location|State)[: \n]+([A-Za-z ]+), *([A-Za-z ]+) *\d*"
-    state = X.trim_ws(X.found(t, place, 2))
-    return (
-        _with_lines(pages, html)
-        .withColumns(
-            {
-                "title": X.h1_plain(F.col(html)),
-                "location_state": X.normalise_state(state),
-                "location_suburb": X.trim_ws(X.found(t, place, 1)),
-                "sector_raw": X.trim_ws(X.found(t, r"Business Category\s+([^\n]+)")),
-                "broker_name": X.trim_ws(
-                    X.found(t, r"(?:Broker|Agent|Listed by)[: \n]+([A-Za-z ]+?) *(?:\n|Email|Phone|Mobile|<|$)")
-                ),
-                "asking_price": X.parse_money(X.found(t, r"Asking Price:\s*\$?([\d,]+)")),
-                "revenue_raw": X.trim_ws(X.found(t, r"Sales revenue\s*:\s*([^\n]+)")),
-                "profit_raw": X.trim_ws(X.found(t, r"Net profit\s*:\s*([^\n]+)")),
-                "advertised_status": F.lit(None).cast("string"),
-            }
-        )
-        .drop("_lines", html)
-    )
+    wordings = {
+        "_place": F.regexp_extract(t, PLACE_LABELLED, 0),
+        "_sector": F.regexp_extract(t, CATEGORY, 1),
+        "_broker": F.regexp_extract(
+            t, r"(?:Broker|Agent|Listed by)[: \n]+([A-Za-z ]+?) *(?:\n|Email|Phone|Mobile|<|$)", 1
+        ),
+        "_price": F.regexp_extract(t, r"Asking Price:\s*\$?([\d,]+)", 1),
+        "_revenue": F.regexp_extract(t, r"Sales revenue\s*:\s*([^\n]+)", 1),
+        "_profit": F.regexp_extract(t, r"Net profit\s*:\s*([^\n]+)", 1),
+    }
+    fields = {
+        "title": X.h1_plain(F.col(html)),
+        "location_state": _state(F.col("_place")),
+        "location_suburb": _suburb(F.col("_place")),
+        "sector_raw": _said("_sector"),
+        "broker_name": _said("_broker"),
+        "asking_price": X.parse_money(F.col("_price")),
+        "revenue_raw": _said("_revenue"),
+        "profit_raw": _said("_profit"),
+        "advertised_status": F.lit(None).cast("string"),
+    }
+    return _read(pages, html, wordings).withColumns(fields).drop(*wordings, html)
 
 
 def item_details(
@@ -63,31 +89,30 @@ def item_details(
     first dollar amount and for a status banner to the head of the page.
     """
     t = F.col("_lines")
-    names = "|".join(C.STATE_NAMES)
-    place = rf"([A-Za-z ]+), *({names}) *\d{{4}}"
-    broker = X.trim_ws(
-        X.found(t, r"(?:Private Seller|Business Broker|Broker)[ \n:]+([A-Za-z ]+?) *(?:\n|Phone|Email|Mobile|$)")
-    )
-    named = F.when(broker.isNotNull() & ~F.contains(broker, F.lit("Broker")), broker)
-    return (
-        _with_lines(pages, html)
-        .withColumns(
-            {
-                "title": X.h1_decoded(F.col(html)),
-                "location_state": X.normalise_state(X.found(t, place, 2)),
-                "location_suburb": X.trim_ws(X.found(t, place, 1)),
-                "sector_raw": X.trim_ws(X.found(t, r"Business Category\s+([^\n]+)")),
-                "broker_name": F.coalesce(
-                    named, F.when(F.contains(t, F.lit("Private Seller")), F.lit("Private Seller"))
-                ),
-                "asking_price": X.parse_money(X.found(_head(t, price_chars), r"\$([\d,]+)(?:\s|$|\+)")),
-                "revenue_raw": _disclosed(X.found(t, r"Turnover:\s*([^\n]+)")),
-                "profit_raw": _disclosed(X.found(t, r"Net Profit:\s*([^\n]+)")),
-                "advertised_status": F.lower(X.found(_head(t, status_chars), STATUS_WORDS)),
-            }
-        )
-        .drop("_lines", html)
-    )
+    broker = r"(?:Private Seller|Business Broker|Broker)[ \n:]+([A-Za-z ]+?) *(?:\n|Phone|Email|Mobile|$)"
+    wordings = {
+        "_place": F.regexp_extract(t, PLACE_PLAIN, 0),
+        "_sector": F.regexp_extract(t, CATEGORY, 1),
+        "_broker": F.regexp_extract(t, broker, 1),
+        "_private": F.contains(t, F.lit("Private Seller")),
+        "_price": F.regexp_extract(_head(t, price_chars), r"\$([\d,]+)(?:\s|$|\+)", 1),
+        "_revenue": F.regexp_extract(t, r"Turnover:\s*([^\n]+)", 1),
+        "_profit": F.regexp_extract(t, r"Net Profit:\s*([^\n]+)", 1),
+        "_status": F.regexp_extract(_head(t, status_chars), STATUS_WORDS, 1),
+    }
+    named = F.when(~F.contains("_broker", F.lit("Broker")), _said("_broker"))
+    fields = {
+        "title": X.h1_decoded(F.col(html)),
+        "location_state": _state(F.col("_place")),
+        "location_suburb": _suburb(F.col("_place")),
+        "sector_raw": _said("_sector"),
+        "broker_name": F.coalesce(named, F.when(F.col("_private"), F.lit("Private Seller"))),
+        "asking_price": X.parse_money(F.col("_price")),
+        "revenue_raw": _disclosed("_revenue"),
+        "profit_raw": _disclosed("_profit"),
+        "advertised_status": F.lower(_said("_status")),
+    }
+    return _read(pages, html, wordings).withColumns(fields).drop(*wordings, html)
 
 
 def overlay(listings: DataFrame, details: DataFrame, on: str = "id") -> DataFrame:

@@ -40,11 +40,6 @@ def as_string(value: Column) -> Column:
     return F.nullif(F.nullif(trimmed, F.lit("")), F.lit("null"))
 
 
-def as_customer_type(value: Column) -> Column:
-    text = as_string(value)
-    return F.when(text.isin("B2B", "B2C", "mixed"), text)
-
-
 def round_tenth(value: Column) -> Column:
     return F.floor(value * 10 + 0.5) / 10
 
@@ -62,57 +57,47 @@ def advertised_multiple(price: Column, ebitda: Column, supplied: Column) -> Colu
 
 
 def parse_responses(df: DataFrame, response: str = "response", price: str = "asking_price") -> DataFrame:
-    """Add a ``facts`` struct and ``parse_failed``; an unreadable reply gives the failure record."""
+    """Add a ``facts`` struct and ``parse_failed``; an unreadable reply gives the failure record.
+
+    The steps are projections of their own, so each reply is parsed and each field is read
+    once however often it is used.
+    """
     # Read as the only element of an array: anything behind the object makes it unreadable.
     boxed = F.concat(F.lit("["), json_island(F.col(response)), F.lit("]"))
     parsed = df.withColumn("_json", F.try_parse_json(boxed))
-
-    failed = F.col("_json").isNull() | F.try_variant_get("_json", "$[1]", "variant").isNotNull()
+    alone = F.try_variant_get("_json", "$[1]", "variant").isNull()
+    parsed = parsed.withColumn("_json", F.when(alone, F.col("_json")))
 
     def raw(field: str) -> Column:
-        return F.when(~failed, F.try_variant_get("_json", f"$[0].{field}", "string"))
+        return F.try_variant_get("_json", f"$[0].{field}", "string")
 
     flag = F.try_variant_get("_json", "$[0].claimed_recurring", "variant")
-    strict = (
-        ~failed
-        & (F.schema_of_variant(flag) == "BOOLEAN")
-        & F.try_variant_get("_json", "$[0].claimed_recurring", "boolean")
-    )
-    values = {name: X.leading_int(raw(name), kind) for name, kind in NUMBERS.items()}
-    values |= {name: as_string(raw(name)) for name in STRINGS}
-    values["asking_multiple"] = advertised_multiple(
-        F.col(price), values["ebitda"], X.leading_float(raw("asking_multiple"))
+    strict = (F.schema_of_variant(flag) == "BOOLEAN") & F.try_variant_get(
+        "_json", "$[0].claimed_recurring", "boolean"
     )
-    values["customer_type"] = as_customer_type(raw("customer_type"))
-    values["claimed_recurring"] = F.coalesce(strict, F.lit(False))
-    values["description_summary"] = F.when(failed, F.lit(C.SUMMARY_FAILED)).otherwise(
-        F.coalesce(as_string(raw("description_summary")), F.lit(C.SUMMARY_MISSING))
-    )
-    values["sector_classification"] = F.coalesce(
-        as_string(raw("sector_classification")), F.lit(C.UNKNOWN_SECTOR)
+    texts = ("description_summary", "sector_classification", "customer_type", *STRINGS)
+    read = {f"_{name}": X.leading_int(raw(name), kind) for name, kind in NUMBERS.items()}
+    read |= {f"_{name}": as_string(raw(name)) for name in texts}
+    read["_asking_multiple"] = X.leading_float(raw("asking_multiple"))
+    read["_claimed_recurring"] = F.coalesce(strict, F.lit(False))
+    read["parse_failed"] = F.col("_json").isNull()
+    parsed = parsed.withColumns(read).drop("_json")
+
+    values = {name[1:]: F.col(name) for name in read if name != "parse_failed"}
+    values["asking_multiple"] = advertised_multiple(F.col(price), F.col("_ebitda"), F.col("_asking_multiple"))
+    kind = F.col("_customer_type")
+    values["customer_type"] = F.when(kind.isin("B2B", "B2C", "mixed"), kind)
+    values["description_summary"] = F.when(F.col("parse_failed"), F.lit(C.SUMMARY_FAILED)).otherwise(
+        F.coalesce("_description_summary", F.lit(C.SUMMARY_MISSING))
     )
+    values["sector_classification"] = F.coalesce("_sector_classification", F.lit(C.UNKNOWN_SECTOR))
     facts = F.struct(*(values[f.name].cast(f.dataType).alias(f.name) for f in FACTS.fields))
-    return parsed.withColumn("facts", facts).withColumn("parse_failed", failed).drop("_json")
-
-
-# A dollar amount with an optional thousands/millions suffix.
-AMOUNT = r"\$ ?(\d[\d,]*(?:\.\d+)?) ?(million|m|k)?\b"
-
-
-def _labelled(label: str) -> str:
-    return rf"(?i)\b((?:{label})(?: of| is|:)? *(-?)" + AMOUNT + ")"
-
-
-def _amount(text: Column, label: str) -> Column:
-    pattern = _labelled(label)
-    digits = F.replace(F.regexp_extract(text, pattern, 3), F.lit(","), F.lit(""))
-    unit = F.lower(F.regexp_extract(text, pattern, 4))
-    scale = F.when(unit.isin("m", "million"), 1_000_000).when(unit == "k", 1_000).otherwise(1)
-    sign = F.when(F.regexp_extract(text, pattern, 2) == "-", -1).otherwise(1)
-    exact = F.nullif(digits, F.lit("")).try_cast("decimal(18,4)")
-    return F.floor(exact * scale * sign).cast("bigint")
+    dropped = [name for name in read if name != "parse_failed"]
+    return parsed.withColumn("facts", facts).drop(*dropped)
 
 
+# A labelled dollar amount with an optional thousands/millions suffix.
+LABELLED = r"(?i)\b(?:{label})(?: of| is|:)? *-?\$ ?\d[\d,]*(?:\.\d+)? ?(?:million|m|k)?\b"
 REVENUE = "(?:annual |sales )?(?:revenue|turnover)"
 EBITDA = "ebitda"
 PROFIT = "(?:net )?profit"
@@ -120,42 +105,81 @@ RECURRING = r"(?i)\b(?:contracts?|service agreements?|retainers?|subscriptions?|
 REASON = r"(?i)reason for (?:sale|selling)[: ]+([^.\n]+)"
 LEASE = r"(?i)(\d{1,2})[ -]years? lease"
 STAFF = r"(?i)(\d{1,4}) (?:full[- ]time |part[- ]time )?(?:staff|employees)"
+STATUS = r"(?i)\b(sold|under contract|off market)\b"
 CONSUMER = ("retail customers", "consumers", "households", "walk-in", "B2C")
 
 
+def _amount(wording: Column) -> Column:
+    """Whole dollars of a short wording such as "Turnover of $1.2m"."""
+    digits = F.replace(F.regexp_extract(wording, r"\$ ?(\d[\d,]*(?:\.\d+)?)", 1), F.lit(","), F.lit(""))
+    unit = F.lower(F.regexp_extract(wording, r"(?i)(million|m|k)$", 1))
+    scale = F.when(unit.isin("m", "million"), 1_000_000).when(unit == "k", 1_000).otherwise(1)
+    sign = F.when(wording.rlike(r"-\$"), -1).otherwise(1)
+    exact = F.when(digits != "", digits).try_cast("decimal(18,4)")
+    return F.floor(exact * scale * sign).cast("bigint")
+
+
 def text_facts(df: DataFrame, text: str = "text", price: str = "asking_price") -> DataFrame:
     """Add a ``facts`` struct read off the text by native patterns, whole text, no Python.
 
     Only stated values are taken: EBITDA where it is called that, any other profit stays
-    wording, and recurring income needs one of the explicit words.
+    wording, and recurring income needs one of the explicit words. A pattern runs only on
+    texts that hold one of its plain words, and each runs once: the wordings found are
+    columns of a projection of their own, and numbers are read off those.
     """
-    t = F.col(text)
-    low = F.lower(t)
-    b2b, b2c = X.has_any(low, C.B2B_WORDS, lowered=True), X.has_any(low, CONSUMER, lowered=True)
-    sector = F.coalesce(
-        *(F.when(X.has_any(low, words, lowered=True), F.lit(code)) for code, words in C.SECTOR_WORDS),
-        F.lit(C.UNKNOWN_SECTOR),
-    )
-    ebitda = _amount(t, EBITDA)
+    t, low = F.col(text), F.col("_low")
+
+    def gated(words, value: Column) -> Column:
+        return F.when(X.has_any(low, words, lowered=True), value)
+
+    def wording(label: str, *words: str) -> Column:
+        return gated(words, F.regexp_extract(t, LABELLED.format(label=label), 0))
+
+    found = {
+        "_revenue": wording(REVENUE, "revenue", "turnover"),
+        "_ebitda": wording(EBITDA, "ebitda"),
+        "_profit": wording(PROFIT, "profit"),
+        "_lease": gated(("lease",), F.regexp_extract(t, LEASE, 1)),
+        "_staff": gated(("staff", "employees"), F.regexp_extract(t, STAFF, 1)),
+        "_reason": gated(("reason for s",), F.regexp_extract(t, REASON, 1)),
+        "_years": gated(("year",), F.regexp_extract(t, C.TENURE_PATTERN, 1)),
+        "_status": gated(("sold", "under contract", "off market"), F.lower(F.regexp_extract(t, STATUS, 1))),
+        "_recurring": gated(
+            ("contract", "service agreement", "retainer", "subscription", "recurring revenue"),
+            t.rlike(RECURRING),
+        ),
+        "_b2b": X.has_any(low, C.B2B_WORDS, lowered=True),
+        "_b2c": X.has_any(low, CONSUMER, lowered=True),
+        "_sector": F.coalesce(
+            *(gated(words, F.lit(code)) for code, words in C.SECTOR_WORDS), F.lit(C.UNKNOWN_SECTOR)
+        ),
+    }
+    read = df.withColumn("_low", F.lower(text)).withColumns(found).drop("_low")
+
+    def said(name: str) -> Column:
+        return F.when(F.col(name) != "", F.col(name))
+
+    read = read.withColumns({"_revenue_n": _amount(F.col("_revenue")), "_ebitda_n": _amount(F.col("_ebitda"))})
+    b2b, b2c = F.col("_b2b"), F.col("_b2c")
     values = {
-        "revenue": _amount(t, REVENUE),
-        "revenue_raw": X.found(t, _labelled(REVENUE)),
-        "ebitda": ebitda,
-        "ebitda_raw": X.found(t, _labelled(EBITDA)),
-        "profit_unspecified_raw": X.found(t, _labelled(PROFIT)),
-        "asking_multiple": computed_multiple(F.col(price), ebitda),
-        "lease_years": X.found(t, LEASE).cast("int"),
-        "staff_count": X.found(t, STAFF).cast("int"),
-        "reason_for_sale": X.trim_ws(X.found(t, REASON)),
-        "years_established": X.found(t, C.TENURE_PATTERN).try_cast("int"),
+        "revenue": F.col("_revenue_n"),
+        "revenue_raw": said("_revenue"),
+        "ebitda": F.col("_ebitda_n"),
+        "ebitda_raw": said("_ebitda"),
+        "profit_unspecified_raw": said("_profit"),
+        "asking_multiple": computed_multiple(F.col(price), F.col("_ebitda_n")),
+        "lease_years": said("_lease").try_cast("int"),
+        "staff_count": said("_staff").try_cast("int"),
+        "reason_for_sale": X.trim_ws(said("_reason")),
+        "years_established": said("_years").try_cast("int"),
         "customer_type": F.when(b2b & b2c, "mixed").when(b2b, "B2B").when(b2c, "B2C"),
-        "claimed_recurring": F.coalesce(t.rlike(RECURRING), F.lit(False)),
+        "claimed_recurring": F.coalesce("_recurring", F.lit(False)),
         "description_summary": F.coalesce(X.squeeze(t), F.lit(C.SUMMARY_MISSING)),
-        "sector_classification": sector,
-        "advertised_status": F.lower(X.found(t, r"(?i)\b(sold|under contract|off market)\b")),
+        "sector_classification": F.col("_sector"),
+        "advertised_status": said("_status"),
     }
     facts = F.struct(*(values[f.name].cast(f.dataType).alias(f.name) for f in FACTS.fields))
-    return df.withColumn("facts", facts)
+    return read.withColumn("facts", facts).drop(*found, "_revenue_n", "_ebitda_n")
 
 
 def extract_with(

@@ -11,16 +11,21 @@ from listwright.plans import views as V
 from listwright.plans.registry import query
 from listwright.plans.views import sql_pick, with_views
 
+# White space the way the SQL side's regex engine spells it.
+WS = (
+    r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}"
+    r"\x{3000}\x{FEFF}]"
+)
 _NAMED = "replace(replace(replace(replace({}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')".format
 _BLOCKS = f"regexp_replace(regexp_replace(html, '{X.STYLE_BLOCK}', ' ', 'g'), '{X.SCRIPT_BLOCK}', ' ', 'g')"
 
 
 def _trim(x: str) -> str:
-    return f"regexp_replace({x}, '^{X.WS}+|{X.WS}+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def _squeeze(x: str) -> str:
-    return _trim(f"regexp_replace({x}, '{X.WS}+', ' ', 'g')")
+    return _trim(f"regexp_replace({x}, '{WS}+', ' ', 'g')")
 
 
 STRIP = _squeeze(_NAMED(f"regexp_replace({_BLOCKS}, '<[^>]+>', ' ', 'g')"))
