@@ -107,8 +107,7 @@ def parse_money(value: Column) -> Column:
 
 
 def normalise_state(value: Column) -> Column:
-    codes = F.create_map(*(F.lit(x) for pair in C.STATE_CODES.items() for x in pair))
-    return F.coalesce(F.try_element_at(codes, F.lower(value)), F.upper(value))
+    return F.coalesce(F.try_element_at(constant_map(C.STATE_CODES), F.lower(value)), F.upper(value))
 
 
 def content_hash(html: Column) -> Column:
@@ -172,14 +171,33 @@ def slug_state(slug: Column, page_state: Column) -> Column:
     return F.coalesce(named, F.upper(page_state))
 
 
-def has_any(value: Column, words, word_boundary: bool = False, lowered: bool = False) -> Column:
+def one_of(values) -> Column:
+    """A constant array of texts; folded when the plan is optimized."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
+def constant_map(pairs: dict[str, str]) -> Column:
+    text = "\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\x1e"), F.lit("\x1f"))
+
+
+def holds_any(column: str, words) -> Column:
+    """Does a named, already lower-cased column hold any of the words? Null holds none."""
+    quoted = (w.lower().replace("\\", "\\\\").replace("'", "\\'") for w in words)
+    tests = " OR ".join(f"contains({column}, '{w}')" for w in quoted)
+    return F.expr(f"coalesce({tests}, false)")
+
+
+def holds_word(column: str, words) -> Column:
+    """The same for whole words only."""
+    body = "|".join(re.escape(w.lower()) for w in words)
+    return F.coalesce(F.col(column).rlike(rf"(?:^|\W)(?:{body})(?:\W|$)"), F.lit(False))
+
+
+def has_any(value: Column, words) -> Column:
     """Does the text hold any of the words, ignoring case? Null or empty text holds none."""
-    low = value if lowered else F.lower(value)
-    if word_boundary:
-        body = "|".join(re.escape(w.lower()) for w in words)
-        hit = low.rlike(rf"(?:^|\W)(?:{body})(?:\W|$)")
-    else:
-        hit = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w.lower())) for w in words))
+    low = F.lower(value)
+    hit = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w.lower())) for w in words))
     return F.coalesce(hit, F.lit(False))
 
 

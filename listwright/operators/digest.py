@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import config as C
@@ -95,12 +93,16 @@ def financial_line() -> Column:
 
 
 def next_step() -> Column:
-    sector = F.lower(F.coalesce("sector_code", "sector_raw", F.lit("")))
-    rules = (
-        F.when(reduce(lambda a, b: a | b, (F.contains(sector, F.lit(w)) for w in words)), advice)
+    """Suggestion by sector; the first matching entry of the list wins."""
+    branches = " ".join(
+        "WHEN {} THEN {}".format(" OR ".join(f"contains(s, '{w}')" for w in words), f"'{advice}'")
         for words, advice in C.NEXT_STEPS
     )
-    return F.coalesce(*rules, F.lit(C.NEXT_STEP_DEFAULT))
+    sector = "lower(coalesce(sector_code, sector_raw, ''))"
+    # transform() names the lower-cased sector once for all branches.
+    return F.expr(
+        f"element_at(transform(array({sector}), s -> CASE {branches} ELSE '{C.NEXT_STEP_DEFAULT}' END), 1)"
+    )
 
 
 def _first_of(values: Column, k: int, label: str) -> Column:
@@ -150,11 +152,16 @@ def empty_reason(queue_size: Column, waiting: Column, covered: Column) -> Column
 
 
 def digest_text(
-    queue: DataFrame, health: DataFrame, date_label: str, title: str = "Listing digest",
-    size: int = C.DIGEST_SIZE, empty: str = EMPTY_REASONS["no_matches"], prefer_states: bool = False,
+    entries: DataFrame, sizes: DataFrame, health: DataFrame, date_label: str,
+    title: str = "Listing digest", size: int = C.DIGEST_SIZE,
+    empty: str = EMPTY_REASONS["no_matches"], prefer_states: bool = False,
 ) -> DataFrame:
-    """The digest as one text row. Only the ``size`` top entries and the feeds are gathered."""
-    entries = ranked(top_entries(queue, size, prefer_states), size, prefer_states)
+    """The digest as one text row.
+
+    ``entries`` are the top rows of the queue with all their columns, ``sizes`` its
+    ``backlog_size``. Only the entries and the per-feed health rows are gathered.
+    """
+    placed = ranked(entries, size, prefer_states)
     lines = F.array_sort(F.collect_list(F.struct("place", "section", entry_text().alias("text"))))
 
     def section(name: str, label: str) -> Column:
@@ -164,7 +171,7 @@ def digest_text(
             F.concat_ws("\n", F.lit(label), F.transform(rows, lambda x: x["text"])),
         )
 
-    body = entries.agg(lines.alias("lines")).select(
+    body = placed.agg(lines.alias("lines")).select(
         F.lit(1).alias("k"),
         F.when(F.size("lines") == 0, F.lit(empty)).otherwise(
             F.concat_ws(
@@ -174,7 +181,7 @@ def digest_text(
             )
         ).alias("body"),
     )
-    more = backlog_size(queue, size).select(
+    more = sizes.select(
         F.lit(1).alias("k"),
         F.when(
             F.col("backlog") > 0,

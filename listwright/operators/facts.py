@@ -127,10 +127,10 @@ def text_facts(df: DataFrame, text: str = "text", price: str = "asking_price") -
     texts that hold one of its plain words, and each runs once: the wordings found are
     columns of a projection of their own, and numbers are read off those.
     """
-    t, low = F.col(text), F.col("_low")
+    t = F.col(text)
 
     def gated(words, value: Column) -> Column:
-        return F.when(X.has_any(low, words, lowered=True), value)
+        return F.when(X.holds_any("_low", words), value)
 
     def wording(label: str, *words: str) -> Column:
         return gated(words, F.regexp_extract(t, LABELLED.format(label=label), 0))
@@ -148,8 +148,8 @@ def text_facts(df: DataFrame, text: str = "text", price: str = "asking_price") -
             ("contract", "service agreement", "retainer", "subscription", "recurring revenue"),
             t.rlike(RECURRING),
         ),
-        "_b2b": X.has_any(low, C.B2B_WORDS, lowered=True),
-        "_b2c": X.has_any(low, CONSUMER, lowered=True),
+        "_b2b": X.holds_any("_low", C.B2B_WORDS),
+        "_b2c": X.holds_any("_low", CONSUMER),
         "_sector": F.coalesce(
             *(gated(words, F.lit(code)) for code, words in C.SECTOR_WORDS), F.lit(C.UNKNOWN_SECTOR)
         ),

@@ -38,15 +38,13 @@ def sector_tier(sector: Column, wide: bool = False) -> Column:
 
 
 def sector_caution(sector: Column) -> Column:
-    cautions = F.create_map(*(F.lit(x) for pair in C.WATCHLIST.items() for x in pair))
-    return F.try_element_at(cautions, sector)
+    return F.try_element_at(X.constant_map(C.WATCHLIST), sector)
 
 
 def _flags(df: DataFrame, cfg: RuleConfig) -> DataFrame:
-    text = F.col("_text")
 
     def holds(words):
-        return X.has_any(text, words, cfg.word_boundary, lowered=True)
+        return X.holds_word("_text", words) if cfg.word_boundary else X.holds_any("_text", words)
 
     recurring = _yes(F.col("claimed_recurring"))
     stated = F.regexp_extract(F.coalesce(F.col("description"), F.lit("")), C.TENURE_PATTERN, 1).try_cast("bigint")

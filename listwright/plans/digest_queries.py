@@ -12,14 +12,14 @@ from listwright.plans import views as V
 from listwright.plans.registry import query
 from listwright.plans.rules_queries import _q
 from listwright.plans.views import with_views
-from listwright.session import prepare, work_dir
+from listwright.session import prepare, settle, work_dir
 from listwright.streaming import jobs
 
 _VIEWS = ("v_full", "v_activity")
 
 
 def _queue(spark, folder):
-    return digest.pending(V.full_listings(spark, folder), V.activity(spark, folder))
+    return digest.pending(V.listings(spark, folder), V.activity(spark, folder))
 
 
 def _day(column):
@@ -96,11 +96,12 @@ SELECT id, coalesce(array_to_string(list_filter(fit_reasons, lambda r: NOT (star
   coalesce(array_to_string(list_filter(fit_reasons, lambda r: starts_with(r, 'NDIS:')), ' | '), '') AS missing,
   coalesce(array_to_string(fit_reasons, '~'), '') AS round_trip FROM v_full""", "v_full"))
 def reason_split(spark, folder):
-    stored = X.decode_list(X.encode_list(F.col("fit_reasons")))
-    reasons, missing = X.split_reasons(stored)
-    return V.full_listings(spark, folder).select(
+    text = V.full_listings(spark, folder).select("id", X.encode_list(F.col("fit_reasons")).alias("text"))
+    stored = text.select("id", X.decode_list(F.col("text")).alias("stored"))
+    reasons, missing = X.split_reasons(F.col("stored"))
+    return stored.select(
         "id", F.array_join(reasons, " | ").alias("reasons"), F.array_join(missing, " | ").alias("missing"),
-        F.array_join(stored, "~").alias("round_trip"),
+        F.array_join("stored", "~").alias("round_trip"),
     )
 
 
@@ -126,7 +127,10 @@ SELECT '*Listing digest — 1999-07-01*' || chr(10) || h.line || chr(10) || chr(
 FROM h, n""", *_VIEWS, "v_feeds", "v_sources", "v_sightings", "v_listings"))
 def digest_text(spark, folder):
     label = spark.range(1).select(X.local_date(V.now()).alias("d")).first()["d"]
-    return digest.digest_text(_queue(spark, folder), S.merged_health(spark, folder), label)
+    queue = _queue(spark, folder)
+    top = settle(digest.top_entries(queue))
+    entries = V.with_facts(top, V.facts(spark, folder, keys=top.select("k")))
+    return digest.digest_text(entries, digest.backlog_size(queue), S.merged_health(spark, folder), label)
 
 
 def _line(label: str, value: str) -> str:
@@ -165,7 +169,8 @@ SELECT 'digest:1999-07-01:' || id AS event_key, 'digest' AS kind, {ENTRY} AS tex
 def digest_outbox(spark, folder):
     from listwright.operators.state import delivery_key
 
-    return digest.outbox(_queue(spark, folder), "digest", delivery_key(F.col("id"), V.now()), digest.entry_text())
+    queue = digest.pending(V.full_listings(spark, folder), V.activity(spark, folder))
+    return digest.outbox(queue, "digest", delivery_key(F.col("id"), V.now()), digest.entry_text())
 
 
 @query("local_dates", """

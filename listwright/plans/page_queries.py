@@ -274,7 +274,7 @@ def _by_state(df):
 @query("pagination_states")
 def pagination_states(spark, folder):
     stubs, pages = _by_state(V.feed_stubs(spark, folder)), _by_state(V.feed_pages(spark, folder))
-    found = discovery.discovered_by_state(stubs, pages)
+    found = discovery.discovered_by_state(stubs, pages, C.FEED_STATES[:5])
     return found.select("state", "source_listing_id", "page_no", "pos")
 
 

@@ -151,10 +151,9 @@ SELECT id, coalesce(regexp_matches(lower(description), '(?:^|\\W)(?:{'|'.join(w.
 def keyword_whole_words(spark, folder):
     from listwright.functions import text as X
 
-    text = F.col("description")
-    return V.rule_rows(spark, folder).select(
-        "id", X.has_any(text, C.LICENCE_WORDS, word_boundary=True).alias("licensed"),
-        X.has_any(text, C.LICENCE_WORDS).alias("licensed_substring"),
+    return V.rule_rows(spark, folder).withColumn("low", F.lower("description")).select(
+        "id", X.holds_word("low", C.LICENCE_WORDS).alias("licensed"),
+        X.holds_any("low", C.LICENCE_WORDS).alias("licensed_substring"),
     )
 
 

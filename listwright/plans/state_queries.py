@@ -206,7 +206,7 @@ UNION ALL SELECT event_key, listing_id, 'digest_delivery', 'pending' FROM n WHER
     "v_full", "v_activity"))
 def delivery_pending_insert(spark, folder):
     log = V.activity(spark, folder)
-    queue = digest.pending(V.full_listings(spark, folder), log)
+    queue = digest.pending(V.listings(spark, folder), log)
     after = state.record_pending(log, queue, V.now())
     return after.filter(F.col("event_type") == "digest_delivery").select("event_key", "listing_id", "event_type", "delivery_state")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright import config as C
+from listwright.functions.text import one_of
 from listwright.session import prepare
 
 NOW = "1999-06-30 20:00:00"
@@ -34,8 +35,23 @@ PHRASES = (
 TITLES = ("Business", "Franchise outlet", "Firm", "Practice", "Company", "Service", "Agency", "Trade business")
 
 
+# Column types of the given tables, so that no file has to be opened to plan a query.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    return prepare(spark).read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def now() -> Column:
@@ -47,7 +63,7 @@ def _sql_list(values) -> str:
 
 
 def pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(v) for v in values)), (index % len(values)).cast("int") + 1)
+    return F.element_at(one_of(values), (index % len(values)).cast("int") + 1)
 
 
 def sql_pick(values, index: str) -> str:
@@ -119,9 +135,14 @@ _SQL["v_listings"] = ((), f"""
   FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
 
 
-def facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items per order as extracted facts; an order without lines has none."""
+def facts(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
+    """Line items per order as extracted facts; an order without lines has none.
+
+    ``keys(k)``, a few rows, limits the work to the orders a report shows.
+    """
     li = table(spark, folder, "lineitem")
+    if keys is not None:
+        li = li.join(F.broadcast(keys.withColumnRenamed("k", "l_orderkey")), "l_orderkey", "left_semi")
     money = "decimal(18,2)"
     per = li.groupBy(F.col("l_orderkey").alias("k")).agg(
         F.sum(F.col("l_extendedprice").cast(money)).alias("s"),
@@ -192,12 +213,15 @@ _SQL["v_rules"] = (("v_listings", "v_facts", "v_desc"), """
 
 def full_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Stored listings with facts, as after extraction."""
-    f = facts(spark, folder).withColumnRenamed("sector", "sector_code")
+    return with_facts(listings(spark, folder), facts(spark, folder))
+
+
+def with_facts(stored: DataFrame, known: DataFrame) -> DataFrame:
+    f = known.withColumnRenamed("sector", "sector_code")
     price, ebitda = F.col("asking_price"), F.col("ebitda")
     ratio = F.when((price > 0) & (ebitda > 0), F.floor(F.try_divide(price.cast("double"), ebitda.cast("double")) * 10 + 0.5) / 10)
     return (
-        listings(spark, folder)
-        .join(f, "k", "left")
+        stored.join(f, "k", "left")
         .withColumns(
             {
                 "revenue_raw": F.when(F.col("revenue").isNotNull() & (F.col("k") % 8 != 0), F.concat(F.lit("$"), F.col("revenue").cast("string"), F.lit(" p.a."))),
