@@ -16,9 +16,9 @@ def cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per card of a page.
 
     A card starts at the tag holding its numeric id and ends where the next one starts. Its
-    link is the one that ends in the card's own number, wherever it stands around the card;
-    else the first one inside the card, else the first one shortly before it. A following
-    card is never borrowed from, and cards without any detail link are dropped.
+    link is the one that ends in the card's own number, wherever it stands around the card,
+    else the first one inside the card. A neighbour's link is never borrowed, and cards
+    without a detail link of their own are dropped.
     """
     page = F.col(html)
     starts = r'(?=<[^<>]*data-listing-id="\d+")'
@@ -40,26 +40,24 @@ def cards(pages: DataFrame, html: str = "html") -> DataFrame:
         first = F.greatest(at - C.CARD_CHARS_BEFORE, F.lit(1))
         own = F.left(piece, F.instr(piece, MARK) - 1 + C.CARD_CHARS_AFTER)
         around = F.substr(page, first, at - first + C.CARD_CHARS_AFTER)
-        before = F.substr(page, first, at - first)
         return F.struct(
             (i - 1).alias("pos"),
             F.regexp_extract(piece, MARK + r"(\d+)", 1).alias("source_listing_id"),
             own.alias("own"),
             around.alias("around"),
-            before.alias("before"),
         )
 
     per_card = F.filter(F.transform("_pieces", card), lambda c: c["pos"] >= 0)
     rows = located.withColumn("_card", F.explode(per_card)).drop("_pieces", "_ends", html)
     href = r'href="(' + C.CARD_DETAIL_PATH + r'[^"]+)"'
     label = 'aria-label="([^"]+)"'
-    own, around, before = (F.col(f"_card.{c}") for c in ("own", "around", "before"))
+    own, around = F.col("_card.own"), F.col("_card.around")
     number = F.col("_card.source_listing_id")
     numbered = F.filter(
         F.regexp_extract_all(around, F.lit(href), F.lit(1)),
         lambda h: F.endswith(h, F.concat(F.lit("-"), number, F.lit(".php"))),
     )
-    path = F.coalesce(F.get(numbered, F.lit(0)), X.found(own, href), X.found(before, href))
+    path = F.coalesce(F.get(numbered, F.lit(0)), X.found(own, href))
     # A label in the link's own tag counts even when the tag stands before the card.
     tags = F.regexp_extract_all(around, F.lit("(<a [^<>]*>)"), F.lit(1))
     link_tag = F.get(F.filter(tags, lambda t: F.contains(t, F.col("path"))), F.lit(0))
