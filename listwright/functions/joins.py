@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.session import settle
 
@@ -30,3 +30,9 @@ def top_rows(df: DataFrame, top: DataFrame, limit: int, on, how: str) -> DataFra
     """Join rows that a ``limit`` has bounded already."""
     return df.join(F.broadcast(top) if limit <= BROADCAST_ROWS else top, on, how)
 
+
+
+def spread(key: Column, *by) -> Column:
+    """A join key whose nulls are told apart, so that rows without a key, which match
+    nothing, do not all gather in one partition of an outer join."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*by).cast("string")))

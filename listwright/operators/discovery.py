@@ -16,39 +16,34 @@ def cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per card of a page.
 
     A card starts at the tag holding its numeric id and ends where the next one starts. Its
-    link is the one that ends in the card's own number, wherever it stands around the card,
-    else the first one inside the card. A neighbour's link is never borrowed, and cards
+    link is the one that ends in the card's own number, in the card or next to it, else the
+    first one inside the card. A neighbour's link is never borrowed, and cards
     without a detail link of their own are dropped.
     """
     page = F.col(html)
     starts = r'(?=<[^<>]*data-listing-id="\d+")'
-    pieces = F.split(page, starts)
-    # A page opening with a card gives no leading piece; an empty one keeps positions even.
-    opens = F.regexp_like(F.substring_index(page, ">", 1), F.lit(r'^<[^<>]*data-listing-id="\d+"'))
-    pieces = F.when(opens, F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
-    located = pages.withColumn("_pieces", pieces).withColumn(
-        "_ends",
-        F.aggregate(
-            "_pieces",
-            F.array(F.lit(0)),
-            lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))),
-        ),
-    )
+    split = F.split(page, starts)
+    # A page opening with a card gives no leading piece; an empty one keeps places even.
+    opens = F.substring_index(page, ">", 1).rlike(r'^<[^<>]*data-listing-id="\d+"')
+    pieces = F.when(opens, F.concat(F.array(F.lit("")), split)).otherwise(split)
 
     def card(piece: Column, i: Column) -> Column:
-        at = F.get("_ends", i) + F.instr(piece, MARK)  # 1-based place of the id attribute
-        first = F.greatest(at - C.CARD_CHARS_BEFORE, F.lit(1))
-        own = F.left(piece, F.instr(piece, MARK) - 1 + C.CARD_CHARS_AFTER)
-        around = F.substr(page, first, at - first + C.CARD_CHARS_AFTER)
+        mark = F.instr(piece, MARK)
+        tail = F.right(F.coalesce(F.get("_pieces", i - 1), F.lit("")), F.lit(C.CARD_CHARS_BEFORE))
+        ahead = F.concat(piece, F.coalesce(F.get("_pieces", i + 1), F.lit("")))
+        upto = mark - 1 + C.CARD_CHARS_AFTER
         return F.struct(
             (i - 1).alias("pos"),
             F.regexp_extract(piece, MARK + r"(\d+)", 1).alias("source_listing_id"),
-            own.alias("own"),
-            around.alias("around"),
+            F.left(piece, upto).alias("own"),
+            F.concat(tail, F.left(ahead, upto)).alias("around"),
         )
 
+    # Pieces are a column of their own, and each is read with its neighbours only, so the
+    # work grows with the page and not with cards times page.
+    cut = pages.withColumn("_pieces", pieces)
     per_card = F.filter(F.transform("_pieces", card), lambda c: c["pos"] >= 0)
-    rows = located.withColumn("_card", F.explode(per_card)).drop("_pieces", "_ends", html)
+    rows = cut.withColumn("_card", F.explode(per_card)).drop("_pieces", html)
     href = r'href="(' + C.CARD_DETAIL_PATH + r'[^"]+)"'
     label = 'aria-label="([^"]+)"'
     own, around = F.col("_card.own"), F.col("_card.around")

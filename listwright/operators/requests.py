@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
+from listwright.functions.joins import spread
 
 
 def by_url(listings: DataFrame) -> DataFrame:
@@ -22,14 +23,22 @@ def route_inspections(requests: DataFrame, listings: DataFrame) -> DataFrame:
     A request names an id or, failing that, a URL on a supported market. A URL nobody has
     listed yet is answered with the id its stub will get.
     """
+    named = F.nullif(F.col("listing_id"), F.lit(""))
+    url = F.nullif(F.col("url"), F.lit(""))
+    asked = requests.withColumns({"listing_id": named, "url": url}).withColumns(
+        {
+            "_id": spread(F.col("listing_id"), "url", "requested_at"),
+            "_url": spread(F.col("url"), "listing_id", "requested_at"),
+        }
+    )
     ids = listings.select(
-        F.col("id").alias("listing_id"), F.col("id").alias("i_id"),
+        F.col("id").alias("_id"), F.col("id").alias("i_id"),
         F.col("processing_state").alias("i_state"), F.col("last_fetched").alias("i_fetched"),
     )
-    named = F.nullif(F.col("listing_id"), F.lit(""))
-    url = F.nullif(F.col("url"), F.lit(""))
-    asked = requests.withColumns({"listing_id": named, "url": url})
-    joined = asked.join(ids, "listing_id", "left").join(by_url(listings), "url", "left")
+    # Only the URLs asked for are grouped; a small batch costs the store no shuffle.
+    wanted = asked.filter(F.col("url").isNotNull()).select(F.col("url").alias("canonical_url")).distinct()
+    urls = by_url(listings.join(wanted, "canonical_url", "left_semi")).withColumnRenamed("url", "_url")
+    joined = asked.join(ids, "_id", "left").join(urls, "_url", "left")
     with_id = F.col("listing_id").isNotNull()
     bad = ~with_id & (F.col("url").isNull() | ~X.is_market_url(F.col("url")))
     state = F.when(with_id, F.col("i_state")).otherwise(F.col("u_state"))
@@ -60,7 +69,8 @@ def route_inspections(requests: DataFrame, listings: DataFrame) -> DataFrame:
 
 def route_reviews(reviews: DataFrame, listings: DataFrame) -> DataFrame:
     """Each review request with ``verdict``: accepted, missing_fields, bad_action or not_found."""
-    known = listings.select(F.col("id").alias("listing_id"), F.lit(True).alias("_known"))
+    known = listings.select(F.col("id").alias("_id"), F.lit(True).alias("_known"))
+    asked = reviews.withColumn("_id", spread(F.col("listing_id"), "actor", "decided_at"))
     lacking = F.lit(False)
     for c in ("listing_id", "action", "actor"):
         lacking = lacking | (F.coalesce(F.col(c), F.lit("")) == "")
@@ -70,7 +80,7 @@ def route_reviews(reviews: DataFrame, listings: DataFrame) -> DataFrame:
         .when(F.col("_known").isNull(), "not_found")
         .otherwise("accepted")
     )
-    return reviews.join(known, "listing_id", "left").withColumn("verdict", verdict).drop("_known")
+    return asked.join(known, "_id", "left").withColumn("verdict", verdict).drop("_known", "_id")
 
 
 def listing_by_id(listings: DataFrame, listing_id: str) -> DataFrame:

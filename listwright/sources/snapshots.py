@@ -39,6 +39,16 @@ def read_latest(
     return spark.read.schema(schema).parquet(f"{root}/v={usable[-1]}")
 
 
+def read_range(
+    spark: SparkSession, root: str, schema: T.StructType, after: int, upto: int | None = None
+) -> DataFrame:
+    """All complete versions in (after, upto] together; for folders whose versions are deltas."""
+    wanted = [v for v in versions(spark, root) if v > after and (upto is None or v <= upto)]
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{root}/v={v}" for v in wanted))
+
+
 def write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/v={version}")
 

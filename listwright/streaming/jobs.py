@@ -1,6 +1,6 @@
 """Incremental jobs: micro-batches folded into versioned snapshots.
 
-Every job writes one snapshot version per batch id and reads only older ones, so a batch
+Every job writes under its batch id and reads only what older batches wrote, so a batch
 that is replayed after a lost executor or a restart replaces its own output.
 """
 
@@ -37,19 +37,15 @@ def _as_state(stubs: DataFrame) -> DataFrame:
     )
 
 
-def merge_sightings(old: DataFrame, stubs: DataFrame) -> DataFrame:
-    """Stored state and a batch as one state; values keep their place in the order, so the
+def merge_sightings(states: DataFrame) -> DataFrame:
+    """Partial states to one row per listing. Values keep their place in the order, so the
     result does not depend on how sightings were cut into batches."""
-    return (
-        old.unionByName(_as_state(stubs))
-        .groupBy(*state.KEY)
-        .agg(
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
-            F.min("first").alias("first"),
-            F.max("url").alias("url"),
-            *(F.max(c).alias(c) for c in state.LATEST),
-        )
+    return states.groupBy(*state.KEY).agg(
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.min("first").alias("first"),
+        F.max("url").alias("url"),
+        *(F.max(c).alias(c) for c in state.LATEST),
     )
 
 
@@ -72,16 +68,34 @@ def _drain(stream: DataFrame, work, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def upsert_stream(stubs: DataFrame, root: str, checkpoint: str) -> DataFrame:
-    """Fold a stream of stubs into listing sightings; returns the latest snapshot."""
-    schema = sighting_state_schema()
+def upsert_stream(
+    stubs: DataFrame, root: str, checkpoint: str, compact_every: int = 16
+) -> DataFrame:
+    """Fold a stream of stubs into listing sightings; returns the current view.
+
+    A batch writes only its own partial state, so its cost follows the batch and not the
+    store. Every ``compact_every`` batches the partial states are merged into a new base.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        old = snapshots.read_latest(batch.sparkSession, root, schema, before=batch_id)
-        snapshots.write_version(merge_sightings(old, batch), root, batch_id)
+        spark = batch.sparkSession
+        snapshots.write_version(merge_sightings(_as_state(batch)), f"{root}/delta", batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            merged = stored_sightings(spark, root, upto=batch_id)
+            snapshots.write_version(merged, f"{root}/base", batch_id)
 
     _drain(stubs, work, checkpoint)
-    return sightings_view(snapshots.read_latest(stubs.sparkSession, root, schema))
+    return sightings_view(stored_sightings(stubs.sparkSession, root))
+
+
+def stored_sightings(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """The newest base (one older than ``upto``) and the partial states written after it."""
+    schema = sighting_state_schema()
+    bases = [v for v in snapshots.versions(spark, f"{root}/base") if upto is None or v < upto]
+    last = bases[-1] if bases else -1
+    base = snapshots.read_range(spark, f"{root}/base", schema, last - 1, last)
+    deltas = snapshots.read_range(spark, f"{root}/delta", schema, last, upto)
+    return merge_sightings(base.unionByName(deltas))
 
 
 def discovery_stream(pages: DataFrame, discover, out: str, checkpoint: str) -> DataFrame:
@@ -97,22 +111,17 @@ def discovery_stream(pages: DataFrame, discover, out: str, checkpoint: str) -> D
 
 def run_log_stream(runs: DataFrame, sources: DataFrame, root: str, checkpoint: str) -> DataFrame:
     """Fold a stream of feed runs into the feed table; failure streaks span batches."""
-    seeded = sources
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        old = snapshots.read_latest(batch.sparkSession, root, SOURCES, before=batch_id)
-        if not snapshots_before(batch.sparkSession, root, batch_id):
-            old = seeded
+        spark = batch.sparkSession
+        begun = any(v < batch_id for v in snapshots.versions(spark, root))
+        old = snapshots.read_latest(spark, root, SOURCES, before=batch_id) if begun else sources
         snapshots.write_version(feeds.apply_runs(old, batch), root, batch_id)
 
     _drain(runs, work, checkpoint)
     return snapshots.read_latest(runs.sparkSession, root, SOURCES)
 
 
-def snapshots_before(spark: SparkSession, root: str, batch_id: int) -> bool:
-    return any(v < batch_id for v in snapshots.versions(spark, root))
-
-
 def delivery_stream(candidates: DataFrame, root: str, outbox: str, checkpoint: str, now) -> DataFrame:
     """Deliver each batch's entries at least once under stable keys.
 

@@ -46,7 +46,7 @@ def test_page_opening_with_a_card(spark):
     assert cards(spark, html) == [("1", "/businesses-details/a-b-1.php", "a b", None)]
 
 
-def test_offsets_match_find(spark):
+def test_cards_match_a_plain_search(spark):
     rnd = random.Random(3)
     html = "é" * 40
     for n in range(30):
@@ -54,11 +54,12 @@ def test_offsets_match_find(spark):
     want = []
     marks = [m.start() for m in re.finditer(r'<[^<>]*data-listing-id="\d+"', html)]
     for i, m in enumerate(re.finditer(r'data-listing-id="(\d+)"', html)):
-        after = html[m.start(): m.start() + C.CARD_CHARS_AFTER]
-        before = html[max(0, m.start() - C.CARD_CHARS_BEFORE): m.start()]
-        own = html[marks[i]: (marks[i + 1] if i + 1 < len(marks) else len(html))]
-        own = own[: m.start() - marks[i] + C.CARD_CHARS_AFTER]
-        links = re.findall(r'href="(/businesses-details/[^"]+)"', before + after)
+        end = marks[i + 1] if i + 1 < len(marks) else len(html)
+        after_next = marks[i + 2] if i + 2 < len(marks) else len(html)
+        stop = m.start() + C.CARD_CHARS_AFTER
+        prev = html[(marks[i - 1] if i else 0): marks[i]][-C.CARD_CHARS_BEFORE:]
+        own = html[marks[i]: min(end, stop)]
+        links = re.findall(r'href="(/businesses-details/[^"]+)"', prev + html[marks[i]: min(after_next, stop)])
         mine = [x for x in links if x.endswith(f"-{m.group(1)}.php")]
         inner = re.findall(r'href="(/businesses-details/[^"]+)"', own)
         pick = (mine or inner or [None])[0]

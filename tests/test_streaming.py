@@ -43,16 +43,17 @@ def test_upsert_stream_equals_batch(spark, tmp_path):
     data = rows()
     land(spark, folder, data, STUBS, 4)
     stream = spark.readStream.schema(STUBS).option("maxFilesPerTrigger", 1).parquet(folder)
-    out = jobs.upsert_stream(stream, root, marks)
+    out = jobs.upsert_stream(stream, root, marks, compact_every=2)
     want = state.fold_sightings(spark.createDataFrame(data, STUBS))
     assert as_set(out.select(sorted(out.columns))) == as_set(want.select(sorted(want.columns)))
-    assert snapshots.versions(spark, root) == [0, 1, 2, 3]
+    assert snapshots.versions(spark, root + "/delta") == [0, 1, 2, 3]
+    assert snapshots.versions(spark, root + "/base") == [1, 3]
     # Forget the last commit, as after a crash between write and commit, and run again.
     for name in ("commits/3", "commits/.3.crc"):
         path = os.path.join(marks, name)
         if os.path.exists(path):
             os.rename(path, str(tmp_path / name.replace("/", "-")))
-    again = jobs.upsert_stream(stream, root, marks)
+    again = jobs.upsert_stream(stream, root, marks, compact_every=2)
     assert as_set(again.select(sorted(again.columns))) == as_set(want.select(sorted(want.columns)))
 
 
