@@ -1,14 +1,20 @@
-"""One processing round over landed data: detail, facts, rules, write-back."""
+"""One round over landed data: discover, upsert, extract, classify, write back, report."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from listwright import config as C
 from listwright.config import RuleConfig
 from listwright.functions import text as X
-from listwright.operators import detail, facts, rules, state
+from listwright.functions.joins import lookup, top_rows
+from listwright.operators import detail, digest, discovery, facts, feeds, rules, state
+from listwright.schemas import STUBS, conform
+from listwright.session import settle
+from listwright.sources import adapters
 
 
 def extract_and_classify(
@@ -51,3 +57,102 @@ def apply_results(listings: DataFrame, claimed: DataFrame, results: DataFrame, n
     good = results.filter(~F.col("parse_failed"))
     bad = claimed.select("id").join(good.select("id"), "id", "left_anti")
     return state.mark_failed(state.mark_extracted(listings, good, now), bad, now)
+
+
+@dataclass(frozen=True)
+class Round:
+    """What a round leaves behind; the snapshots are the next round's input."""
+
+    listings: DataFrame
+    sources: DataFrame
+    activity: DataFrame
+    outbox: DataFrame
+
+
+def discover_round(pages: DataFrame, due: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stubs of the due feeds as a crawl would have kept them, and each feed's coverage.
+
+    ``pages`` are landed search pages; a feed that pages by state is folded state by state.
+    """
+    live = config.filter("enabled").join(due.select("name"), "name", "left_semi")
+    limits = live.select(F.col("name").alias("source"), F.col("max_pages").alias("limit_page"))
+    landed = lookup(pages, limits, "source", "inner").withColumn("ok", F.col("http_status") == 200)
+    listed = landed.select("source", "state", "page_no", "http_status", "limit_page", "ok")
+    kept_all, cover_all = None, None
+    for adapter in adapters.ADAPTERS:
+        here = F.col("source") == adapter.name
+        found, mine = adapter.discover(landed.filter(here)), listed.filter(here)
+        by_state = adapter.name == C.ITEM_FEED
+        walk = discovery.discovered_by_state if by_state else discovery.discovered
+        kept = settle(walk(found, mine))
+        # The page after the last one that brought something is the last one asked for.
+        part = F.concat_ws("|", "source", "state")
+        ends = kept.groupBy(part.alias("source")).agg((F.max("page_no") + 1).alias("end"))
+        asked = mine.withColumn("source", part)
+        cuts = asked.select("source").distinct().join(ends, "source", "left").select(
+            "source", F.coalesce("end", F.lit(1)).alias("cut")
+        )
+        cover = (
+            discovery.coverage(asked, cuts, missing_page_ends=by_state)
+            .groupBy(F.lit(adapter.name).alias("source"))
+            .agg(
+                F.min("coverage_complete").alias("coverage_complete"),
+                F.max("success").alias("success"),
+                (F.lit(None).cast("string") if by_state else F.max("next_checkpoint")).alias("next_checkpoint"),
+            )
+        )
+        stubs = adapters.as_stubs(kept)
+        kept_all = stubs if kept_all is None else kept_all.unionByName(stubs)
+        cover_all = cover if cover_all is None else cover_all.unionByName(cover)
+    return kept_all, cover_all
+
+
+def run_round(
+    listings: DataFrame, sources: DataFrame, activity: DataFrame, config: DataFrame,
+    search_pages: DataFrame, detail_pages: DataFrame, now: Column, date_label: str,
+    cfg: RuleConfig = RuleConfig(), batch: int = C.CLAIM_BATCH, replies=None,
+) -> Round:
+    """A whole scheduled round.
+
+    ``detail_pages(id, source, http_status, html)`` hold what was fetched for listings; a
+    claimed listing without a page goes to retry. Each stage is written out before the next
+    reads it, so no stage is computed twice.
+    """
+    seeded = feeds.seed_sources(sources, config)
+    due = settle(feeds.due_sources(seeded, now))
+    found, cover = discover_round(search_pages, due, config)
+    stubs, cover = settle(found), settle(cover)
+    counts = discovery.run_counts(stubs, listings)
+    stats = settle(feeds.run_stats(due, config, counts, cover))
+    runs = stats.join(cover.withColumnRenamed("source", "name").select("name", "next_checkpoint"), "name", "left").select(
+        F.col("name").alias("source"), now.alias("ts"), F.lit(0).cast("bigint").alias("seq"), F.col("healthy").alias("ok"),
+        F.col("checked").alias("discovered"), F.col("next_checkpoint").alias("checkpoint"), "coverage_complete",
+    )
+    # A feed switched off in the configuration has not run.
+    ran = runs.join(stats.filter(~F.col("error_status").eqNullSafe("disabled")).select(F.col("name").alias("source")), "source", "left_semi")
+    status = settle(feeds.apply_runs(seeded, ran))
+    alerts = feeds.alerts(
+        status.filter(F.col("last_attempt") == now).select(
+            F.col("name").alias("source"), F.col("consecutive_failures").alias("streak"))
+    )
+
+    stored = settle(state.upsert_stubs(listings, conform(stubs, STUBS)))
+    claimed = settle(state.select_claims(stored, now, batch))
+    fetched = top_rows(detail_pages, claimed.select("id"), batch, "id", "left_semi").filter(F.col("http_status") == 200)
+    results = settle(extract_and_classify(claimed, fetched, adapters.union_details(fetched), cfg, replies))
+    current = settle(apply_results(stored, claimed, results, now))
+
+    queue = digest.pending(current, activity)
+    entries = settle(digest.top_entries(queue))
+    health = settle(feeds.merge_health(config, stats, status))
+    text = digest.digest_text(entries, digest.backlog_size(queue), health, date_label)
+    pending = state.record_pending(activity, entries, now)
+    report_key = F.concat_ws(":", F.lit("report"), X.local_date(now))
+    alert_key = F.concat_ws(":", F.lit("alert"), "source", X.local_date(now))
+    outbox = digest.outbox(text, "digest", report_key, F.col("text")).unionByName(
+        digest.outbox(alerts, "alert", alert_key, F.col("text"))
+    )
+    # The text is in the outbox before any entry counts as delivered.
+    outbox = settle(outbox)
+    sent = entries.select(state.delivery_key(F.col("id"), now).alias("event_key"), report_key.alias("message_ref"))
+    return Round(current, status, settle(state.confirm_delivery(pending, sent)), outbox)

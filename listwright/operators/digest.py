@@ -74,6 +74,11 @@ def ranked(entries: DataFrame, size: int = C.DIGEST_SIZE, prefer_states: bool =
     ).drop("section_no")
 
 
+def is_digest_hour(now: Column, hour: int = 7, zone: str = C.LOCAL_ZONE) -> Column:
+    """Is it the hour of the digest where its readers are, daylight saving included?"""
+    return F.hour(X.local_time(now, zone)) == hour
+
+
 def price_label() -> Column:
     return F.coalesce(
         F.concat(F.lit("Asking $"), X.short_money(F.col("asking_price"))), F.lit("Price undisclosed")

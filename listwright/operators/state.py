@@ -212,8 +212,8 @@ def delivery_key(listing: Column, now: Column) -> Column:
     return F.concat_ws(":", F.lit("digest"), X.local_date(now), listing)
 
 
-def record_pending(activity: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
-    """Add a pending delivery per entry unless its key is already there."""
+def pending_rows(activity: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """A pending delivery per entry whose key is not in the log yet."""
     rows = (
         entries.select(F.col("id").alias("listing_id"))
         .distinct()
@@ -227,8 +227,12 @@ def record_pending(activity: DataFrame, entries: DataFrame, now: Column) -> Data
             }
         )
     )
-    absent = rows.join(activity.select("event_key").distinct(), "event_key", "left_anti")
-    return conform(activity, ACTIVITY).unionByName(conform(absent, ACTIVITY))
+    known = activity.select("event_key").distinct()
+    return conform(rows.join(known, "event_key", "left_anti"), ACTIVITY)
+
+
+def record_pending(activity: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    return conform(activity, ACTIVITY).unionByName(pending_rows(activity, entries, now))
 
 
 def confirm_delivery(activity: DataFrame, sent: DataFrame) -> DataFrame:

@@ -175,11 +175,13 @@ def digest_outbox(spark, folder):
 
 @query("local_dates", """
 SELECT event_id, strftime(timezone('Australia/Melbourne', timezone('UTC', ts)), '%Y-%m-%d') AS local_date,
-  CAST(hour(timezone('Australia/Melbourne', timezone('UTC', ts))) AS INTEGER) AS local_hour FROM events""")
+  CAST(hour(timezone('Australia/Melbourne', timezone('UTC', ts))) AS INTEGER) AS local_hour,
+  hour(timezone('Australia/Melbourne', timezone('UTC', ts))) = 7 AS is_digest_hour FROM events""")
 def local_dates(spark, folder):
     ts = F.col("ts").cast("timestamp")
     return V.table(spark, folder, "events").select(
-        "event_id", X.local_date(ts).alias("local_date"), F.hour(X.local_time(ts)).alias("local_hour")
+        "event_id", X.local_date(ts).alias("local_date"), F.hour(X.local_time(ts)).alias("local_hour"),
+        digest.is_digest_hour(ts).alias("is_digest_hour"),
     )
 
 

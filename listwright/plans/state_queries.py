@@ -385,6 +385,19 @@ def material_changes(spark, folder):
     return changes.material_changes(stored, after, tracked=("asking_price", "title"))
 
 
+_PRICES = f"""SELECT a.id, CAST(a.asking_price AS VARCHAR) AS o, CAST(b.asking_price AS VARCHAR) AS n FROM
+  (SELECT source || ':' || source_listing_id AS id, {_last('asking_price')} FROM v_sightings WHERE seen_at < {_CUT} GROUP BY 1) a JOIN
+  (SELECT source || ':' || source_listing_id AS id, {_last('asking_price')} FROM v_sightings GROUP BY 1) b USING (id) WHERE a.asking_price IS DISTINCT FROM b.asking_price"""
+
+
+@query("change_events", with_views(f"""
+SELECT 'change:r1:' || id || ':asking_price' AS event_key, id AS listing_id, coalesce(o, 'none') || ' -> ' || coalesce(n, 'none') AS reason FROM ({_PRICES})""", "v_sightings"))
+def change_events(spark, folder):
+    stored, batch = _two_batches(spark, folder)
+    moved = changes.material_changes(stored, state.upsert_stubs(stored, batch), tracked=("asking_price",))
+    return changes.change_events(moved, "r1").select("event_key", "listing_id", "reason")
+
+
 @query("recheck_due", with_views(f"""
 SELECT id, review_state FROM v_listings WHERE review_state <> 'pass' AND processing_state = 'done' AND coalesce(advertised_status NOT IN ('sold','off market'), true)
   AND last_fetched + CASE WHEN review_state IN ('watch','pursue') THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END <= {_TS}""", "v_listings"))

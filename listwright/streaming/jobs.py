@@ -122,26 +122,37 @@ def run_log_stream(runs: DataFrame, sources: DataFrame, root: str, checkpoint: s
     return snapshots.read_latest(runs.sparkSession, root, SOURCES)
 
 
+def delivery_log(spark: SparkSession, root: str) -> DataFrame:
+    """The log of deliveries with each key in its last state; confirmed outranks pending."""
+    rows = snapshots.read_range(spark, root, ACTIVITY, -1)
+    rank = F.when(F.col("delivery_state") == "confirmed", 1).otherwise(0).alias("rank")
+    rest = [f.name for f in ACTIVITY.fields if f.name != "event_key"]
+    last = rows.groupBy("event_key").agg(F.max(F.struct(rank, *rest)).alias("last"))
+    return last.select("event_key", *(f"last.{c}" for c in rest)).select(*ACTIVITY.names)
+
+
 def delivery_stream(candidates: DataFrame, root: str, outbox: str, checkpoint: str, now) -> DataFrame:
     """Deliver each batch's entries at least once under stable keys.
 
-    Pending rows are written before the outbox and confirmed after it. A replay finds its
-    keys already there, so the outbox holds a key once per batch folder and readers drop
-    repeated keys.
+    Pending rows are written before the outbox and confirmed ones after it, each as rows
+    added to the log. A replay rewrites its own rows and outbox folder; entries that older
+    batches confirmed are left out.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         entries = batch.select("id", "canonical_url").dropDuplicates(["id"])
-        old = snapshots.read_latest(spark, root, ACTIVITY, before=2 * batch_id)
-        todo = entries.join(digest.confirmed_ids(old), "id", "left_anti")
-        snapshots.write_version(state.record_pending(old, todo, now), root, 2 * batch_id)
-        pending = spark.read.schema(ACTIVITY).parquet(f"{root}/v={2 * batch_id}")
+        log = snapshots.read_range(spark, root, ACTIVITY, -1, 2 * batch_id - 1)
+        todo = entries.join(digest.confirmed_ids(log), "id", "left_anti")
+        snapshots.write_version(state.pending_rows(log, todo, now), root, 2 * batch_id)
         key = state.delivery_key(F.col("id"), now)
         text = F.concat(F.lit("<"), F.col("canonical_url"), F.lit("|View listing>"))
         digest.outbox(todo, "digest", key, text).write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
-        sent = todo.select(key.alias("event_key"), F.lit("outbox").alias("message_ref"))
-        snapshots.write_version(state.confirm_delivery(pending, sent), root, 2 * batch_id + 1)
+        none = spark.createDataFrame([], ACTIVITY)
+        sent = state.pending_rows(none, todo, now).withColumns(
+            {"delivery_state": F.lit("confirmed"), "message_ref": F.lit("outbox")}
+        )
+        snapshots.write_version(sent, root, 2 * batch_id + 1)
 
     _drain(candidates, work, checkpoint)
-    return snapshots.read_latest(candidates.sparkSession, root, ACTIVITY)
+    return delivery_log(candidates.sparkSession, root)
