@@ -14,14 +14,18 @@ MAX_SLICES = 1024
 
 
 def split_points(df: DataFrame, *values: Column, slices: int | None = None) -> list[list]:
-    """Cut values of numeric columns: a driver read of at most ``MAX_SLICES`` numbers each."""
-    if slices is None:
-        slices = max(2, min(MAX_SLICES, df.count() // ROWS_PER_SLICE))
-    shares = [i / slices for i in range(1, slices)]
-    row = df.agg(
-        *(F.percentile_approx(v, shares, 10_000).alias(f"c{i}") for i, v in enumerate(values))
+    """Cut values of numeric columns, found in one pass.
+
+    What comes to the driver is one row of at most ``MAX_SLICES`` numbers per column; how
+    many of them are used follows from the row count.
+    """
+    shares = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
+    n, *cuts = df.agg(
+        F.count("*"), *(F.percentile_approx(v, shares, 10 * MAX_SLICES) for v in values)
     ).first()
-    return [sorted(set(cuts or [])) for cuts in row]
+    wanted = slices or max(2, min(MAX_SLICES, n // ROWS_PER_SLICE))
+    at = [round(i * MAX_SLICES / wanted) - 1 for i in range(1, wanted)]
+    return [sorted({found[i] for i in at}) if found else [] for found in cuts]
 
 
 def slice_of(value: Column, tie: Column, cuts: list, tie_cuts: list) -> Column:

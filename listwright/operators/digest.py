@@ -177,17 +177,17 @@ def digest_text(
         )
 
     body = placed.agg(lines.alias("lines")).select(
-        F.lit(1).alias("k"),
+        F.lit("body").alias("part"),
         F.when(F.size("lines") == 0, F.lit(empty)).otherwise(
             F.concat_ws(
                 "\n",
                 section("promising", "*🟢 Promising*"),
                 section("needs_information", "*🟡 Needs information*"),
             )
-        ).alias("body"),
+        ).alias("text"),
     )
     more = sizes.select(
-        F.lit(1).alias("k"),
+        F.lit("more").alias("part"),
         F.when(
             F.col("backlog") > 0,
             F.concat(
@@ -196,14 +196,18 @@ def digest_text(
                 F.when(F.col("backlog") == 1, " additional listing").otherwise(" additional listings"),
                 F.lit(" pending. Ask to show all._"),
             ),
-        ).alias("more"),
+        ).alias("text"),
     )
-    line = health_line(health).select(F.lit(1).alias("k"), "line")
+    line = health_line(health).select(F.lit("line").alias("part"), F.col("line").alias("text"))
     head = f"*{title} — {date_label}*"
-    return (
-        body.join(F.broadcast(more), "k")
-        .join(F.broadcast(line), "k")
-        .select(F.concat_ws("\n", F.lit(head), "line", F.lit(""), "body", "more").alias("text"))
+
+    def part(name: str) -> Column:
+        return F.max(F.when(F.col("part") == name, F.col("text")))
+
+    # Three one-row parts become one text.
+    parts = body.unionByName(more).unionByName(line)
+    return parts.agg(
+        F.concat_ws("\n", F.lit(head), part("line"), F.lit(""), part("body"), part("more")).alias("text")
     )
 
 
