@@ -42,8 +42,10 @@ def local_session(cpus: str = "*", name: str = "listwright", partitions: int = 8
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the one the cluster names, else a new one for tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "listwright.shared.dir", None
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("listwright.shared.dir", None)
     )
     if named:
         return named.rstrip("/")
