@@ -28,23 +28,27 @@ def split_points(df: DataFrame, *values: Column, slices: int | None = None) -> l
     return [sorted({found[i] for i in at}) if found else [] for found in cuts]
 
 
-def slice_of(value: Column, tie: Column, cuts: list, tie_cuts: list) -> Column:
-    """Slice label that grows with (value, tie).
+def _place(column: str, cuts: list, lo: int, hi: int) -> str:
+    """Nested comparisons: 2i for a value between cuts i-1 and i, 2i+1 for cut i itself."""
+    if lo == hi:
+        return str(2 * lo)
+    mid = (lo + hi) // 2
+    return (
+        f"CASE WHEN {column} < {cuts[mid]}L THEN {_place(column, cuts, lo, mid)} "
+        f"WHEN {column} > {cuts[mid]}L THEN {_place(column, cuts, mid + 1, hi)} ELSE {2 * mid + 1} END"
+    )
+
+
+def slice_of(value: str, tie: str, cuts: list, tie_cuts: list) -> Column:
+    """Slice label of two named bigint columns that grows with (value, tie).
 
     Values strictly between cuts share a slice. A value equal to a cut, which is what a
-    very frequent value becomes, has slices of its own that are cut again by the tie.
+    very frequent value becomes, has slices of its own that are cut again by the tie. A
+    label is found by halving, so many cuts cost a row few comparisons.
     """
-    if not cuts:
-        return F.lit(0).cast("bigint")
-    points = F.array(*(F.lit(c) for c in cuts))
-    below = F.size(F.filter(points, lambda c: c < value))
-    on_cut = F.array_contains(points, value)
-    finer = F.lit(0)
-    if tie_cuts:
-        ties = F.array(*(F.lit(c) for c in tie_cuts))
-        finer = F.when(on_cut, F.size(F.filter(ties, lambda c: c <= tie))).otherwise(0)
-    step = len(tie_cuts) + 1
-    return ((below * 2 + on_cut.cast("int")) * step + finer).cast("bigint")
+    base = F.expr(_place(value, cuts, 0, len(cuts))).cast("bigint")
+    finer = F.expr(_place(tie, tie_cuts, 0, len(tie_cuts)))
+    return base * (2 * len(tie_cuts) + 1) + F.when(base % 2 == 1, finer).otherwise(0)
 
 
 def failure_streak(
@@ -55,24 +59,26 @@ def failure_streak(
 
     ``start`` may name a column with the streak each key had before the first run.
     """
-    stamp = F.unix_micros(F.col(ts))
-    cuts, tie_cuts = split_points(runs, stamp, F.col(seq), slices=slices)
-    sliced = runs.withColumn("_slice", slice_of(stamp, F.col(seq), cuts, tie_cuts))
-
-    def upto(*keys):
-        frame = Window.partitionBy(*keys).orderBy(ts, seq)
-        return frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    # Inside a slice: successes so far, and failures since the last of them.
-    scanned = sliced.withColumn(
-        "_wins", F.sum(F.col(ok).cast("int")).over(upto(key, "_slice"))
-    ).withColumn("_run", F.sum((~F.col(ok)).cast("bigint")).over(upto(key, "_slice", "_wins")))
+    stamped = runs.withColumn("_at", F.unix_micros(ts))
+    cuts, tie_cuts = split_points(stamped, F.col("_at"), F.col(seq), slices=slices)
+    sliced = stamped.withColumn("_slice", slice_of("_at", seq, cuts, tie_cuts)).drop("_at")
+
+    # Inside a slice, in one sorted pass: rows since the last success, which all failed.
+    rows = Window.partitionBy(key, "_slice").orderBy(ts, seq)
+    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last_win = F.max(F.when(F.col(ok), F.col("_n"))).over(upto)
+    scanned = (
+        sliced.withColumn("_n", F.row_number().over(rows))
+        .withColumn("_win", last_win)
+        .withColumn("_run", F.col("_n") - F.coalesce("_win", F.lit(0)))
+    )
 
     # One row per (key, slice): any success, and the length of the failing tail.
-    ends = scanned.groupBy(key, "_slice").agg(F.max(F.struct("_wins", "_run")).alias("_end"))
+    last_row = F.max(F.struct("_n", "_win", "_run"))
+    ends = scanned.groupBy(key, "_slice").agg(last_row.alias("_end"))
     by_slice = Window.partitionBy(key).orderBy("_slice")
     so_far = by_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    won = (F.col("_end._wins") > 0).cast("int")
+    won = F.col("_end._win").isNotNull().cast("int")
     carried = (
         ends.withColumn("_group", F.sum(won).over(so_far))
         .withColumn(
@@ -90,12 +96,12 @@ def failure_streak(
             (F.lag("_group", 1, 0).over(by_slice) == 0).alias("_first"),
         )
     )
-    value = F.col("_run") + F.when(F.col("_wins") == 0, F.col("_carry")).otherwise(0)
+    fresh = F.col("_win").isNull()
+    value = F.col("_run") + F.when(fresh, F.col("_carry")).otherwise(0)
     if start is not None:
-        untouched = (F.col("_wins") == 0) & F.col("_first")
-        value = value + F.when(untouched, F.coalesce(F.col(start), F.lit(0))).otherwise(0)
+        value = value + F.when(fresh & F.col("_first"), F.coalesce(F.col(start), F.lit(0))).otherwise(0)
     return (
         scanned.join(carried, [key, "_slice"])
         .withColumn(out, value.cast("bigint"))
-        .drop("_slice", "_wins", "_run", "_carry", "_first")
+        .drop("_slice", "_n", "_win", "_run", "_carry", "_first")
     )
