@@ -124,7 +124,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, cfg: Settings) -> DataFrame:
 
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        # At size neither side is small; the same plan at every size keeps growth even.
+        .join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
         .transform(shipped).mapInArrow(run, "doc_id long, shingles binary")
     )
 
@@ -189,7 +190,7 @@ def _verified_stars(pairs: DataFrame, sets: DataFrame, cfg: Settings) -> DataFra
     )
 
 
-def _rest_links(buckets: DataFrame, reps: DataFrame, label: DataFrame, docs: DataFrame, cfg: Settings) -> DataFrame:
+def _rest_links(buckets: DataFrame, reps: DataFrame, label: DataFrame, sets: DataFrame, cfg: Settings) -> DataFrame:
     """Links between components that meet in a bucket, by tiles of bounded size.
 
     A bucket's main component is the one with most members. Members outside it (minor) meet
@@ -271,7 +272,6 @@ def _rest_links(buckets: DataFrame, reps: DataFrame, label: DataFrame, docs: Dat
                     b.append(comp[p])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sets = full_sets(docs, proposed, cfg)
     return proposed.join(sets, "doc_id").groupBy("key", "i", "j").applyInArrow(verify, "a long, b long")
 
 
@@ -302,10 +302,11 @@ def near_duplicates(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     pairs = star.join(side("a"), "a").join(side("b"), "b").filter(_sizes_allow(F.col("n_a"), F.col("n_b"), cfg.percent))
     pairs = staged(_alike(pairs, cfg), "star-pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    links = _verified_stars(pairs, staged(full_sets(docs, ends, cfg), "sets"), cfg)
+    # Texts are read again for members of shared buckets only, once for both ways to link.
+    sets = staged(full_sets(docs, buckets, cfg), "sets")
+    links = _verified_stars(pairs, sets, cfg)
     first = components(links)
-    second = components(_rest_links(buckets.select("key", "doc_id"), reps, first, docs, cfg))
+    second = components(_rest_links(buckets.select("key", "doc_id"), reps, first, sets, cfg))
     merged = second.select(F.col("node").alias("component"), F.col("component").alias("further"))
     by_rep = first.join(merged, "component", "full").select(
         F.coalesce("node", "component").alias("rep"), F.coalesce("further", "component").alias("component"))
