@@ -86,10 +86,17 @@ def _sentence_scores(model: Model, hashes: np.ndarray, owner: np.ndarray, n: int
     if len(model.hashes) and len(hashes):
         at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
         hit = np.flatnonzero(model.hashes[at] == hashes)
-        z += np.bincount(owner[hit], model.weights[at[hit]], n)
+        sentence, feature = _once(owner[hit], at[hit], len(model.hashes))
+        z += np.bincount(sentence, model.weights[feature], n)
     return z
 
 
+def _once(owner: np.ndarray, feature: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feature counts once in a sentence, however often it is repeated."""
+    pair = np.unique(owner * features + feature)
+    return pair // max(features, 1), pair % max(features, 1)
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
@@ -115,7 +122,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, cfg:
     model = Model(kept, np.zeros(len(kept)), 0.0)
     at = np.minimum(np.searchsorted(kept, hashes), max(0, len(kept) - 1)) if len(kept) else np.zeros(0, np.int64)
     hit = np.flatnonzero(kept[at] == hashes) if len(kept) else np.zeros(0, np.int64)
-    feature, owner = at[hit], owner[hit]
+    owner, feature = _once(owner[hit], at[hit], len(kept))
     total = int(sizes.sum())
     doc = np.repeat(np.arange(len(docs)), sizes)
     weights, bias = np.zeros(len(kept)), -np.log(max(2.0, total / len(docs)))
