@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from math import log
 
 import numpy as np
@@ -34,8 +35,8 @@ PIECES = "piece_bpe_32k.model"
 SPACE = "▁"
 # Letters, without the small digits that Python counts among them.
 _LETTER = re.compile(r"[^\W\d_²³¹]")
-_RUN = re.compile(f"{SPACE}*[^\\W\\d_²³¹]+|{SPACE}*(?:(?!{SPACE})[\\W\\d_²³¹])+|{SPACE}+")
-_MOST_EDGES = 5_000_000
+_RUN = re.compile(f"{SPACE}*[^\\W\\d_²³¹]+|{SPACE}*(?:[^\\w{SPACE}]+|[\\d_²³¹]+)+|{SPACE}+")
+_MOST_EDGES = 8_000_000
 
 
 def _hash_of(text: str) -> np.uint64:
@@ -74,6 +75,10 @@ class Lattices:
             raise ValueError("two pieces have one hash")
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[hashes >> np.uint64(42)] = True
+        # Beginnings of longer pieces: a stretch that is none cannot grow into a piece.
+        heads = {p[:k] for _, p in plain for k in range(1, len(p))}
+        self.grows = np.zeros(1 << 22, bool)
+        self.grows[np.array([_hash_of(h) for h in heads], np.uint64) >> np.uint64(42)] = True
         ranks = np.arange(len(self.pieces)) - first + 1
         self.weight = np.where(ranks > 0, -sharpness * np.log(np.maximum(ranks, 1) * total), 0.0)
         self.bytes = {int(p[3:5], 16): i for i, p in kinds if model.is_byte(i)}
@@ -93,7 +98,7 @@ class Lattices:
         self.run: dict[str, int] = {}
         self.count = dict.fromkeys(("run", "node", "edge", "code"), 0)
         kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int64, "chance": np.float64, "sum": np.float64,
-                 "to": np.int32, "logp": np.float64, "code_from": np.int64, "code": np.int32}
+                 "to": np.int32, "logp": np.float64, "rest": np.float64, "code_from": np.int64, "code": np.int32}
         self.flat = {k: np.zeros(1 << 18, t) for k, t in kinds.items()}
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
@@ -114,12 +119,15 @@ class Lattices:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mixed(text.astype(np.uint64)) * power[:n], out=sums[1:])
         starts, ends, ids, weights = [], [], [], []
+        growing = np.arange(n)
         for length in range(1, self.longest + 1):
-            at = np.flatnonzero(ahead >= length)
+            at = growing[ahead[growing] >= length]
             if not len(at):
                 break
             h = mixed((sums[at + length] - sums[at]) * inverse[at] + np.uint64(length))
-            hit = np.flatnonzero(self.maybe[h >> np.uint64(42)])
+            slot = h >> np.uint64(42)
+            growing = at[self.grows[slot]]
+            hit = np.flatnonzero(self.maybe[slot])
             place = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
             good = self.hashes[place] == h[hit]
             at, found = at[hit[good]], self.hash_ids[place[good]]
@@ -172,11 +180,15 @@ class Lattices:
             code[code_from[e] : code_from[e] + len(raw)] = [self.bytes[b] for b in raw]
         r, base, edges, known = (self.count[k] for k in ("run", "node", "edge", "code"))
         alone = first == final
+        # What the other edges of a place weigh together.
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.maximum(-np.expm1(np.minimum(logp, 0.0)), 0.0))
+        rest[first[alone]] = -np.inf
         # The place behind a run is the next run's first one; a walk stops there.
         for name, at, values in (
             ("begin", r, base + stop - size), ("end", r, base + stop),
             ("edge_from", base, edges + np.append(first, len(start))), ("chance", base, np.where(alone, 2.0, chance[first])),
-            ("sum", edges, base + start + upto), ("to", edges, base + end), ("logp", edges, logp),
+            ("sum", edges, base + start + upto), ("to", edges, base + end), ("logp", edges, logp), ("rest", edges, rest),
             ("code_from", edges, known + np.append(code_from, len(code))), ("code", known, code),
         ):
             self._put(name, at, values)
@@ -186,10 +198,12 @@ class Lattices:
     def places(self, runs: list[str]) -> np.ndarray:
         if self.count["edge"] > _MOST_EDGES:
             self.forget()
-        new = [r for r in dict.fromkeys(runs) if r not in self.run]
+        place = np.fromiter(map(self.run.get, runs, repeat(-1)), np.int64, len(runs))
+        new = np.flatnonzero(place < 0).tolist()
         if new:
-            self._learn(new)
-        return np.fromiter(map(self.run.__getitem__, runs), np.int64, len(runs))
+            self._learn(list(dict.fromkeys(runs[i] for i in new)))
+            place[new] = [self.run[runs[i]] for i in new]
+        return place
 
     def next_edges(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by a uniform number."""
@@ -231,7 +245,7 @@ class Lattices:
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
-    return (mixed(mixed(key) ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return (mixed(key * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
 
 
 def _gumbel(u: np.ndarray) -> np.ndarray:
@@ -290,7 +304,7 @@ class Sampler:
             if j == 0:
                 begin, origin = 0, None
             # What is left of the set this path came from: at its first free edge other edges are barred too.
-            left = np.log(np.maximum(-np.expm1(steps), 0), where=steps < 0, out=np.full(len(steps), -np.inf))
+            left = flat["rest"][path]
             left[:begin] = -np.inf
             if origin is not None:
                 owner, t = origin
