@@ -157,8 +157,6 @@ CARD_BASE = "https://www.business2sell.com.au"
 CARD_SEARCH = "https://www.business2sell.com.au/businesses/sale"
 CARD_DETAIL_PATH = "/businesses-details/"
 CARD_MAX_PAGES = 10
-CARD_CHARS_BEFORE = 500
-CARD_CHARS_AFTER = 1000
 ITEM_FEED = "bsale"
 ITEM_BASE = "https://bsale.com.au"
 ITEM_SEARCH = "https://bsale.com.au/businesses-for-sale"
@@ -170,7 +168,7 @@ T_TIER_1_RANGE = "Tier 1 sector (%s) but revenue not confirmed in preferred rang
 M_PRICE_HIGH = "Asking price $%s above $10M — flag for partner review"
 M_CONCENTRATION = "Customer concentration of %s%% indicated — verify"
 M_EBITDA_NEGATIVE = "EBITDA $%s is negative — assess recoverability"
-CONCENTRATION_PATTERN = r"(?i)(\d{1,3})\s*% of (?:revenue|sales|turnover)"
+CONCENTRATION_PATTERN = r"(?i)(?:^|[^\d.,])(\d+)(?:\.\d+)?\s*% of (?:revenue|sales|turnover)"
 
 # Sector wording for the built-in extractor: first hit wins, so specific labels come first.
 SECTOR_WORDS = (

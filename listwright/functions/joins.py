@@ -1,36 +1,9 @@
-"""Joins against sides whose size is known, checked, or not known at all."""
+"""Joins on keys that may be very uneven or missing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listwright.session import settle
-
-# A broadcast side may hold at most this many rows; per-feed rows are a few hundred bytes.
-BROADCAST_ROWS = 100_000
-
-
-def lookup(
-    df: DataFrame, side: DataFrame, on, how: str = "left", derived: bool = False
-) -> DataFrame:
-    """Join a per-feed side that may meet very uneven keys on the left.
-
-    The side is counted first; one that is ``derived`` by work of its own is written out
-    before, so that work is done once. Within the bound it is broadcast, and an uneven key
-    costs no shuffle; beyond it the join is shuffled and adaptive execution splits the
-    uneven partitions.
-    """
-    if derived:
-        side = settle(side)
-    within = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(side) if within else side, on, how)
-
-
-def top_rows(df: DataFrame, top: DataFrame, limit: int, on, how: str) -> DataFrame:
-    """Join rows that a ``limit`` has bounded already."""
-    return df.join(F.broadcast(top) if limit <= BROADCAST_ROWS else top, on, how)
-
-
 
 def spread(key: Column, *by) -> Column:
     """A join key whose nulls are told apart, so that rows without a key, which match

@@ -67,18 +67,19 @@ def text_lines(html: Column) -> Column:
 
 def _utf16_char(code: Column) -> Column:
     """The character of a decimal code unit, as text."""
-    wrapped = F.pmod(code.cast("bigint"), F.lit(65536))
+    wrapped = F.pmod(code.try_cast("decimal(38,0)"), F.lit(65536)).cast("bigint")
     return F.decode(F.unhex(F.lpad(F.hex(wrapped), 4, "0")), "UTF-16BE")
 
 
 def decode_entities(value: Column) -> Column:
     """Named entities plus decimal references, each distinct reference replaced once."""
     named = swap(value, (*NAMED, ("&quot;", '"')))
-    codes = F.array_distinct(F.regexp_extract_all(named, F.lit(r"&#(\d{1,7});"), F.lit(1)))
+    codes = F.array_distinct(F.regexp_extract_all(named, F.lit(r"&#(\d+);"), F.lit(1)))
     return F.aggregate(
         codes,
         named,
-        lambda text, code: F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), _utf16_char(code)),
+        lambda text, code: F.coalesce(
+            F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), _utf16_char(code)), text),
     )
 
 

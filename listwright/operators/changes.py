@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.functions import text as X
-from listwright.functions.joins import lookup
 
 TRACKED = ("asking_price", "advertised_status", "revenue", "ebitda", "revenue_raw", "ebitda_raw")
 
@@ -90,7 +89,7 @@ def mark_baseline(listings: DataFrame, first_runs: DataFrame) -> DataFrame:
 
     ``first_runs(source, first_run)``, one row per feed.
     """
-    joined = lookup(listings, first_runs, "source", derived=True)
+    joined = listings.join(first_runs, "source", "left")
     return joined.withColumn(
         "is_baseline", F.coalesce(F.col("first_seen") <= F.col("first_run"), F.lit(False))
     ).drop("first_run")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwright import config as C
 from listwright.config import RuleConfig
 from listwright.functions import text as X
-from listwright.functions.joins import lookup, top_rows
 from listwright.operators import detail, digest, discovery, facts, feeds, rules, state
 from listwright.schemas import STUBS, conform
 from listwright.session import settle
@@ -30,7 +29,7 @@ def extract_and_classify(
     work = merged.join(pages.select("id", "html"), "id").select(
         "id", *detail.OVERLAID,
         X.content_hash(F.col("html")).alias("content_hash"),
-        X.strip_tags(F.col("html")).alias("text"),
+        X.text_lines(F.col("html")).alias("text"),
     )
     if replies is None:
         known = facts.text_facts(work).withColumn("parse_failed", F.lit(False)).drop("text")
@@ -74,9 +73,11 @@ def discover_round(pages: DataFrame, due: DataFrame, config: DataFrame) -> tuple
 
     ``pages`` are landed search pages; a feed that pages by state is folded state by state.
     """
-    live = config.filter("enabled").join(due.select("name"), "name", "left_semi")
-    limits = live.select(F.col("name").alias("source"), F.col("max_pages").alias("limit_page"))
-    landed = lookup(pages, limits, "source", "inner").withColumn("ok", F.col("http_status") == 200)
+    # A resumed feed goes on for its number of pages from where it stopped; states start anew.
+    resumed = F.coalesce(X.leading_int(F.when(F.col("name") != C.ITEM_FEED, F.col("pagination_checkpoint")), "int"), F.lit(1))
+    live = config.filter("enabled").join(due.select("name", resumed.alias("start_page")), "name")
+    limits = live.select(F.col("name").alias("source"), (F.col("start_page") + F.col("max_pages") - 1).alias("limit_page"))
+    landed = pages.join(limits, "source").withColumn("ok", F.col("http_status") == 200)
     listed = landed.select("source", "state", "page_no", "http_status", "limit_page", "ok")
     kept_all, cover_all = None, None
     for adapter in adapters.ADAPTERS:
@@ -85,13 +86,13 @@ def discover_round(pages: DataFrame, due: DataFrame, config: DataFrame) -> tuple
         by_state = adapter.name == C.ITEM_FEED
         walk = discovery.discovered_by_state if by_state else discovery.discovered
         kept = settle(walk(found, mine))
-        # The page after the last one that brought something is the last one asked for.
+        # A walk ends at the first page asked for that failed or brought nothing.
         part = F.concat_ws("|", "source", "state")
-        ends = kept.groupBy(part.alias("source")).agg((F.max("page_no") + 1).alias("end"))
+        brought = kept.groupBy(part.alias("source"), "page_no").agg(F.count("*").alias("n_new"))
         asked = mine.withColumn("source", part)
-        cuts = asked.select("source").distinct().join(ends, "source", "left").select(
-            "source", F.coalesce("end", F.lit(1)).alias("cut")
-        )
+        ends = ~F.col("ok") | F.col("n_new").isNull()
+        cuts = asked.join(brought, ["source", "page_no"], "left").groupBy("source").agg(
+            F.min(F.when(ends, F.col("page_no"))).alias("cut"))
         cover = (
             discovery.coverage(asked, cuts, missing_page_ends=by_state)
             .groupBy(F.lit(adapter.name).alias("source"))
@@ -138,7 +139,7 @@ def run_round(
 
     stored = settle(state.upsert_stubs(listings, conform(stubs, STUBS)))
     claimed = settle(state.select_claims(stored, now, batch))
-    fetched = top_rows(detail_pages, claimed.select("id"), batch, "id", "left_semi").filter(F.col("http_status") == 200)
+    fetched = detail_pages.join(claimed.select("id"), "id", "left_semi").filter(F.col("http_status") == 200)
     results = settle(extract_and_classify(claimed, fetched, adapters.union_details(fetched), cfg, replies))
     current = settle(apply_results(stored, claimed, results, now))
 

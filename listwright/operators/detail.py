@@ -12,7 +12,8 @@ FIELDS = (
     "asking_price", "revenue_raw", "profit_raw", "advertised_status",
 )
 OVERLAID = ("title", "location_state", "location_suburb", "sector_raw", "broker_name", "asking_price")
-STATUS_WORDS = r"(?i)(sold|under contract|off market)"
+# A banner stands on a line of its own; the same words in running text say nothing.
+STATUS_WORDS = r"(?im)^ *(sold|under contract|off market) *$"
 
 
 # A place is looked for at the start of a run of letters only; trying every letter of the
@@ -60,7 +61,7 @@ def card_details(pages: DataFrame, html: str = "html") -> DataFrame:
         "_place": F.regexp_extract(t, PLACE_LABELLED, 0),
         "_sector": F.regexp_extract(t, CATEGORY, 1),
         "_broker": F.regexp_extract(
-            t, r"(?:Broker|Agent|Listed by)[: \n]+([A-Za-z ]+?) *(?:\n|Email|Phone|Mobile|<|$)", 1
+            t, r"(?:Broker|Agent|Listed by)(?: *:[ \n]*| +)([A-Za-z ]+?) *(?:\n|Email|Phone|Mobile|<|$)", 1
         ),
         "_price": F.regexp_extract(t, r"Asking Price:\s*\$?([\d,]+)", 1),
         "_revenue": F.regexp_extract(t, r"Sales revenue\s*:\s*([^\n]+)", 1),
@@ -89,7 +90,7 @@ def item_details(
     first dollar amount and for a status banner to the head of the page.
     """
     t = F.col("_lines")
-    broker = r"(?:Private Seller|Business Broker|Broker)[ \n:]+([A-Za-z ]+?) *(?:\n|Phone|Email|Mobile|$)"
+    broker = r"(?:(?:Business Broker|Broker)(?: *:[ \n]*| +)|Private Seller *:[ \n]*)([A-Za-z ]+?) *(?:\n|Phone|Email|Mobile|$)"
     wordings = {
         "_place": F.regexp_extract(t, PLACE_PLAIN, 0),
         "_sector": F.regexp_extract(t, CATEGORY, 1),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
-from listwright.functions.joins import top_rows
 from listwright.operators.feeds import health_line
 
 
@@ -44,7 +43,7 @@ def top_entries(queue: DataFrame, size: int = C.DIGEST_SIZE, prefer_states: bool
 def backlog(queue: DataFrame, size: int = C.DIGEST_SIZE, prefer_states: bool = False) -> DataFrame:
     """Everything behind the digest, in digest order; no global rank is needed for it."""
     top = top_entries(queue, size, prefer_states).select("id")
-    return top_rows(queue, top, size, "id", "left_anti").orderBy(*digest_order(prefer_states))
+    return queue.join(top, "id", "left_anti").orderBy(*digest_order(prefer_states))
 
 
 def backlog_size(queue: DataFrame, size: int = C.DIGEST_SIZE) -> DataFrame:

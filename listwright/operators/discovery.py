@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
-from listwright.functions.joins import lookup
 from listwright.session import settle
 
 MARK = 'data-listing-id="'
@@ -16,8 +15,8 @@ def cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per card of a page.
 
     A card starts at the tag holding its numeric id and ends where the next one starts. Its
-    link is the one that ends in the card's own number, in the card or next to it, else the
-    first one inside the card. A neighbour's link is never borrowed, and cards
+    link is the one that ends in the card's own number, in the card or in the tag directly in
+    front of it, else the first one inside the card, however long the card is. A neighbour's link is never borrowed, and cards
     without a detail link of their own are dropped.
     """
     page = F.col(html)
@@ -28,15 +27,15 @@ def cards(pages: DataFrame, html: str = "html") -> DataFrame:
     pieces = F.when(opens, F.concat(F.array(F.lit("")), split)).otherwise(split)
 
     def card(piece: Column, i: Column) -> Column:
-        mark = F.instr(piece, MARK)
-        tail = F.right(F.coalesce(F.get("_pieces", i - 1), F.lit("")), F.lit(C.CARD_CHARS_BEFORE))
-        ahead = F.concat(piece, F.coalesce(F.get("_pieces", i + 1), F.lit("")))
-        upto = mark - 1 + C.CARD_CHARS_AFTER
+        # The tag directly in front of the card may be its link.
+        behind = F.rtrim(F.coalesce(F.get("_pieces", i - 1), F.lit("")))
+        tag = F.concat(F.lit("<"), F.substring_index(behind, "<", -1))
+        lead = F.when(F.endswith(tag, F.lit(">")), tag).otherwise(F.lit(""))
         return F.struct(
             (i - 1).alias("pos"),
             F.regexp_extract(piece, MARK + r"(\d+)", 1).alias("source_listing_id"),
-            F.left(piece, upto).alias("own"),
-            F.concat(tail, F.left(ahead, upto)).alias("around"),
+            piece.alias("own"),
+            F.concat(lead, piece).alias("around"),
         )
 
     # Pieces are a column of their own, and each is read with its neighbours only, so the
@@ -128,7 +127,7 @@ def pagination_cut(stubs: DataFrame, pages: DataFrame) -> DataFrame:
 def discovered(stubs: DataFrame, pages: DataFrame) -> DataFrame:
     """The stubs a page-by-page crawl would have kept: first occurrences before the cut."""
     first = first_seen_rows(stubs, "page_no", "pos")
-    kept = lookup(first, pagination_cut(stubs, pages), "source", derived=True)
+    kept = first.join(pagination_cut(stubs, pages), "source", "left")
     return kept.filter(F.col("cut").isNull() | (F.col("page_no") < F.col("cut"))).drop("cut")
 
 
@@ -136,8 +135,10 @@ def discovered_by_state(stubs: DataFrame, pages: DataFrame, states=C.FEED_STATES
     """The same for a feed paged state after state, whose seen ids span all states.
 
     A row past one state's cut must not hide its id in a later state, so states are folded
-    in order; the ids kept so far are written out after each of the few states.
+    in order; the ids kept so far are written out after each of the few states. Stubs are
+    narrow and written out first, so that no page is read again for a state.
     """
+    stubs, pages = settle(stubs), settle(pages)
     kept, seen = [], None
     for state in states:
         here = stubs.filter(F.col("state") == state)
@@ -162,7 +163,7 @@ def coverage(
     asked for. With ``missing_page_ends`` a 404 is the regular end of a listing, else it
     makes coverage partial. The next checkpoint is the first page not fetched.
     """
-    asked = lookup(pages, cuts, "source", derived=True).filter(
+    asked = pages.join(cuts, "source", "left").filter(
         F.col("cut").isNull() | (F.col("page_no") <= F.col("cut"))
     )
     ok = F.col("http_status") == 200
@@ -172,6 +173,7 @@ def coverage(
         F.coalesce(F.max(F.when(walked, F.col("page_no"))), F.lit(start - 1)).alias("last_page"),
         F.count_if(ok).alias("pages_ok"),
         (F.count_if(failed) > 0).alias("any_failed"),
+        F.min(F.when(failed, F.col("page_no"))).alias("first_failed"),
         F.max(F.when(walked, F.col("page_no") >= F.col("limit_page"))).alias("hit_limit"),
     )
     complete = ~(F.col("any_failed") | F.coalesce(F.col("hit_limit"), F.lit(False)))
@@ -179,7 +181,7 @@ def coverage(
         "source",
         complete.alias("coverage_complete"),
         (F.col("pages_ok") > 0).alias("success"),
-        F.when(~complete, F.col("last_page") + 1).cast("string").alias("next_checkpoint"),
+        F.when(~complete, F.coalesce("first_failed", F.col("last_page") + 1)).cast("string").alias("next_checkpoint"),
     )
 
 

@@ -97,15 +97,16 @@ def parse_responses(df: DataFrame, response: str = "response", price: str = "ask
 
 
 # A labelled dollar amount with an optional thousands/millions suffix.
-LABELLED = r"(?i)\b(?:{label})(?: of| is|:)? *-?\$ ?\d[\d,]*(?:\.\d+)? ?(?:million|m|k)?\b"
+LABELLED = r"(?i)\b(?:{label})(?: of| is|:)? *\n? *-?\$ ?\d[\d,]*(?:\.\d+)? ?(?:million|m|k)?\b"
 REVENUE = "(?:annual |sales )?(?:revenue|turnover)"
 EBITDA = "ebitda"
 PROFIT = "(?:net )?profit"
 RECURRING = r"(?i)\b(?:contracts?|service agreements?|retainers?|subscriptions?|recurring revenue)\b"
 REASON = r"(?i)reason for (?:sale|selling)[: ]+([^.\n]+)"
-LEASE = r"(?i)(\d{1,2})[ -]years? lease"
-STAFF = r"(?i)(\d{1,4}) (?:full[- ]time |part[- ]time )?(?:staff|employees)"
-STATUS = r"(?i)\b(sold|under contract|off market)\b"
+WHOLE = r"(?:^|[^\d.,])(\d{1,3}(?:,\d{3})+|\d+)"
+LEASE = rf"(?i){WHOLE}[ -]years? lease"
+STAFF = rf"(?i){WHOLE} (?:full[- ]time |part[- ]time )?(?:staff|employees)"
+STATUS = r"(?im)^ *(sold|under contract|off market) *$"
 CONSUMER = ("retail customers", "consumers", "households", "walk-in", "B2C")
 
 
@@ -116,7 +117,12 @@ def _amount(wording: Column) -> Column:
     scale = F.when(unit.isin("m", "million"), 1_000_000).when(unit == "k", 1_000).otherwise(1)
     sign = F.when(wording.rlike(r"-\$"), -1).otherwise(1)
     exact = F.when(digits != "", digits).try_cast("decimal(18,4)")
-    return F.floor(exact * scale * sign).cast("bigint")
+    return F.floor(exact * scale * sign).try_cast("bigint")
+
+
+def _whole(wording: Column) -> Column:
+    """A number with thousands commas; one too large for the field is not taken."""
+    return F.replace(wording, F.lit(","), F.lit("")).try_cast("int")
 
 
 def text_facts(df: DataFrame, text: str = "text", price: str = "asking_price") -> DataFrame:
@@ -168,8 +174,8 @@ def text_facts(df: DataFrame, text: str = "text", price: str = "asking_price") -
         "ebitda_raw": said("_ebitda"),
         "profit_unspecified_raw": said("_profit"),
         "asking_multiple": computed_multiple(F.col(price), F.col("_ebitda_n")),
-        "lease_years": said("_lease").try_cast("int"),
-        "staff_count": said("_staff").try_cast("int"),
+        "lease_years": _whole(said("_lease")),
+        "staff_count": _whole(said("_staff")),
         "reason_for_sale": X.trim_ws(said("_reason")),
         "years_established": said("_years").try_cast("int"),
         "customer_type": F.when(b2b & b2c, "mixed").when(b2b, "B2B").when(b2c, "B2C"),

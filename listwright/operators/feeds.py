@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
-from listwright.functions.joins import lookup
 from listwright.functions.ordered import failure_streak
 from listwright.schemas import SOURCES, conform
 from listwright.session import settle
@@ -54,7 +53,7 @@ def run_streaks(runs: DataFrame, sources: DataFrame | None = None, slices: int |
     if sources is None:
         return failure_streak(runs, "source", "ts", "seq", "ok", slices=slices)
     before = sources.select(F.col("name").alias("source"), F.col("consecutive_failures").alias("_before"))
-    known = lookup(runs, before, "source")
+    known = runs.join(before, "source", "left")
     return failure_streak(known, "source", "ts", "seq", "ok", start="_before", slices=slices).drop("_before")
 
 
@@ -71,15 +70,17 @@ def apply_runs(sources: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``runs(source, ts, seq, ok, discovered, checkpoint, coverage_complete)``. The streak is
     counted in two aggregates (last success, then failures after it), both combined before
-    the shuffle, so a feed with very many runs is no burden.
+    the shuffle, so a feed with very many runs is no burden. A failed run leaves the page
+    checkpoint as it was.
     """
     at = F.struct("ts", "seq")
     last = settle(runs.groupBy("source").agg(
         F.max(F.struct("ts", "seq", "ok", "discovered", "checkpoint", "coverage_complete")).alias("_last"),
         F.max(F.when(F.col("ok"), at)).alias("_won"),
+        F.max(F.when(F.col("ok"), F.struct("ts", "seq", "checkpoint"))).alias("_page"),
     ))
     after = (
-        lookup(runs.filter(~F.col("ok")), last.select("source", "_won"), "source")
+        runs.filter(~F.col("ok")).join(last.select("source", "_won"), "source", "left")
         .filter(F.col("_won").isNull() | (at > F.col("_won")))
         .groupBy("source")
         .agg(F.count("*").alias("_tail"))
@@ -98,7 +99,7 @@ def apply_runs(sources: DataFrame, runs: DataFrame) -> DataFrame:
             {
                 "last_attempt": upd(F.col("_last.ts"), "last_attempt"),
                 "last_success": F.coalesce(F.col("_won.ts"), F.col("last_success")),
-                "pagination_checkpoint": upd(F.col("_last.checkpoint"), "pagination_checkpoint"),
+                "pagination_checkpoint": F.when(F.col("_page").isNotNull(), F.col("_page.checkpoint")).otherwise(F.col("pagination_checkpoint")),
                 "discovered_count": upd(F.col("_last.discovered"), "discovered_count"),
                 "consecutive_failures": upd(before + F.coalesce("_tail", F.lit(0)), "consecutive_failures"),
                 "error_status": upd(F.when(~ok, "fetch_failed"), "error_status"),

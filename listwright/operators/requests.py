@@ -38,13 +38,15 @@ def route_inspections(requests: DataFrame, listings: DataFrame) -> DataFrame:
     # Only the URLs asked for are grouped; a small batch costs the store no shuffle.
     wanted = asked.filter(F.col("url").isNotNull()).select(F.col("url").alias("canonical_url")).distinct()
     urls = by_url(listings.join(wanted, "canonical_url", "left_semi")).withColumnRenamed("url", "_url")
-    joined = asked.join(ids, "_id", "left").join(urls, "_url", "left")
+    # All requests of a batch for one new URL are answered with the stub of the first one.
+    firsts = asked.filter(F.col("url").isNotNull()).groupBy("_url").agg(F.min("requested_at").alias("_first_at"))
+    joined = asked.join(ids, "_id", "left").join(urls, "_url", "left").join(firsts, "_url", "left")
     with_id = F.col("listing_id").isNotNull()
     bad = ~with_id & (F.col("url").isNull() | ~X.is_market_url(F.col("url")))
     state = F.when(with_id, F.col("i_state")).otherwise(F.col("u_state"))
     number = F.coalesce(
         X.url_number(F.col("url"), php=True),
-        F.concat(F.lit("manual:"), F.unix_millis("requested_at").cast("string")),
+        F.concat(F.lit("manual:"), F.unix_millis("_first_at").cast("string")),
     )
     made = F.concat_ws(":", X.feed_of_url(F.col("url")), number)
     status = (

@@ -177,4 +177,4 @@ def rules_input(listings: DataFrame, facts: DataFrame, on: str = "id") -> DataFr
         F.col("description_summary").alias("description"),
         "customer_type", "reason_for_sale", "revenue", "ebitda", "claimed_recurring", "years_established",
     )
-    return left.join(right, on)
+    return left.join(right, on, "left")

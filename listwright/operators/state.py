@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
-from listwright.functions.joins import top_rows
 from listwright.schemas import ACTIVITY, LISTINGS, conform
 
 LATEST = ("title", "location_state", "location_suburb", "sector_raw", "broker_name", "asking_price")
@@ -114,7 +113,7 @@ def claim_batch(
     picked = select_claims(listings, now, limit, lease_minutes).select("id", F.lit(True).alias("_mine"))
     mine = F.coalesce("_mine", F.lit(False))
     return (
-        top_rows(listings, picked, limit, "id", "left")
+        listings.join(picked, "id", "left")
         .withColumns(
             {
                 "processing_state": F.when(mine, "processing").otherwise(F.col("processing_state")),
@@ -268,7 +267,10 @@ def record_reviews(
 ) -> tuple[DataFrame, DataFrame]:
     """Append decisions and set the review state; ``reviews`` are routed as accepted already."""
     rows = reviews.withColumn("event_key", review_key(F.col("listing_id"), F.col("decided_at")))
-    rows = rows.dropDuplicates(["event_key"]).withColumns(
+    # Of several decisions in one millisecond the first one is the one that a replay keeps too.
+    rest = [c for c in rows.columns if c not in ("event_key", seq)]
+    first = rows.groupBy("event_key").agg(F.min(F.struct(seq, *rest)).alias("_first")).select("event_key", "_first.*")
+    rows = first.withColumns(
         {
             "event_type": F.lit("review_decision"),
             "value": F.col("action"),
@@ -285,8 +287,15 @@ def record_reviews(
 
 
 def unknown_url_stubs(requests: DataFrame) -> DataFrame:
-    """Stub for a requested URL nobody has listed yet; ``requests(url, requested_at, seq)``."""
+    """Stub for a requested URL nobody has listed yet; ``requests(url, requested_at, seq)``.
+
+    A URL asked for more than once gets the stub of its first request, and only URLs of a
+    supported market get one.
+    """
     url = F.col("url")
+    asked = requests.filter(url.isNotNull() & X.is_market_url(url))
+    first = F.min(F.struct("requested_at", "seq")).alias("_first")
+    requests = asked.groupBy("url").agg(first).select("url", "_first.requested_at", "_first.seq")
     number = F.coalesce(
         X.url_number(url, php=True),
         F.concat(F.lit("manual:"), F.unix_millis("requested_at").cast("string")),

@@ -186,9 +186,10 @@ def local_dates(spark, folder):
 
 
 # -------------------------------------------------------------------------- streams
+# A table may be one file or a folder of part files; a pattern takes either.
 def _events_stream(spark, folder):
     schema = V.table(spark, folder, "events").schema
-    return prepare(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return prepare(spark).readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
 
 
 @query("stream_upsert", S.FOLD_SQL)
@@ -215,7 +216,7 @@ def stream_discovery(spark, folder):
     """Links of newly landed pages, exploded batch by batch."""
     work = work_dir(spark, "pages")
     schema = V.table(spark, folder, "pages").schema
-    pages = prepare(spark).readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(folder)
+    pages = prepare(spark).readStream.schema(schema).parquet(f"{folder}/pages.parque[t]")
 
     def links(batch):
         found = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
@@ -231,7 +232,7 @@ def stream_digest(spark, folder):
     """Delivery of a stream of entries: pending, outbox, confirmed."""
     work = work_dir(spark, "digest")
     schema = V.table(spark, folder, "orders").schema
-    orders = prepare(spark).readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
+    orders = prepare(spark).readStream.schema(schema).parquet(f"{folder}/orders.parque[t]")
     entries = orders.select(
         F.concat_ws(":", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("id"),
         F.concat(F.lit("https://bsale.com.au/listing/business-"), F.col("o_orderkey").cast("string")).alias("canonical_url"),

@@ -181,7 +181,7 @@ _LINES_CTE = f"SELECT page_id, id, html, {LINES} AS t FROM v_details"
 @query("detail_fields", with_views(f"""
 SELECT id, trim(regexp_replace(nullif({_H1}, ''), '(?i)&[a-z]+;', ' ', 'g')) AS title, {_state_code(f"trim({_first(_PLACE_A, 2)})")} AS location_state,
   trim({_first(_PLACE_A, 1)}) AS location_suburb, trim({_first('Business Category\\s+([^\\n]+)')}) AS sector_raw,
-  trim({_first('(?:Broker|Agent|Listed by)[: \\n]+([A-Za-z ]+?) *(?:\\n|Email|Phone|Mobile|<|$)')}) AS broker_name,
+  trim({_first('(?:Broker|Agent|Listed by)(?: *:[ \\n]*| +)([A-Za-z ]+?) *(?:\\n|Email|Phone|Mobile|<|$)')}) AS broker_name,
   {_money(_first('Asking Price:\\s*\\$?([0-9,]+)'))} AS asking_price, trim({_first('Sales revenue\\s*:\\s*([^\\n]+)')}) AS revenue_raw,
   trim({_first('Net profit\\s*:\\s*([^\\n]+)')}) AS profit_raw
 FROM ({_LINES_CTE})""", "v_details"))
@@ -192,7 +192,7 @@ def detail_fields(spark, folder):
 
 
 _PLACE_B = f"([A-Za-z ]+), *({'|'.join(C.STATE_NAMES)}) *[0-9]{{4}}"
-_BROKER_B = f"trim({_first('(?:Private Seller|Business Broker|Broker)[ \\n:]+([A-Za-z ]+?) *(?:\\n|Phone|Email|Mobile|$)')})"
+_BROKER_B = f"trim({_first('(?:(?:Business Broker|Broker)(?: *:[ \\n]*| +)|Private Seller *:[ \\n]*)([A-Za-z ]+?) *(?:\\n|Phone|Email|Mobile|$)')})"
 
 
 @query("detail_fields_items", with_views(f"""
@@ -200,7 +200,7 @@ SELECT id, replace({_NAMED(_H1)}, '&#233;', 'é') AS title, {_state_code(_first(
   trim({_first('Business Category\\s+([^\\n]+)')}) AS sector_raw,
   CASE WHEN {_BROKER_B} IS NOT NULL AND NOT contains({_BROKER_B}, 'Broker') THEN {_BROKER_B} WHEN contains(t, 'Private Seller') THEN 'Private Seller' END AS broker_name,
   {_money(_first('\\$([0-9,]+)(?:\\s|$|\\+)'))} AS asking_price, nullif(trim({_first('Turnover:\\s*([^\\n]+)')}), 'Not disclosed') AS revenue_raw,
-  nullif(trim({_first('Net Profit:\\s*([^\\n]+)')}), 'Not disclosed') AS profit_raw, lower({_first('(?i)(sold|under contract|off market)')}) AS advertised_status
+  nullif(trim({_first('Net Profit:\\s*([^\\n]+)')}), 'Not disclosed') AS profit_raw, lower({_first('(?im)^ *(sold|under contract|off market) *$')}) AS advertised_status
 FROM ({_LINES_CTE})""", "v_details"))
 def detail_fields_items(spark, folder):
     return detail.item_details(V.detail_pages(spark, folder)).select("id", *detail.FIELDS)
@@ -271,7 +271,22 @@ def _by_state(df):
     return df.withColumn("state", state).withColumn("source", F.lit(C.ITEM_FEED))
 
 
-@query("pagination_states")
+def _states_sql() -> str:
+    """Each state's rows without ids that earlier states kept, cut off, one group per state."""
+    names = ("view", "click", "error", "purchase", "signup")
+    groups, kept = [], []
+    for i, (source, state) in enumerate(zip(names, C.FEED_STATES)):
+        seen = " UNION ALL ".join(f"SELECT source_listing_id FROM k{j}" for j in range(i)) or "SELECT NULL WHERE false"
+        groups.append(f"""r{i} AS (SELECT *, row_number() OVER (PARTITION BY source_listing_id ORDER BY page_no, pos) AS r FROM v_stubs
+  WHERE source = '{source}' AND source_listing_id NOT IN ({seen})),
+c{i} AS (SELECT min(p.page_no) FILTER (WHERE NOT p.ok OR n IS NULL) AS cut FROM v_fpages p
+  LEFT JOIN (SELECT page_no, count(*) AS n FROM r{i} WHERE r = 1 GROUP BY 1) f USING (page_no) WHERE p.source = '{source}'),
+k{i} AS (SELECT '{state}' AS state, source_listing_id, page_no, pos FROM r{i}, c{i} WHERE r = 1 AND (cut IS NULL OR page_no < cut))""")
+        kept.append(f"SELECT * FROM k{i}")
+    return "WITH " + ",\n".join(groups) + "\n" + " UNION ALL ".join(kept)
+
+
+@query("pagination_states", with_views(_states_sql(), "v_stubs", "v_fpages"))
 def pagination_states(spark, folder):
     stubs, pages = _by_state(V.feed_stubs(spark, folder)), _by_state(V.feed_pages(spark, folder))
     found = discovery.discovered_by_state(stubs, pages, C.FEED_STATES[:5])
@@ -279,9 +294,9 @@ def pagination_states(spark, folder):
 
 
 _COVER = f"""SELECT source, NOT any_failed AND NOT coalesce(hit, false) AS coverage_complete, pages_ok > 0 AS success,
-  CASE WHEN any_failed OR coalesce(hit, false) THEN CAST(coalesce(last_page, 0) + 1 AS VARCHAR) END AS next_checkpoint
+  CASE WHEN any_failed OR coalesce(hit, false) THEN CAST(coalesce(first_failed, coalesce(last_page, 0) + 1) AS VARCHAR) END AS next_checkpoint
   FROM (SELECT p.source, max(page_no) FILTER (WHERE ok AND (cut IS NULL OR page_no < cut)) AS last_page, count(*) FILTER (WHERE ok) AS pages_ok,
-    count(*) FILTER (WHERE NOT ok AND http_status <> 404) > 0 AS any_failed, max(CASE WHEN ok AND (cut IS NULL OR page_no < cut) THEN page_no >= limit_page END) AS hit
+    count(*) FILTER (WHERE NOT ok AND http_status <> 404) > 0 AS any_failed, min(page_no) FILTER (WHERE NOT ok AND http_status <> 404) AS first_failed, max(CASE WHEN ok AND (cut IS NULL OR page_no < cut) THEN page_no >= limit_page END) AS hit
     FROM v_fpages p JOIN ({_CUTS}) c ON c.source = p.source WHERE cut IS NULL OR page_no <= cut GROUP BY 1)"""
 
 

@@ -126,10 +126,10 @@ def rules_outcome_counts(spark, folder):
 
 
 @query("wide_exclusions", with_views(f"""
-SELECT id, sector IN {_in(C.EXCLUDED_SECTORS_WIDE)} AND NOT contains(lower(coalesce(title, '')), 'franchise') AS sector_excluded
-FROM v_rules WHERE sector IS NOT NULL""", "v_rules"))
+SELECT id, coalesce(sector IN {_in(C.EXCLUDED_SECTORS_WIDE)}, false) AND NOT contains(lower(coalesce(title, '')), 'franchise') AS sector_excluded
+FROM v_rules""", "v_rules"))
 def wide_exclusions(spark, folder):
-    ruled = _ruled(spark, folder, RuleConfig(wide_exclusions=True)).filter(F.col("sector").isNotNull())
+    ruled = _ruled(spark, folder, RuleConfig(wide_exclusions=True))
     hit = F.coalesce(F.startswith("exclusion_reason", F.lit("Hard exclusion: sector (")), F.lit(False))
     return ruled.select("id", hit.alias("sector_excluded"))
 
@@ -139,7 +139,7 @@ SELECT id, array_to_string(list_filter([
   CASE WHEN asking_price > {C.PRICE_FLAG} THEN {_fmt(C.M_PRICE_HIGH, _MONEY('asking_price'))} END,
   CASE WHEN share > {C.CONCENTRATION_FLAG_PCT} THEN {_fmt(C.M_CONCENTRATION, 'share')} END,
   CASE WHEN ebitda < 0 THEN {_fmt(C.M_EBITDA_NEGATIVE, _MONEY('ebitda'))} END], lambda s: s IS NOT NULL), ' | ') AS flags
-FROM (SELECT *, TRY_CAST(regexp_extract(description, '(?i)([0-9]{{1,3}})\\s*% of (?:revenue|sales|turnover)', 1) AS INTEGER) AS share FROM v_rules)""", "v_rules"))
+FROM (SELECT *, TRY_CAST(regexp_extract(description, '(?i)(?:^|[^0-9.,])([0-9]+)(?:\\.[0-9]+)?\\s*% of (?:revenue|sales|turnover)', 1) AS INTEGER) AS share FROM v_rules)""", "v_rules"))
 def size_flags(spark, folder):
     flags = F.array_compact(F.array(*rules.size_flags()))
     return V.rule_rows(spark, folder).select("id", F.array_join(flags, " | ").alias("flags"))
@@ -158,7 +158,7 @@ def keyword_whole_words(spark, folder):
 
 
 @query("rules_from_store", with_views("""
-SELECT v.id, f.revenue, f.sector, v.title FROM v_listings v JOIN v_facts f USING (k)""", "v_listings", "v_facts"))
+SELECT v.id, f.revenue, f.sector, v.title FROM v_listings v LEFT JOIN v_facts f USING (k)""", "v_listings", "v_facts"))
 def rules_from_store(spark, folder):
     """Rule inputs assembled from stored rows and facts."""
     stored = V.listings(spark, folder).select("k", "id", "title", "location_state", "asking_price")
@@ -257,8 +257,8 @@ _B2B, _B2C = sql_any("text", C.B2B_WORDS), sql_any("text", facts_op.CONSUMER)
 SELECT id, {_am(facts_op.REVENUE)} AS revenue, {_raw(facts_op.REVENUE)} AS revenue_raw, {_am(facts_op.EBITDA)} AS ebitda, {_raw(facts_op.EBITDA)} AS ebitda_raw,
   {_raw(facts_op.PROFIT)} AS profit_unspecified_raw,
   CASE WHEN asking_price > 0 AND {_am(facts_op.EBITDA)} > 0 THEN floor(CAST(asking_price AS DOUBLE) / {_am(facts_op.EBITDA)} * 10 + CAST(0.5 AS DOUBLE)) / 10 END AS asking_multiple,
-  CAST(nullif(regexp_extract(text, '(?i)([0-9]{{1,2}})[ -]years? lease', 1), '') AS INTEGER) AS lease_years,
-  CAST(nullif(regexp_extract(text, '(?i)([0-9]{{1,4}}) (?:full[- ]time |part[- ]time )?(?:staff|employees)', 1), '') AS INTEGER) AS staff_count,
+  TRY_CAST(replace(nullif(regexp_extract(text, '(?i)(?:^|[^0-9.,])([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)[ -]years? lease', 1), ''), ',', '') AS INTEGER) AS lease_years,
+  TRY_CAST(replace(nullif(regexp_extract(text, '(?i)(?:^|[^0-9.,])([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+) (?:full[- ]time |part[- ]time )?(?:staff|employees)', 1), ''), ',', '') AS INTEGER) AS staff_count,
   nullif(trim(regexp_extract(text, '(?i)reason for (?:sale|selling)[: ]+([^.\\n]+)', 1)), '') AS reason_for_sale,
   CASE WHEN {_B2B} AND {_B2C} THEN 'mixed' WHEN {_B2B} THEN 'B2B' WHEN {_B2C} THEN 'B2C' END AS customer_type,
   regexp_matches(text, '(?i)\\b(?:contracts?|service agreements?|retainers?|subscriptions?|recurring revenue)\\b') AS claimed_recurring,

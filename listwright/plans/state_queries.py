@@ -457,7 +457,7 @@ s AS (SELECT *, CASE WHEN listing_id IS NOT NULL THEN i_state ELSE u_state END A
 t AS (SELECT *, CASE WHEN listing_id IS NULL AND (url IS NULL OR NOT ({_HOST} LIKE '%.com' OR {_HOST} LIKE '%.com.au')) THEN 'invalid'
   WHEN st = 'done' THEN 'found' WHEN st = 'processing' THEN 'processing' WHEN st IS NOT NULL THEN 'queued' WHEN url IS NOT NULL THEN 'created' ELSE 'not_found' END AS status FROM s)
 SELECT request_id, status, CASE WHEN status = 'created' THEN CASE WHEN contains(url, 'bsale.com.au') THEN 'bsale' ELSE 'business2sell' END || ':' ||
-    coalesce(nullif(regexp_extract(url, '-([0-9]+)(?:\\.php)?$', 1), ''), 'manual:' || CAST(floor(epoch_us(requested_at) / 1000) AS BIGINT))
+    coalesce(nullif(regexp_extract(url, '-([0-9]+)(?:\\.php)?$', 1), ''), 'manual:' || CAST(floor(epoch_us(min(requested_at) OVER (PARTITION BY url)) / 1000) AS BIGINT))
   WHEN status IN ('found','processing','queued') THEN CASE WHEN listing_id IS NOT NULL THEN i_id ELSE u_id END END AS answer_id,
   CASE WHEN status = 'found' THEN strftime(CASE WHEN listing_id IS NOT NULL THEN i_f ELSE u_f END, '%Y-%m-%dT%H:%M:%S.000Z') END AS last_checked
 FROM t""", "v_inspect", "v_listings"))
@@ -469,12 +469,13 @@ def inspect_route(spark, folder):
 
 @query("unknown_url_stubs", with_views("""
 SELECT CASE WHEN contains(url, 'bsale.com.au') THEN 'bsale' ELSE 'business2sell' END AS source,
-  coalesce(nullif(regexp_extract(url, '-([0-9]+)(?:\\.php)?$', 1), ''), 'manual:' || CAST(floor(epoch_us(requested_at) / 1000) AS BIGINT)) AS source_listing_id,
+  coalesce(nullif(regexp_extract(url, '-([0-9]+)(?:\\.php)?$', 1), ''), 'manual:' || CAST(floor(epoch_us(min(requested_at)) / 1000) AS BIGINT)) AS source_listing_id,
   url AS canonical_url, 'On-demand inspection' AS title
-FROM v_inspect q WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_listings l WHERE l.canonical_url = q.url)""", "v_inspect", "v_listings"))
+FROM v_inspect q WHERE (url LIKE 'https://bsale.com.au/%' OR url LIKE 'https://www.business2sell.com.au/%')
+  AND NOT EXISTS (SELECT 1 FROM v_listings l WHERE l.canonical_url = q.url) GROUP BY url""", "v_inspect", "v_listings"))
 def unknown_url_stubs(spark, folder):
     asked = V.inspections(spark, folder).filter(F.col("url").isNotNull()).withColumnRenamed("request_id", "seq")
-    known = V.listings(spark, folder).select(F.col("canonical_url").alias("url")).distinct()
+    known = V.listings(spark, folder).select(F.col("canonical_url").alias("url"))
     stubs = state.unknown_url_stubs(asked.join(known, "url", "left_anti"))
     return stubs.select("source", "source_listing_id", "canonical_url", "title")
 

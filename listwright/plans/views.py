@@ -503,8 +503,9 @@ def card_pages(spark: SparkSession, folder: str) -> DataFrame:
                      F.when(i % 2 == 0, F.concat(F.lit(' aria-label="Shop  '), number, F.lit(' for sale"'))).otherwise(F.lit("")), F.lit(">more</a>"))
         )
         price = F.when(i % 3 == 1, F.concat(F.lit("<b>Asking Price: $"), F.format_number(n * 1000 + i, 0), F.lit("</b>"))).otherwise(F.lit(""))
-        # Padding wider than the look-back keeps a card without a link from borrowing one.
-        return F.concat(F.lit('<article data-listing-id="'), number, F.lit('">'), link, price, F.lit("</article>"), F.repeat(F.lit(" "), 600))
+        # Some cards hold a long inline image before their link and price.
+        image = F.when(i % 4 < 2, F.concat(F.lit('<img src="data:image/png;base64,'), F.repeat(F.lit("iVBOR"), 400), F.lit('">'))).otherwise(F.lit(""))
+        return F.concat(F.lit('<article data-listing-id="'), number, F.lit('">'), image, link, price, F.lit("</article>"), F.repeat(F.lit(" "), 600))
 
     cards = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(CARDS_PER_PAGE)), card), "")
     return p.select("page_id", F.concat("html", cards).alias("html"))
@@ -629,7 +630,7 @@ def ad_texts(spark: SparkSession, folder: str) -> DataFrame:
     stated = F.concat(
         F.lit(" Annual turnover of $"), F.format_number(n * 1500 + 400_000, 0), F.lit(". "),
         F.when(n % 3 == 0, F.concat(F.lit("EBITDA: $"), (n % 900 + 100).cast("string"), F.lit("k. "))).when(n % 3 == 1, F.lit("Net profit is $1.25m. ")).otherwise(F.lit("")),
-        F.when(n % 4 == 0, F.lit("5 year lease, 12 full-time staff. ")).otherwise(F.lit("")),
+        F.when(n % 4 == 0, F.lit("5 year lease, 12 full-time staff. ")).when(n % 4 == 2, F.lit("125 year lease, 12,500 employees. ")).otherwise(F.lit("")),
         F.when(n % 5 == 0, F.lit("Reason for sale: owner retirement. ")).otherwise(F.lit("")),
         F.when(n % 6 == 0, F.lit("Long service agreements in place. ")).otherwise(F.lit("")),
         pick(tuple(w[1][0] for w in C.SECTOR_WORDS), n), F.lit(" "), pick(PHRASES, n),
@@ -645,7 +646,7 @@ def ad_texts(spark: SparkSession, folder: str) -> DataFrame:
 _SQL["v_ads"] = ((), f"""
   SELECT 'd:' || doc_id AS id, text || ' Annual turnover of $' || format('{{:,}}', doc_id * 1500 + 400000) || '. '
     || CASE doc_id % 3 WHEN 0 THEN 'EBITDA: $' || (doc_id % 900 + 100) || 'k. ' WHEN 1 THEN 'Net profit is $1.25m. ' ELSE '' END
-    || CASE WHEN doc_id % 4 = 0 THEN '5 year lease, 12 full-time staff. ' ELSE '' END
+    || CASE doc_id % 4 WHEN 0 THEN '5 year lease, 12 full-time staff. ' WHEN 2 THEN '125 year lease, 12,500 employees. ' ELSE '' END
     || CASE WHEN doc_id % 5 = 0 THEN 'Reason for sale: owner retirement. ' ELSE '' END
     || CASE WHEN doc_id % 6 = 0 THEN 'Long service agreements in place. ' ELSE '' END
     || {sql_pick(tuple(w[1][0] for w in C.SECTOR_WORDS), 'doc_id')} || ' ' || {sql_pick(PHRASES, 'doc_id')} AS text,

@@ -104,9 +104,11 @@ def discovery_stream(pages: DataFrame, discover, out: str, checkpoint: str) -> D
     def work(batch: DataFrame, batch_id: int) -> None:
         discover(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
+    spark, schema = pages.sparkSession, discover(pages).schema
+    # Readable when no page has landed yet.
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
     _drain(pages, work, checkpoint)
-    spark = pages.sparkSession
-    return spark.read.option("basePath", out).parquet(out).drop("batch")
+    return spark.read.schema(schema).option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
 
 
 def run_log_stream(runs: DataFrame, sources: DataFrame, root: str, checkpoint: str) -> DataFrame:
@@ -141,7 +143,7 @@ def delivery_stream(candidates: DataFrame, root: str, outbox: str, checkpoint: s
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        entries = batch.select("id", "canonical_url").dropDuplicates(["id"])
+        entries = batch.groupBy("id").agg(F.min("canonical_url").alias("canonical_url"))
         log = snapshots.read_range(spark, root, ACTIVITY, -1, 2 * batch_id - 1)
         todo = entries.join(digest.confirmed_ids(log), "id", "left_anti")
         snapshots.write_version(state.pending_rows(log, todo, now), root, 2 * batch_id)

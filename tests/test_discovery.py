@@ -55,11 +55,9 @@ def test_cards_match_a_plain_search(spark):
     marks = [m.start() for m in re.finditer(r'<[^<>]*data-listing-id="\d+"', html)]
     for i, m in enumerate(re.finditer(r'data-listing-id="(\d+)"', html)):
         end = marks[i + 1] if i + 1 < len(marks) else len(html)
-        after_next = marks[i + 2] if i + 2 < len(marks) else len(html)
-        stop = m.start() + C.CARD_CHARS_AFTER
-        prev = html[(marks[i - 1] if i else 0): marks[i]][-C.CARD_CHARS_BEFORE:]
-        own = html[marks[i]: min(end, stop)]
-        links = re.findall(r'href="(/businesses-details/[^"]+)"', prev + html[marks[i]: min(after_next, stop)])
+        lead = re.search(r"<[^<>]*>\s*$", html[(marks[i - 1] if i else 0): marks[i]])
+        own = html[marks[i]: end]
+        links = re.findall(r'href="(/businesses-details/[^"]+)"', (lead.group(0) if lead else "") + own)
         mine = [x for x in links if x.endswith(f"-{m.group(1)}.php")]
         inner = re.findall(r'href="(/businesses-details/[^"]+)"', own)
         pick = (mine or inner or [None])[0]
@@ -68,6 +66,12 @@ def test_cards_match_a_plain_search(spark):
     assert [(n, p) for n, p, _, _ in cards(spark, html)] == want
 
 
+def test_long_cards(spark):
+    image = '<img src="data:' + "A" * 1500 + '">'
+    html = f'<i data-listing-id="4">{image}<a href="/businesses-details/a-4.php">x</a>{image}Asking Price: $5,000</i>'
+    assert cards(spark, html) == [("4", "/businesses-details/a-4.php", "a", 5000)]
+
+
 def test_item_lists(spark):
     def block(x):
         return f'<script nonce="1" type="application/ld+json">{x if isinstance(x, str) else json.dumps(x)}</script>'
@@ -182,6 +186,15 @@ def test_details(spark):
     assert (b.asking_price, b.revenue_raw, b.profit_raw, b.advertised_status) == (40000, None, "$2,000 pw", "sold")
 
 
+def test_names_and_status_stay_on_their_line(spark):
+    rows = [
+        ("a", "<p>Private Seller</p><p>Contact this seller</p><p>We sold 40 units, unsold stock included.</p>"),
+        ("b", "<p>Broker: Ann Lee</p><p>Under contract</p>"), ("c", "<p>Broker</p><p>Great views</p>"), ("d", "<p>Broker Bo Ek Phone 1</p>")]
+    found = detail.item_details(spark.createDataFrame(rows, "id string, html string")).collect()
+    got = {r.id: (r.broker_name, r.advertised_status) for r in found}
+    assert got == {"a": ("Private Seller", None), "b": ("Ann Lee", "under contract"), "c": (None, None), "d": ("Bo Ek", None)}
+
+
 def test_overlay_prefers_stated(spark):
     cols = "id string, title string, location_state string, location_suburb string, sector_raw string, broker_name string, asking_price bigint"
     old = spark.createDataFrame([("a", "old", "VIC", None, "s", "b", 1), ("z", "z", None, None, None, None, None)], cols)

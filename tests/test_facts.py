@@ -72,6 +72,16 @@ def test_native_facts(spark):
     assert b.sector_classification == "Unknown" and c.revenue is None and c.claimed_recurring is False
 
 
+def test_whole_numbers(spark):
+    rows = [
+        ("12000 staff, 100 year lease.", 12000, 100, None), ("12,500 employees and a 125 year lease", 12500, 125, None),
+        ("99999999999 staff", None, None, None), ("Revenue of $10,000,000,000,000 million", None, None, None), ("Turnover\n$5k\nsold 4 units", None, None, 5000)]
+    df = spark.createDataFrame([(i, r[0], None) for i, r in enumerate(rows)], "id int, text string, asking_price bigint")
+    got = {r.id: r.facts for r in facts.text_facts(df).collect()}
+    assert [(got[i].staff_count, got[i].lease_years, got[i].revenue) for i in range(5)] == [r[1:] for r in rows]
+    assert all(f.advertised_status is None for f in got.values())
+
+
 def test_prompt_keeps_the_whole_text(spark):
     df = spark.createDataFrame([("x" * 20_000,)], "t string")
     whole = df.select(facts.render_prompt(F.lit("T"), F.lit(5000), F.col("t")).alias("p")).first().p

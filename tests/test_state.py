@@ -179,7 +179,7 @@ def test_runs_fold_into_sources(spark):
         [("a", at[0], 1, False, 0, "2", False), ("a", at[1], 2, False, 0, "3", False), ("b", at[0], 3, True, 9, None, True), ("b", at[1], 4, False, 0, "5", False)], RUNS)
     got = by_id(feeds.apply_runs(df, runs), "name")
     assert (got["a"].consecutive_failures, got["a"].last_success, got["a"].last_attempt, got["a"].error_status) == (3, T0, at[1], "fetch_failed")
-    assert (got["b"].consecutive_failures, got["b"].last_success, got["b"].pagination_checkpoint) == (1, at[0], "5")
+    assert (got["b"].consecutive_failures, got["b"].last_success, got["b"].pagination_checkpoint) == (1, at[0], None)
     assert got["c"].error_status == "kept" and got["c"].last_attempt is None
     # One run after another gives the same.
     step = df
