@@ -36,7 +36,7 @@ SPACE = "▁"
 # Letters, without the small digits that Python counts among them.
 _LETTER = re.compile(r"[^\W\d_²³¹]")
 _RUN = re.compile(f"{SPACE}*[^\\W\\d_²³¹]+|{SPACE}*(?:[^\\w{SPACE}]+|[\\d_²³¹]+)+|{SPACE}+")
-_MOST_EDGES = 8_000_000
+_MOST_EDGES = 4_000_000
 
 
 def _hash_of(text: str) -> np.uint64:
@@ -98,7 +98,7 @@ class Lattices:
         self.run: dict[str, int] = {}
         self.count = dict.fromkeys(("run", "node", "edge", "code"), 0)
         kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int64, "chance": np.float64, "sum": np.float64,
-                 "to": np.int32, "logp": np.float64, "rest": np.float64, "code_from": np.int64, "code": np.int32}
+                 "to": np.int32, "logp": np.float64, "rest": np.float32, "code_from": np.int32, "code": np.int32}
         self.flat = {k: np.zeros(1 << 18, t) for k, t in kinds.items()}
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
@@ -236,7 +236,7 @@ class Lattices:
 
     def codes(self, edges: np.ndarray) -> np.ndarray:
         """The piece ids of edges one after the other."""
-        lo = self.flat["code_from"][edges]
+        lo = self.flat["code_from"][edges].astype(np.int64)
         n = self.flat["code_from"][edges + 1] - lo
         if (n == 1).all():
             return self.flat["code"][lo]
