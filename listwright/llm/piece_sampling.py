@@ -36,7 +36,7 @@ SPACE = "▁"
 # Letters, without the small digits that Python counts among them.
 _LETTER = re.compile(r"[^\W\d_²³¹]")
 _RUN = re.compile(f"{SPACE}*[^\\W\\d_²³¹]+|{SPACE}*(?:[^\\w{SPACE}]+|[\\d_²³¹]+)+|{SPACE}+")
-_MOST_EDGES = 4_000_000
+_MOST_EDGES = 6_000_000
 
 
 def _hash_of(text: str) -> np.uint64:
@@ -73,12 +73,17 @@ class Lattices:
         self.hashes, self.hash_ids = hashes[by], order[by]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces have one hash")
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[hashes >> np.uint64(42)] = True
-        # Beginnings of longer pieces: a stretch that is none cannot grow into a piece.
+        # A bucket per leading bits: where its hashes begin, behind which all of them stand.
+        buckets = np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)
+        self.bucket = np.searchsorted(self.hashes, buckets).astype(np.int32)
+        self.deepest = int(np.bincount((self.hashes >> np.uint64(46)).astype(np.int64)).max())
+        self.hashes = np.append(self.hashes, np.full(self.deepest, np.uint64(2**64 - 1)))
+        self.hash_ids = np.append(self.hash_ids, np.full(self.deepest, -1, np.int32))
+        # Bit 1: may be a piece. Bit 2: may begin a longer piece; a stretch that does not cannot grow into one.
+        self.hints = np.zeros(1 << 21, np.uint8)
+        self.hints[hashes >> np.uint64(43)] = 1
         heads = {p[:k] for _, p in plain for k in range(1, len(p))}
-        self.grows = np.zeros(1 << 22, bool)
-        self.grows[np.array([_hash_of(h) for h in heads], np.uint64) >> np.uint64(42)] = True
+        self.hints[np.array([_hash_of(h) for h in heads], np.uint64) >> np.uint64(43)] |= 2
         ranks = np.arange(len(self.pieces)) - first + 1
         self.weight = np.where(ranks > 0, -sharpness * np.log(np.maximum(ranks, 1) * total), 0.0)
         self.bytes = {int(p[3:5], 16): i for i, p in kinds if model.is_byte(i)}
@@ -87,19 +92,33 @@ class Lattices:
         pairs = {(a, b) for _, p in plain for a, b in zip(p, p[1:], strict=False) if a != SPACE}
         if any(b == SPACE or bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for a, b in pairs):
             raise ValueError("this vocabulary joins letters to other characters")
-        self.shown = list(self.pieces)
+        shown = list(self.pieces)
         for byte, i in self.bytes.items():
-            self.shown[i] = chr(byte) if byte < 128 else ""
+            shown[i] = chr(byte) if byte < 128 else ""
+        self.shown_size = np.fromiter(map(len, shown), np.int64, len(shown))
+        self.shown_from = np.cumsum(self.shown_size) - self.shown_size
+        self.shown_chars = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32)
         self.high = np.zeros(len(self.pieces), bool)
         self.high[[i for byte, i in self.bytes.items() if byte >= 128]] = True
+        kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int64, "chance": np.float64, "sum": np.float64,
+                 "to": np.int32, "logp": np.float64, "rest": np.float32, "code_from": np.int32, "code": np.int32}
+        self.flat = {k: np.zeros(1 << 18, t) for k, t in kinds.items()}
         self.forget()
 
     def forget(self) -> None:
+        """Begin anew, in the arrays that are there."""
         self.run: dict[str, int] = {}
         self.count = dict.fromkeys(("run", "node", "edge", "code"), 0)
-        kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int64, "chance": np.float64, "sum": np.float64,
-                 "to": np.int32, "logp": np.float64, "rest": np.float32, "code_from": np.int32, "code": np.int32}
-        self.flat = {k: np.zeros(1 << 18, t) for k, t in kinds.items()}
+
+    def _pieces(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among those of the pieces, or -1."""
+        place = self.bucket[h >> np.uint64(46)]
+        open_ = np.flatnonzero(self.hashes[place] != h)
+        for _ in range(1, self.deepest):
+            place[open_] += 1
+            open_ = open_[self.hashes[place[open_]] != h[open_]]
+        place[open_] = -1
+        return place
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         have = self.flat[name]
@@ -110,7 +129,7 @@ class Lattices:
         have[at : at + len(values)] = values
 
     def _learn(self, runs: list[str]) -> None:
-        """Edges of new runs, best first at each place, with chances given the place."""
+        """Edges of new runs, the best of each place first, with chances given the place."""
         text = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, runs), np.int64, len(runs))
         n, stop = len(text), np.cumsum(size)
@@ -118,55 +137,67 @@ class Lattices:
         power, inverse = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mixed(text.astype(np.uint64)) * power[:n], out=sums[1:])
-        starts, ends, ids, weights = [], [], [], []
+        found = []
         growing = np.arange(n)
         for length in range(1, self.longest + 1):
             at = growing[ahead[growing] >= length]
             if not len(at):
                 break
             h = mixed((sums[at + length] - sums[at]) * inverse[at] + np.uint64(length))
-            slot = h >> np.uint64(42)
-            growing = at[self.grows[slot]]
-            hit = np.flatnonzero(self.maybe[slot])
-            place = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
-            good = self.hashes[place] == h[hit]
-            at, found = at[hit[good]], self.hash_ids[place[good]]
-            starts.append(at)
-            ends.append(at + length)
-            ids.append(found)
-            weights.append(self.weight[found])
+            hints = self.hints[h >> np.uint64(43)]
+            growing = at[hints > 1]
+            hit = np.flatnonzero(hints & 1)
+            place = self._pieces(h[hit])
+            good = place >= 0
+            at, ids = at[hit[good]], self.hash_ids[place[good]]
             if length == 1:
                 # A character that is no piece is spelled in bytes.
                 bare = np.ones(n, bool)
                 bare[at] = False
                 bare = np.flatnonzero(bare)
                 spelled = [chr(c).encode("utf-8", "replace") for c in text[bare].tolist()]
-                starts.append(bare)
-                ends.append(bare + 1)
-                ids.append(-1 - np.arange(len(bare)))
-                weights.append(self.byte_weight * np.fromiter(map(len, spelled), np.int64, len(bare)))
-        start, end, piece, weight = map(np.concatenate, (starts, ends, ids, weights))
+                spent = self.byte_weight * np.fromiter(map(len, spelled), np.int64, len(bare))
+                found.append((bare, 1, -1 - np.arange(len(bare)), spent))
+            found.append((at, length, ids, self.weight[ids]))
+        # One place after the other, long edges first; a place has one edge of a length.
+        count = np.zeros(n, np.int64)
+        for at, *_ in found:
+            count[at] += 1
+        first = np.cumsum(count) - count
+        total, free = int(count.sum()), first.copy()
+        end, piece, weight = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        for at, length, ids, own in reversed(found):
+            to = free[at]
+            free[at] += 1
+            end[to], piece[to], weight[to] = at + length, ids, own
+        start = np.repeat(np.arange(n), count)
         # Backward from the runs' ends, all runs at once: a place needs only places nearer to the end.
-        by = np.lexsort((start, ahead[start]))
-        start, end, piece, weight = start[by], end[by], piece[by], weight[by]
+        narrow = ahead.astype(np.uint16) if int(size.max()) < 1 << 16 else ahead
+        nodes = np.argsort(narrow, kind="stable")
+        many = count[nodes]
+        cuts = np.cumsum(many) - many
+        edge = np.repeat(first[nodes] - cuts, many) + np.arange(total)
         behind = np.zeros(n + 1)
-        last = end == np.repeat(stop, size)[start]
-        levels = np.flatnonzero(np.diff(ahead[start], prepend=0, append=-1))
-        for lo, hi in zip(levels[:-1], levels[1:], strict=True):
-            own = start[lo:hi]
-            value = weight[lo:hi] + np.where(last[lo:hi], 0.0, behind[end[lo:hi]])
-            cut = np.flatnonzero(np.diff(own, prepend=-1))
+        beyond = np.where(ahead[start] == end - start, n, end)
+        target, cost = beyond[edge], weight[edge]
+        levels = np.flatnonzero(np.diff(ahead[nodes], prepend=0, append=-1))
+        upper = np.append(cuts, total)
+        for a, b in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True):
+            lo, hi = upper[a], upper[b]
+            value = cost[lo:hi] + behind[target[lo:hi]]
+            cut = cuts[a:b] - lo
             top = np.maximum.reduceat(value, cut)
-            count = np.diff(np.append(cut, len(own)))
-            behind[own[cut]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), cut))
-        logp = weight + np.where(last, 0.0, behind[end]) - behind[start]
-        by = np.lexsort((-logp, start))
-        start, end, piece, logp = start[by], end[by], piece[by], logp[by]
-        first = np.searchsorted(start, np.arange(n))
+            behind[nodes[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, many[a:b])), cut))
+        logp = weight + behind[beyond] - behind[start]
+        best = np.flatnonzero(logp == np.repeat(np.maximum.reduceat(logp, first), count))
+        lead = np.empty(n, np.int64)
+        lead[start[best]] = best
+        for values in (end, piece, logp):
+            values[first], values[lead] = values[lead], values[first]
         chance = np.exp(logp)
         running = np.cumsum(chance)
-        upto = running - np.repeat(running[first] - chance[first], np.diff(np.append(first, len(start))))
-        final = np.append(first[1:], len(start)) - 1
+        upto = running - np.repeat(running[first] - chance[first], count)
+        final = first + count - 1
         upto = np.minimum(upto, 1.0)
         upto[final] = 1.0
         codes = np.ones(len(piece), np.int64)
@@ -210,9 +241,20 @@ class Lattices:
         flat, n = self.flat, self.count["edge"]
         edge = flat["edge_from"][at]
         other = np.flatnonzero(u >= flat["chance"][at])
-        if len(other):
+        if not len(other):
+            return edge
+        if len(other) < 64:
             edge[other] = np.minimum(
                 np.searchsorted(flat["sum"][:n], at[other] + u[other], "right"), flat["edge_from"][at[other] + 1] - 1)
+            return edge
+        # A place has few edges, so they are tried one after the other.
+        tried, last, sought = edge[other] + 1, flat["edge_from"][at[other] + 1] - 1, at[other] + u[other]
+        live = np.flatnonzero((tried < last) & (flat["sum"][tried] <= sought))
+        while len(live):
+            tried[live] += 1
+            now = tried[live]
+            live = live[(now < last[live]) & (flat["sum"][now] <= sought[live])]
+        edge[other] = np.minimum(tried, last)
         return edge
 
     def walks(self, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,10 +294,14 @@ def _gumbel(u: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
 
 
-def _below(value: np.ndarray, bound: float) -> np.ndarray:
-    """Gumbel values given that they are below a bound."""
+def _below(mass: np.ndarray, u: np.ndarray, bound: float) -> np.ndarray:
+    """Gumbel values of sets of such log-probabilities, given that they are below a bound."""
+    top = mass.max()
+    if not np.isfinite(top):
+        return np.full(len(mass), -np.inf)
     with np.errstate(over="ignore", under="ignore"):
-        return -np.logaddexp(-bound, -value)
+        value = top - np.log(np.exp(top - bound) - np.log(np.clip(u, 1e-300, 1 - 1e-16)) * np.exp(top - mass))
+    return value
 
 
 class Sampler:
@@ -290,12 +336,12 @@ class Sampler:
         flat, k = self.lattices.flat, self.cfg.k
         if lo == hi:
             return [(np.zeros(0, np.int32), 0.0, 0.0, 1.0)]
-        noise = lambda j, n: _gumbel(_uniform(key + (np.uint64(j + 1) << np.uint64(48)) + np.arange(n, dtype=np.uint64)))
+        noise = lambda j, n: _uniform(key + (np.uint64(j + 1) << np.uint64(48)) + np.arange(n, dtype=np.uint64))
         edges, at = walks[0]
         path = edges[at[lo] : at[hi]]
         firsts = at[lo : hi + 1] - at[lo]
         found, sets = [], []
-        value = float(noise(0, 1)[0])
+        value = float(_gumbel(noise(0, 1))[0])
         barred: dict[tuple[int, int], set[int]] = {}
         for j in range(k):
             steps = flat["logp"][path]
@@ -313,9 +359,7 @@ class Sampler:
                 free = int(flat["edge_from"][self._node(path, place, lo, firsts, t) + 1] - flat["edge_from"][self._node(path, place, lo, firsts, t)])
                 left[t] = np.log(rest) if free > len(taken) and rest > 1e-12 else -np.inf
                 barred[j, t] = taken
-            mass = before + left
-            values = np.where(np.isfinite(mass), _below(mass + noise(j + 1, len(mass)), value), -np.inf)
-            sets.append(values)
+            sets.append(_below(before + left, noise(j + 1, len(path)), value))
             best = [(float(v.max()), i) for i, v in enumerate(sets)]
             value, i = max(best)
             if not np.isfinite(value) or j + 1 == k:
@@ -360,11 +404,16 @@ class Sampler:
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; byte pieces are put together."""
         own = self.lattices
+        if not len(ids):
+            return ""
         if own.high[ids].any():
             byte = {i: bytes([b]) for b, i in own.bytes.items()}
             text = b"".join(byte.get(i) or own.pieces[i].encode() for i in ids.tolist()).decode("utf-8", "replace")
         else:
-            text = "".join(map(own.shown.__getitem__, ids.tolist()))
+            size = own.shown_size[ids]
+            upto = np.cumsum(size)
+            chars = own.shown_chars[np.repeat(own.shown_from[ids] - (upto - size), size) + np.arange(upto[-1])]
+            text = chars.tobytes().decode("utf-32-le")
         return text.replace(SPACE, " ")[1:]
 
 
