@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listwright.session import prepare, work_dir
 
+BATCH_BYTES = "16m"
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -30,8 +31,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shipped(df: DataFrame) -> DataFrame:
-    """The frame itself, for a pass in Python whose function uses this package."""
+    """The frame itself, for a pass in Python whose function uses this package.
+
+    Batches are bounded in bytes too, as ten thousand whole texts can be any size.
+    """
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 

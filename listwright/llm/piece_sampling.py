@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 from math import log
 
 import numpy as np
@@ -36,7 +36,7 @@ SPACE = "▁"
 # Letters, without the small digits that Python counts among them.
 _LETTER = re.compile(r"[^\W\d_²³¹]")
 _RUN = re.compile(f"{SPACE}*[^\\W\\d_²³¹]+|{SPACE}*(?:[^\\w{SPACE}]+|[\\d_²³¹]+)+|{SPACE}+")
-_MOST_EDGES = 6_000_000
+_MOST_EDGES = 5_000_000
 
 
 def _hash_of(text: str) -> np.uint64:
@@ -100,7 +100,7 @@ class Lattices:
         self.shown_chars = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32)
         self.high = np.zeros(len(self.pieces), bool)
         self.high[[i for byte, i in self.bytes.items() if byte >= 128]] = True
-        kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int64, "chance": np.float64, "sum": np.float64,
+        kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int32, "chance": np.float32, "sum": np.float64,
                  "to": np.int32, "logp": np.float64, "rest": np.float32, "code_from": np.int32, "code": np.int32}
         self.flat = {k: np.zeros(1 << 18, t) for k, t in kinds.items()}
         self.forget()
@@ -434,10 +434,14 @@ def sampled(docs: DataFrame, cfg: Settings = Settings(), path: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _samplers.setdefault((cfg, path), None) or Sampler(cfg, path)
         _samplers[cfg, path] = own
+        # What earlier passes of this worker left in Arrow's pool goes back first.
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             at = 0
             keys = batch.column(0).fill_null(0).to_numpy()
-            for texts in slices(batch.column(1).to_pylist(), 1 << 19):
+            column = batch.column(1)
+            few = (column.slice(i, 64).to_pylist() for i in range(0, len(column), 64))
+            for texts in slices(chain.from_iterable(few), 1 << 19):
                 who, number, ids, logp, value, inclusion, whole = [], [], [], [], [], [], []
                 for d, samples in enumerate(own.sample(texts, keys[at : at + len(texts)])):
                     for s, (codes, p, v, q) in enumerate(samples):

@@ -9,6 +9,7 @@ a text with any other character goes through the tokenizer whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -108,7 +109,7 @@ def encoder(path: str | None = None, ordinary: bool = False) -> WordEncoder:
     return _encoders[path, ordinary]
 
 
-def slices(texts: list[str | None], chars: int = 1 << 20):
+def slices(texts: Iterable[str | None], chars: int = 1 << 20):
     """Runs of texts of about so many characters; a null counts as empty."""
     run, size = [], 0
     for t in texts:
