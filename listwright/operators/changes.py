@@ -25,7 +25,7 @@ def material_changes(before: DataFrame, after: DataFrame, tracked=TRACKED) -> Da
     return old.join(new, "id").select("id", F.explode(moved).alias("m")).select("id", "m.*")
 
 
-def change_events(changes: DataFrame, run_key: str) -> DataFrame:
+def change_events(changes: DataFrame, run_key: str | Column) -> DataFrame:
     """Material changes as activity rows with stable keys."""
     key = F.concat_ws(":", F.lit("change"), F.lit(run_key), F.col("id"), F.col("field"))
     return changes.select(
@@ -55,12 +55,15 @@ def normal_words(value: Column) -> Column:
 def duplicate_groups(listings: DataFrame, broker_ref: str = "broker_ref") -> DataFrame:
     """Groups of listings from different feeds that may be one business; nothing is merged.
 
-    A shared broker reference makes a strong group. Equal title, place and price make a
-    weak one, which is only a flag. Each listing is labelled with its group instead of
-    being paired with all others, so large groups cost no more than their rows.
+    A shared broker reference makes a strong group, where the listings have that column.
+    Equal title words in any order, place and price make a weak one, which is only a flag.
+    Each listing is labelled with its group instead of being paired with all others, so
+    large groups cost no more than their rows.
     """
-    ref = F.nullif(normal_words(F.col(broker_ref)), F.lit(""))
-    title = F.nullif(normal_words(F.col("title")), F.lit(""))
+    known = F.col(broker_ref) if broker_ref in listings.columns else F.lit(None).cast("string")
+    ref = F.nullif(normal_words(known), F.lit(""))
+    words = F.array_sort(F.split(normal_words(F.col("title")), " "))
+    title = F.nullif(F.array_join(words, " "), F.lit(""))
     weak = F.when(
         title.isNotNull() & F.col("location_state").isNotNull() & F.col("asking_price").isNotNull(),
         F.concat_ws("|", title, "location_state", F.col("asking_price").cast("string")),

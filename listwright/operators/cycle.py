@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwright import config as C
 from listwright.config import RuleConfig
 from listwright.functions import text as X
-from listwright.operators import detail, digest, discovery, facts, feeds, rules, state
-from listwright.schemas import STUBS, conform
+from listwright.operators import changes, detail, digest, discovery, facts, feeds, rules, state
+from listwright.schemas import ACTIVITY, STUBS, conform
 from listwright.session import settle
 from listwright.sources import adapters
 
@@ -68,26 +68,29 @@ class Round:
     outbox: DataFrame
 
 
-def discover_round(pages: DataFrame, due: DataFrame, config: DataFrame) -> tuple[DataFrame, DataFrame]:
+def discover_round(
+    pages: DataFrame, due: DataFrame, config: DataFrame, readers: Sequence[adapters.Adapter] = adapters.ADAPTERS
+) -> tuple[DataFrame, DataFrame]:
     """Stubs of the due feeds as a crawl would have kept them, and each feed's coverage.
 
-    ``pages`` are landed search pages; a feed that pages by state is folded state by state.
+    ``pages`` are landed search pages, read by the adapter that the configuration names for
+    their feed; a feed that pages by state is folded state by state.
     """
+    by_states = F.col("adapter").isin(*(kind for reader in readers if reader.by_state for kind in reader.kinds))
     # A resumed feed goes on for its number of pages from where it stopped; states start anew.
-    resumed = F.coalesce(X.leading_int(F.when(F.col("name") != C.ITEM_FEED, F.col("pagination_checkpoint")), "int"), F.lit(1))
-    live = config.filter("enabled").join(due.select("name", resumed.alias("start_page")), "name")
-    limits = live.select(F.col("name").alias("source"), (F.col("start_page") + F.col("max_pages") - 1).alias("limit_page"))
+    live = config.filter("enabled").join(due.select("name", "pagination_checkpoint"), "name")
+    resumed = F.coalesce(X.leading_int(F.when(~by_states, F.col("pagination_checkpoint")), "int"), F.lit(1))
+    limits = live.select(F.col("name").alias("source"), "adapter", (resumed + F.col("max_pages") - 1).alias("limit_page"))
     landed = pages.join(limits, "source").withColumn("ok", F.col("http_status") == 200)
-    listed = landed.select("source", "state", "page_no", "http_status", "limit_page", "ok")
+    listed = landed.select("source", "state", "page_no", "http_status", "limit_page", "ok", "adapter")
     kept_all, cover_all = None, None
-    for adapter in adapters.ADAPTERS:
-        here = F.col("source") == adapter.name
-        found, mine = adapter.discover(landed.filter(here)), listed.filter(here)
-        by_state = adapter.name == C.ITEM_FEED
+    for reader in readers:
+        here, by_state = adapters.read_by(reader), reader.by_state
+        found, mine = reader.discover(landed.filter(here)), listed.filter(here)
         walk = discovery.discovered_by_state if by_state else discovery.discovered
         kept = settle(walk(found, mine))
         # A walk ends at the first page asked for that failed or brought nothing.
-        part = F.concat_ws("|", "source", "state")
+        part = F.concat("source", F.lit("|"), F.coalesce("state", F.lit("")))
         brought = kept.groupBy(part.alias("source"), "page_no").agg(F.count("*").alias("n_new"))
         asked = mine.withColumn("source", part)
         ends = ~F.col("ok") | F.col("n_new").isNull()
@@ -95,7 +98,7 @@ def discover_round(pages: DataFrame, due: DataFrame, config: DataFrame) -> tuple
             F.min(F.when(ends, F.col("page_no"))).alias("cut"))
         cover = (
             discovery.coverage(asked, cuts, missing_page_ends=by_state)
-            .groupBy(F.lit(adapter.name).alias("source"))
+            .groupBy(F.regexp_replace("source", r"\|[^|]*$", "").alias("source"))
             .agg(
                 F.min("coverage_complete").alias("coverage_complete"),
                 F.max("success").alias("success"),
@@ -112,16 +115,20 @@ def run_round(
     listings: DataFrame, sources: DataFrame, activity: DataFrame, config: DataFrame,
     search_pages: DataFrame, detail_pages: DataFrame, now: Column, date_label: str,
     cfg: RuleConfig = RuleConfig(), batch: int = C.CLAIM_BATCH, replies=None,
+    readers: Sequence[adapters.Adapter] = adapters.ADAPTERS,
 ) -> Round:
     """A whole scheduled round.
 
     ``detail_pages(id, source, http_status, html)`` hold what was fetched for listings; a
-    claimed listing without a page goes to retry. Each stage is written out before the next
-    reads it, so no stage is computed twice.
+    claimed listing without a page goes to retry. A finished listing whose recheck is due is
+    read again where its page came back different; an unchanged page moves its fetch time
+    only, and a missing one leaves it as it is. What moved on a listing goes to the activity
+    log and, if a digest has carried the listing, to the outbox as a reply. Each stage is
+    written out before the next reads it, so no stage is computed twice.
     """
     seeded = feeds.seed_sources(sources, config)
     due = settle(feeds.due_sources(seeded, now))
-    found, cover = discover_round(search_pages, due, config)
+    found, cover = discover_round(search_pages, due, config, readers)
     stubs, cover = settle(found), settle(cover)
     counts = discovery.run_counts(stubs, listings)
     stats = settle(feeds.run_stats(due, config, counts, cover))
@@ -139,20 +146,35 @@ def run_round(
 
     stored = settle(state.upsert_stubs(listings, conform(stubs, STUBS)))
     claimed = settle(state.select_claims(stored, now, batch))
-    fetched = detail_pages.join(claimed.select("id"), "id", "left_semi").filter(F.col("http_status") == 200)
-    results = settle(extract_and_classify(claimed, fetched, adapters.union_details(fetched), cfg, replies))
-    current = settle(apply_results(stored, claimed, results, now))
+    arrived = detail_pages.filter(F.col("http_status") == 200)
+    again = changes.recheck_due(stored, now)
+    seen = arrived.join(again.select("id"), "id", "left_semi")
+    looked = settle(seen.select("id", X.content_hash(F.col("html")).alias("content_hash")))
+    differs = state.changed_pages(again, looked).select("id")
+    work = settle(claimed.unionByName(again.join(differs, "id", "left_semi")))
+    fetched = arrived.join(work.select("id"), "id", "left_semi")
+    details = adapters.union_details(fetched, readers, config)
+    results = settle(extract_and_classify(work, fetched, details, cfg, replies))
+    kept = state.refresh_unchanged(stored, looked, now)
+    current = settle(apply_results(kept, work, results, now))
+    moved = changes.material_changes(listings.filter(F.col("processing_state") == "done"), current)
+    events = conform(changes.change_events(moved, X.iso_instant(now)).withColumn("created_at", now), ACTIVITY)
+    events = settle(state.unlogged(activity, events))
 
     queue = digest.pending(current, activity)
     entries = settle(digest.top_entries(queue))
     health = settle(feeds.merge_health(config, stats, status))
-    text = digest.digest_text(entries, digest.backlog_size(queue), health, date_label)
-    pending = state.record_pending(activity, entries, now)
+    why = digest.why_empty(current, health)
+    text = digest.digest_text(entries, digest.backlog_size(queue), health, date_label, why=why)
+    pending = state.record_pending(activity, entries, now).unionByName(events)
     report_key = F.concat_ws(":", F.lit("report"), X.local_date(now))
     alert_key = F.concat_ws(":", F.lit("alert"), "source", X.local_date(now))
     outbox = digest.outbox(text, "digest", report_key, F.col("text")).unionByName(
         digest.outbox(alerts, "alert", alert_key, F.col("text"))
     )
+    told = events.join(digest.confirmed_ids(activity).withColumnRenamed("id", "listing_id"), "listing_id", "left_semi")
+    reply = F.concat(F.col("listing_id"), F.lit(" · "), F.col("value"), F.lit(": "), F.col("reason"))
+    outbox = outbox.unionByName(digest.outbox(told, "change", F.col("event_key"), reply))
     # The text is in the outbox before any entry counts as delivered.
     outbox = settle(outbox)
     sent = entries.select(state.delivery_key(F.col("id"), now).alias("event_key"), report_key.alias("message_ref"))

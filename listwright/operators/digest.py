@@ -155,15 +155,30 @@ def empty_reason(queue_size: Column, waiting: Column, covered: Column) -> Column
     )
 
 
+def why_empty(listings: DataFrame, health: DataFrame) -> DataFrame:
+    """One row with the line of a digest that has no entries.
+
+    ``health`` has one row per enabled feed; coverage counts only where the feed is healthy.
+    """
+    waiting = F.count_if(F.col("processing_state").isin("new", "processing", "retry"))
+    covered = F.col("healthy") & F.col("coverage_complete")
+    parts = listings.agg(waiting.alias("waiting")).select("waiting", F.lit(None).cast("boolean").alias("covered")).unionByName(
+        health.select(F.lit(0).cast("bigint").alias("waiting"), F.coalesce(covered, F.lit(False)).alias("covered"))
+    )
+    reason = empty_reason(F.lit(0), F.sum("waiting"), F.min("covered"))
+    return parts.agg(X.constant_map(EMPTY_REASONS)[reason].alias("text"))
+
+
 def digest_text(
     entries: DataFrame, sizes: DataFrame, health: DataFrame, date_label: str,
     title: str = "Listing digest", size: int = C.DIGEST_SIZE,
-    empty: str = EMPTY_REASONS["no_matches"], prefer_states: bool = False,
+    empty: str = EMPTY_REASONS["no_matches"], prefer_states: bool = False, why: DataFrame | None = None,
 ) -> DataFrame:
     """The digest as one text row.
 
     ``entries`` are the top rows of the queue with all their columns, ``sizes`` its
-    ``backlog_size``. Only the entries and the per-feed health rows are gathered.
+    ``backlog_size``. Only the entries and the per-feed health rows are gathered. A digest
+    without entries says ``empty``, or what ``why_empty`` found.
     """
     placed = ranked(entries, size, prefer_states)
     lines = F.array_sort(F.collect_list(F.struct("place", "section", entry_text().alias("text"))))
@@ -177,7 +192,7 @@ def digest_text(
 
     body = placed.agg(lines.alias("lines")).select(
         F.lit("body").alias("part"),
-        F.when(F.size("lines") == 0, F.lit(empty)).otherwise(
+        F.when(F.size("lines") > 0,
             F.concat_ws(
                 "\n",
                 section("promising", "*🟢 Promising*"),
@@ -203,10 +218,13 @@ def digest_text(
     def part(name: str) -> Column:
         return F.max(F.when(F.col("part") == name, F.col("text")))
 
-    # Three one-row parts become one text.
+    # One-row parts become one text.
     parts = body.unionByName(more).unionByName(line)
+    if why is not None:
+        parts = parts.unionByName(why.select(F.lit("empty").alias("part"), "text"))
+    shown = F.coalesce(part("body"), part("empty"), F.lit(empty))
     return parts.agg(
-        F.concat_ws("\n", F.lit(head), part("line"), F.lit(""), part("body"), part("more")).alias("text")
+        F.concat_ws("\n", F.lit(head), part("line"), F.lit(""), shown, part("more")).alias("text")
     )
 
 

@@ -211,6 +211,11 @@ def delivery_key(listing: Column, now: Column) -> Column:
     return F.concat_ws(":", F.lit("digest"), X.local_date(now), listing)
 
 
+def unlogged(activity: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose event key is not in the log yet, so that a replay adds nothing."""
+    return rows.join(activity.select("event_key").distinct(), "event_key", "left_anti").select(*rows.columns)
+
+
 def pending_rows(activity: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     """A pending delivery per entry whose key is not in the log yet."""
     rows = (
@@ -226,8 +231,7 @@ def pending_rows(activity: DataFrame, entries: DataFrame, now: Column) -> DataFr
             }
         )
     )
-    known = activity.select("event_key").distinct()
-    return conform(rows.join(known, "event_key", "left_anti"), ACTIVITY)
+    return conform(unlogged(activity, rows), ACTIVITY)
 
 
 def record_pending(activity: DataFrame, entries: DataFrame, now: Column) -> DataFrame:

@@ -406,11 +406,11 @@ def recheck_due(spark, folder):
 
 
 _KEYED = """SELECT id, source, 'strong' AS kind, nullif(trim(regexp_replace(lower(ref), '[^a-z0-9]+', ' ', 'g')), '') AS match_key FROM d
-  UNION ALL SELECT id, source, 'possible', nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') || '|' || location_state || '|' || asking_price FROM d"""
+  UNION ALL SELECT id, source, 'possible', nullif(array_to_string(list_sort(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ')), ' '), '') || '|' || location_state || '|' || asking_price FROM d"""
 
 
 @query("duplicate_flags", with_views(f"""
-WITH d AS (SELECT id, source, 'Ref-' || (k // 3) AS ref, CASE WHEN k % 17 <> 0 THEN 'Shop ' || (k % 50) END AS title, location_state,
+WITH d AS (SELECT id, source, 'Ref-' || (k // 3) AS ref, CASE WHEN k % 17 = 0 THEN NULL WHEN k % 3 = 0 THEN (k % 50) || ' - Shop' ELSE 'Shop ' || (k % 50) END AS title, location_state,
     CASE WHEN asking_price IS NOT NULL THEN asking_price // 200000 END AS asking_price FROM v_listings),
 m AS ({_KEYED}),
 g AS (SELECT kind, match_key, min(id) AS group_id, count(*) AS n_listings FROM m WHERE match_key IS NOT NULL GROUP BY 1, 2 HAVING min(source) <> max(source))
@@ -419,7 +419,8 @@ def duplicate_flags(spark, folder):
     k = F.col("k")
     rows = V.listings(spark, folder).select(
         "id", "source", F.concat(F.lit("Ref-"), V.tens(k, 3).cast("string")).alias("broker_ref"),
-        F.when(k % 17 != 0, F.concat(F.lit("Shop "), (k % 50).cast("string"))).alias("title"), "location_state",
+        F.when(k % 17 == 0, None).when(k % 3 == 0, F.concat((k % 50).cast("string"), F.lit(" - Shop")))
+        .otherwise(F.concat(F.lit("Shop "), (k % 50).cast("string"))).alias("title"), "location_state",
         F.floor(F.col("asking_price") / 200_000).cast("bigint").alias("asking_price"),
     )
     return changes.duplicate_groups(rows)

@@ -1,7 +1,8 @@
 """Feed adapters: DataFrame of landed pages in, stubs or detail fields out.
 
-A new feed is an object with ``name``, ``discover`` and ``detail``; nothing is called per
-row. ``discover`` takes search pages, ``detail`` takes detail pages with an ``id``.
+An adapter is an object with ``kinds``, ``by_state``, ``discover`` and ``detail``; nothing is
+called per row. ``discover`` takes search pages, ``detail`` takes detail pages with an ``id``.
+A feed names its adapter in the configuration, so several feeds may share one.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import config as C
 from listwright.operators import detail, discovery
@@ -17,7 +18,8 @@ from listwright.schemas import STUBS
 
 
 class Adapter(Protocol):
-    name: str
+    kinds: tuple[str, ...]
+    by_state: bool
 
     def discover(self, pages: DataFrame) -> DataFrame: ...
 
@@ -31,7 +33,8 @@ def _ok(pages: DataFrame) -> DataFrame:
 class CardFeed:
     """Page-numbered search results made of cards."""
 
-    name = C.CARD_FEED
+    kinds = ("cards", C.CARD_FEED)
+    by_state = False
 
     def discover(self, pages: DataFrame) -> DataFrame:
         return discovery.cards(_ok(pages))
@@ -43,7 +46,8 @@ class CardFeed:
 class ItemListFeed:
     """Search results per state that carry a JSON-LD item list."""
 
-    name = C.ITEM_FEED
+    kinds = ("item_list", C.ITEM_FEED)
+    by_state = True
 
     def discover(self, pages: DataFrame) -> DataFrame:
         return discovery.item_lists(_ok(pages))
@@ -55,6 +59,18 @@ class ItemListFeed:
 ADAPTERS: tuple[Adapter, ...] = (CardFeed(), ItemListFeed())
 
 
+def with_adapter(pages: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """Add the ``adapter`` of each page's feed; a feed not configured is looked up by its name."""
+    if config is None:
+        return pages.withColumn("adapter", F.col("source"))
+    named = config.select(F.col("name").alias("source"), F.col("adapter").alias("_adapter"))
+    return pages.join(named, "source", "left").withColumn("adapter", F.coalesce("_adapter", "source")).drop("_adapter")
+
+
+def read_by(adapter: Adapter) -> Column:
+    return F.col("adapter").isin(*adapter.kinds)
+
+
 def as_stubs(found: DataFrame) -> DataFrame:
     """Stub rows of one adapter's discovery, ordered by page and place for the upsert."""
     have = set(found.columns)
@@ -69,19 +85,23 @@ def as_stubs(found: DataFrame) -> DataFrame:
     )
 
 
-def union_feeds(pages: DataFrame, adapters: Iterable[Adapter] = ADAPTERS) -> DataFrame:
-    """Stubs of all feeds; each adapter reads the pages of its own feed only."""
-    out = None
+def union_feeds(
+    pages: DataFrame, adapters: Iterable[Adapter] = ADAPTERS, config: DataFrame | None = None
+) -> DataFrame:
+    """Stubs of all feeds; each adapter reads the pages of its own feeds only."""
+    landed, out = with_adapter(pages, config), None
     for a in adapters:
-        part = as_stubs(a.discover(pages.filter(F.col("source") == a.name)))
+        part = as_stubs(a.discover(landed.filter(read_by(a))))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def union_details(pages: DataFrame, adapters: Iterable[Adapter] = ADAPTERS) -> DataFrame:
+def union_details(
+    pages: DataFrame, adapters: Iterable[Adapter] = ADAPTERS, config: DataFrame | None = None
+) -> DataFrame:
     """Detail fields of all feeds, keyed by listing id."""
-    out = None
+    landed, out = with_adapter(pages, config), None
     for a in adapters:
-        part = a.detail(pages.filter(F.col("source") == a.name)).select("id", *detail.FIELDS)
+        part = a.detail(landed.filter(read_by(a))).select("id", *detail.FIELDS)
         out = part if out is None else out.unionByName(part)
     return out
