@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from listwright.schemas import ACTIVITY
+
 
 def _folder(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -53,5 +55,14 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/v={version}")
 
 
-def append_activity(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("event_type").parquet(path)
+def write_activity(df: DataFrame, path: str, run: str) -> None:
+    """Add a run's rows to the log; writing the same run again replaces its rows."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_activity(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the log, or an empty frame before the first run."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return spark.createDataFrame([], ACTIVITY)
+    return spark.read.schema(ACTIVITY).parquet(path).select(*ACTIVITY.fieldNames())

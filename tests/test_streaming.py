@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from listwright import config as C
 from listwright.operators import feeds, state
-from listwright.schemas import PAGES, SOURCES, STUBS
+from listwright.schemas import ACTIVITY, PAGES, SOURCES, STUBS
 from listwright.sources import adapters, snapshots
 from listwright.sources.feeds import stream_pages
 from listwright.streaming import jobs
@@ -103,3 +103,16 @@ def test_delivery_stream_sends_once(spark, tmp_path):
     assert sorted(r.event_key for r in sent.collect()) == [f"digest:2024-05-01:{i}" for i in "abc"]
     again = jobs.delivery_stream(stream, root, box, str(tmp_path / "marks2"), now)
     assert again.count() == 3
+
+
+def test_activity_written_again(spark, tmp_path):
+    path = str(tmp_path / "activity")
+    assert snapshots.read_activity(spark, path).count() == 0
+
+    def events(*keys):
+        return spark.createDataFrame([tuple({"id": k, "event_key": k, "created_at": T0}.get(f.name) for f in ACTIVITY.fields) for k in keys], ACTIVITY)
+
+    for run, keys in (("2024-01-01T00", "ab"), ("2024-01-01T04", "c"), ("2024-01-01T00", "ab")):
+        snapshots.write_activity(events(*keys), path, run)
+    got = snapshots.read_activity(spark, path)
+    assert got.columns == ACTIVITY.fieldNames() and sorted(r.event_key for r in got.collect()) == ["a", "b", "c"]
