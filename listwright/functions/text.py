@@ -48,6 +48,10 @@ def squeeze(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, f"{WS_NOT_BLANK}{WS}*|  +", " "))
 
 
+MENU_BLOCK = r"(?is)<nav(?:\s[^>]*)?>.*?</nav\s*>"
+MENU_LINE = r"(?im)^ *franchises? (?:for sale|opportunities) *(?:\n|\z)"
+
+
 def _without_blocks(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, STYLE_BLOCK, " "), SCRIPT_BLOCK, " ")
 
@@ -65,6 +69,12 @@ def text_lines(html: Column) -> Column:
     return F.btrim(F.regexp_replace(flat, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def ad_lines(html: Column) -> Column:
+    """The lines of a page without its navigation, which says nothing about the business."""
+    lines = text_lines(F.regexp_replace(html, MENU_BLOCK, "\n"))
+    return F.btrim(F.regexp_replace(lines, MENU_LINE, ""), F.lit(" \n"))
+
+
 def _utf16_char(code: Column) -> Column:
     """The character of a decimal code unit, as text."""
     wrapped = F.pmod(code.try_cast("decimal(38,0)"), F.lit(65536)).cast("bigint")

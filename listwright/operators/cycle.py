@@ -29,7 +29,7 @@ def extract_and_classify(
     work = merged.join(pages.select("id", "html"), "id").select(
         "id", *detail.OVERLAID,
         X.content_hash(F.col("html")).alias("content_hash"),
-        X.text_lines(F.col("html")).alias("text"),
+        X.ad_lines(F.col("html")).alias("text"),
     )
     if replies is None:
         known = facts.text_facts(work).withColumn("parse_failed", F.lit(False)).drop("text")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from listwright import config as C
 from listwright.config import RuleConfig
+from listwright.functions import text as X
 from listwright.operators import cycle, facts, state
 from listwright.schemas import FACTS, LISTINGS
 
@@ -90,13 +91,23 @@ def test_prompt_keeps_the_whole_text(spark):
     assert cut.endswith("\n" + "x" * 10) and "not stated" in cut
 
 
+# What a menu offers is not what the business is.
+MENU = "<NAV class='top'><a>Home</a><a>Franchises for sale</a><a>Franchisee login</a></nav><ul><li>Franchise opportunities</li></ul>"
+
+
+def test_menus_are_not_read(spark):
+    html = MENU + "<nav-bar>kept</nav-bar><p>A franchise shop.</p><p>Franchises for sale</p>"
+    assert spark.range(1).select(X.ad_lines(F.lit(html)).alias("t")).first().t == "kept\nA franchise shop."
+    assert spark.range(1).select(X.ad_lines(F.lit("<nav>never closed")).alias("t")).first().t == "never closed"
+
+
 def test_cycle(spark):
     now = F.lit("2024-05-01 12:00:00").cast("timestamp")
     ids = ("good", "bad", "silent")
     base = {"source": "s", "processing_state": "processing", "processing_attempts": 0, "review_state": "new"}
     rows = [tuple((base | {"id": i, "source_listing_id": i, "title": "old"}).get(f.name) for f in LISTINGS.fields) for i in ids]
     stored = spark.createDataFrame(rows, LISTINGS)
-    pages = spark.createDataFrame([("good", "<p>" + TEXT + "</p>"), ("bad", "<p>x</p>")], "id string, html string")
+    pages = spark.createDataFrame([("good", MENU + "<p>" + TEXT + "</p>"), ("bad", "<p>x</p>")], "id string, html string")
     cols = "id string, title string, location_state string, location_suburb string, sector_raw string, broker_name string, asking_price bigint, revenue_raw string, profit_raw string, advertised_status string"
     details = spark.createDataFrame([("good", "New title", "VIC", None, None, None, 900_000, "fallback", None, "sold")], cols)
 
