@@ -16,55 +16,84 @@ def cards(pages: DataFrame, html: str = "html") -> DataFrame:
 
     A card starts at the tag holding its numeric id and ends where the next one starts. Its
     link is the one that ends in the card's own number, in the card or in the tag directly in
-    front of it, else the first one inside the card, however long the card is. A neighbour's link is never borrowed, and cards
-    without a detail link of their own are dropped.
+    front of it, else anywhere on the page, else the first one inside the card that does not
+    carry another card's number. A neighbour's link is never borrowed, and cards without a
+    detail link of their own are dropped. Where the link stands before its card, label and
+    price are not read beyond the next card's link.
     """
     page = F.col(html)
+    href = r'href="(' + C.CARD_DETAIL_PATH + r'[^"]+)"'
     starts = r'(?=<[^<>]*data-listing-id="\d+")'
     split = F.split(page, starts)
     # A page opening with a card gives no leading piece; an empty one keeps places even.
     opens = F.substring_index(page, ">", 1).rlike(r'^<[^<>]*data-listing-id="\d+"')
     pieces = F.when(opens, F.concat(F.array(F.lit("")), split)).otherwise(split)
 
+    def numbered(links: Column, number: Column) -> Column:
+        return F.get(F.filter(links, lambda h: F.endswith(h, F.concat(F.lit("-"), number, F.lit(".php")))), F.lit(0))
+
+    def own_number(link: Column) -> Column:
+        return F.regexp_extract(link, r"-(\d+)\.php$", 1)
+
     def card(piece: Column, i: Column) -> Column:
+        behind = F.coalesce(F.get("_pieces", i - 1), F.lit(""))
         # The tag directly in front of the card may be its link.
-        behind = F.rtrim(F.coalesce(F.get("_pieces", i - 1), F.lit("")))
-        tag = F.concat(F.lit("<"), F.substring_index(behind, "<", -1))
+        front = F.rtrim(behind)
+        tag = F.concat(F.lit("<"), F.substring_index(front, "<", -1))
         lead = F.when(F.endswith(tag, F.lit(">")), tag).otherwise(F.lit(""))
+        number = F.regexp_extract(piece, MARK + r"(\d+)", 1)
+        inner = F.regexp_extract_all(piece, F.lit(href), F.lit(1))
+        others = F.filter(inner, lambda h: (own_number(h) != number) & F.array_contains("_ids", own_number(h)))
         return F.struct(
             (i - 1).alias("pos"),
-            F.regexp_extract(piece, MARK + r"(\d+)", 1).alias("source_listing_id"),
+            number.alias("source_listing_id"),
             piece.alias("own"),
-            F.concat(lead, piece).alias("around"),
+            lead.alias("lead"),
+            behind.alias("behind"),
+            numbered("_links", number).alias("far"),
+            F.get(F.filter("_tags", lambda t: F.contains(t, F.concat(F.lit("-"), number, F.lit('.php"')))), F.lit(0)).alias("far_tag"),
+            inner.alias("inner"),
+            others.alias("others"),
         )
 
-    # Pieces are a column of their own, and each is read with its neighbours only, so the
-    # work grows with the page and not with cards times page.
-    cut = pages.withColumn("_pieces", pieces)
+    # Pieces are a column of their own, and each is read with its neighbours only. What
+    # is looked up in the whole page are its detail links and ids.
+    cut = pages.withColumns({
+        "_pieces": pieces,
+        "_links": F.array_distinct(F.regexp_extract_all(page, F.lit(href), F.lit(1))),
+        "_tags": F.filter(F.regexp_extract_all(page, F.lit("(<a [^<>]*>)"), F.lit(1)), lambda t: F.contains(t, F.lit('href="' + C.CARD_DETAIL_PATH))),
+        "_ids": F.array_distinct(F.regexp_extract_all(page, F.lit(MARK + r'(\d+)"'), F.lit(1))),
+    })
     per_card = F.filter(F.transform("_pieces", card), lambda c: c["pos"] >= 0)
-    rows = cut.withColumn("_card", F.explode(per_card)).drop("_pieces", html)
-    href = r'href="(' + C.CARD_DETAIL_PATH + r'[^"]+)"'
+    rows = cut.withColumn("_card", F.explode(per_card)).drop("_pieces", "_links", "_tags", "_ids", html)
     label = 'aria-label="([^"]+)"'
-    own, around = F.col("_card.own"), F.col("_card.around")
-    number = F.col("_card.source_listing_id")
-    numbered = F.filter(
-        F.regexp_extract_all(around, F.lit(href), F.lit(1)),
-        lambda h: F.endswith(h, F.concat(F.lit("-"), number, F.lit(".php"))),
-    )
-    path = F.coalesce(F.get(numbered, F.lit(0)), X.found(own, href))
+    own, lead, behind, far, number = (F.col(f"_card.{c}") for c in ("own", "lead", "behind", "far", "source_listing_id"))
+    inner, others = F.col("_card.inner"), F.col("_card.others")
+    near = F.concat(F.regexp_extract_all(lead, F.lit(href), F.lit(1)), inner)
+    path = F.coalesce(numbered(near, number), far, F.get(F.array_except(inner, others), F.lit(0)))
+    link = F.concat(F.lit('href="'), F.col("path"), F.lit('"'))
     # A label in the link's own tag counts even when the tag stands before the card.
-    tags = F.regexp_extract_all(around, F.lit("(<a [^<>]*>)"), F.lit(1))
-    link_tag = F.get(F.filter(tags, lambda t: F.contains(t, F.col("path"))), F.lit(0))
-    title = F.coalesce(X.found(link_tag, label), X.found(own, label))
+    tags = F.regexp_extract_all(F.concat(lead, own), F.lit("(<a [^<>]*>)"), F.lit(1))
+    link_tag = F.coalesce(F.get(F.filter(tags, lambda t: F.contains(t, link)), F.lit(0)), F.col("_card.far_tag"))
+    # A card whose link stands before it ends at the next card's link.
+    upto = F.call_function("substring_index", own, F.concat(F.lit('href="'), F.get(others, F.lit(0)), F.lit('"')), F.lit(1))
+    upto = F.left(upto, F.length(upto) - F.length(F.substring_index(upto, "<", -1)))
+    outside = ~F.contains(own, link)
+    part = F.when(outside & (F.size(others) > 0), upto).otherwise(own)
+    between = F.when(outside & F.contains(behind, link), F.call_function("substring_index", behind, link, F.lit(-1)))
+    price = r"Asking Price[^$]*\$([\d,]+)"
     return (
         rows.withColumn("path", path)
         .filter(F.col("path").isNotNull())
         .withColumn("source_listing_id", number)
         .withColumn("pos", F.col("_card.pos"))
-        .withColumn("title", F.coalesce(X.squeeze(title), X.slug_words(F.col("path"))))
-        .withColumn("asking_price", X.parse_money(X.found(own, r"Asking Price[^$]*\$([\d,]+)")))
+        .withColumn("_part", part)
+        .withColumn("_between", between)
+        .withColumn("title", F.coalesce(X.found(link_tag, label), X.found(F.col("_part"), label), X.found(F.col("_between"), label)))
+        .withColumn("title", F.coalesce(X.squeeze(F.col("title")), X.slug_words(F.col("path"))))
+        .withColumn("asking_price", X.parse_money(F.coalesce(X.found(F.col("_part"), price), X.found(F.col("_between"), price))))
         .withColumn("canonical_url", X.absolute_url(C.CARD_BASE, F.col("path")))
-        .drop("_card", "path")
+        .drop("_card", "path", "_part", "_between")
     )
 
 

@@ -72,6 +72,25 @@ def test_long_cards(spark):
     assert cards(spark, html) == [("4", "/businesses-details/a-4.php", "a", 5000)]
 
 
+def test_links_some_tags_before_their_cards(spark):
+    html = "".join(
+        f'<h3><a href="/businesses-details/{s}.php"{label}>x</a></h3><p>Asking Price: ${p}</p><button data-listing-id="{n}">save</button>'
+        for n, s, label, p in ((1, "a-1", "", "100"), (2, "b-2", ' aria-label="B"', "200"), (3, "c-d-3", "", "300")))
+    assert cards(spark, html) == [
+        ("1", "/businesses-details/a-1.php", "a", 100), ("2", "/businesses-details/b-2.php", "B", 200), ("3", "/businesses-details/c-d-3.php", "c d", 300)]
+
+
+def test_links_apart_from_their_cards(spark):
+    links = "".join(f'<a href="/businesses-details/s-{n}.php">x</a>' for n in (1, 2, 11)) + "-" * 3000
+    html = links + "".join(f'<i data-listing-id="{n}">x</i>' for n in (1, 2, 11, 12)) + '<a href="/businesses-details/t-2.php">y</a>'
+    assert [(n, p) for n, p, _, _ in cards(spark, html)] == [(n, f"/businesses-details/s-{n}.php") for n in ("1", "2", "11")]
+
+
+def test_an_inner_link_without_a_number(spark):
+    html = '<i data-listing-id="1"><a href="/businesses-details/b-2.php">next</a><a href="/businesses-details/own">x</a></i><i data-listing-id="2">'
+    assert [(n, p) for n, p, _, _ in cards(spark, html)] == [("1", "/businesses-details/own"), ("2", "/businesses-details/b-2.php")]
+
+
 def test_item_lists(spark):
     def block(x):
         return f'<script nonce="1" type="application/ld+json">{x if isinstance(x, str) else json.dumps(x)}</script>'
