@@ -21,7 +21,8 @@ from listwright.llm.vectors import usable
 @dataclass(frozen=True)
 class Settings:
     """``shard`` distinct vectors to a graph on average, ``degree`` edges kept per vector,
-    ``build_beam`` and ``beam`` places held in a search, ``relax`` the pruning's tolerance."""
+    ``build_beam`` and ``beam`` places held in a search, ``relax`` the pruning's tolerance,
+    ``block`` queries on average that a task takes to a shard's graph."""
 
     shard: int = 4096
     degree: int = 28
@@ -29,6 +30,7 @@ class Settings:
     beam: int = 128
     relax: float = 1.2
     batch: int = 256
+    block: int = 4096
     seed: int = 3
 
 
@@ -147,6 +149,20 @@ def build_graph(vectors: np.ndarray, cfg: Settings) -> tuple[np.ndarray, int]:
     return edges, start
 
 
+def _matrix(table: pa.Table, width: int | None, name: str = "embedding") -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, width or -1)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one, computed in double precision a few at a time."""
+    out = np.empty(vectors.shape, np.float32)
+    for lo in range(0, len(vectors), 1024):
+        wide = vectors[lo : lo + 1024].astype(np.float64)
+        out[lo : lo + 1024] = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    return out
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, cfg: Settings = Settings()
 ) -> DataFrame:
@@ -157,7 +173,7 @@ def nearest(
     place of a graph that stands for their k + 1 smallest vec_ids, which is all that can be
     among the nearest. Vectors that are null, zero, or hold null or non-finite components take
     no part, nor do rows without a vec_id; vectors are searched among those of their length.
-    Queries are sent to every shard in blocks.
+    Each shard's graph is written once; queries go to every graph in blocks of bounded size.
     """
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -169,35 +185,47 @@ def nearest(
         rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
         .groupBy("dim", "embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vector-places")
     per_dim = places.groupBy("dim").agg(F.ceil(F.count("*") / cfg.shard).cast("int").alias("shards"))
-    # One row per vector length.
-    dealt = places.join(F.broadcast(per_dim), "dim").withColumn("shard", F.pmod(F.hash("embedding"), "shards"))
     asked = staged(clean(queries).distinct(), "vector-queries")
-    sent = asked.join(F.broadcast(per_dim), "dim").withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    members = dealt.select("dim", "shard", F.lit(None).cast("long").alias("query_id"), "embedding", "ids")
-    wanted = sent.select("dim", "shard", F.col("vec_id").alias("query_id"), "embedding", F.array().cast("array<long>").alias("ids"))
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
+    per_block = asked.groupBy("dim").agg(F.ceil(F.count("*") / cfg.block).cast("int").alias("blocks"))
+    # One row per vector length.
+    per_dim = F.broadcast(per_dim.join(per_block, "dim"))
+    dealt = places.join(per_dim, "dim").withColumn("shard", F.pmod(F.hash("embedding"), "shards"))
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        edges, start = build_graph(_units(_matrix(table, key[0].as_py())), cfg)
+        n, width = edges.shape
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(edges.ravel(), pa.int32()))
+        return table.select(["dim", "shard", "embedding", "ids"]).append_column(
+            "place", pa.array(np.arange(n), pa.int32())).append_column(
+            "start", pa.array(np.full(n, start), pa.int32())).append_column("edges", lists)
+
+    graphs = staged(
+        dealt.select("dim", "shard", "embedding", "ids").transform(shipped).groupBy("dim", "shard").applyInArrow(
+            build, "dim int, shard int, embedding array<float>, ids array<long>, place int, start int, edges array<int>"),
+        "vector-graphs")
+    shown = graphs.join(per_dim, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = (
+        asked.join(per_dim, "dim").withColumn("block", F.pmod(F.hash("vec_id", "embedding"), "blocks"))
+        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))))
+
+    def search(key: tuple, graph: pa.Table, asks: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        ask = np.array(table.column("query_id").is_valid())
-        column = table.column("embedding").combine_chunks()
-        matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        own, theirs = matrix[~ask], matrix[ask]
         q, p, s = [], [], []
-        if len(own) and len(theirs):
-            units = (matrix / norm).astype(np.float32)
-            base = units[~ask]
-            edges, start = build_graph(base, cfg)
-            ids = table.column("ids").filter(pa.array(~ask)).to_pylist()
-            query_ids = table.column("query_id").filter(pa.array(ask)).to_pylist()
+        if graph.num_rows and asks.num_rows:
+            graph = graph.take(pa.array(np.argsort(graph.column("place").to_numpy())))
+            own, theirs = _matrix(graph, dim), _matrix(asks, dim)
+            base, edges = _units(own), _matrix(graph, None, "edges")
+            start = graph.column("start")[0].as_py()
+            ids, query_ids = graph.column("ids").to_pylist(), asks.column("vec_id").to_pylist()
             beam = min(len(own), cfg.beam)
             for lo in range(0, len(theirs), cfg.batch):
-                met, _ = beam_search(base, edges, units[ask][lo : lo + cfg.batch], start, beam)
+                wide = theirs[lo : lo + cfg.batch].astype(np.float64)
+                met, _ = beam_search(base, edges, _units(wide), start, beam)
                 for x, places_met in enumerate(met):
                     at = places_met[places_met >= 0]
-                    v = theirs[lo + x]
-                    exact = (own[at] @ v) / (norm[~ask][at, 0] * np.linalg.norm(v))
+                    v, near = wide[x], own[at].astype(np.float64)
+                    exact = (near @ v) / (np.linalg.norm(near, axis=1) * np.linalg.norm(v))
                     best = np.lexsort((np.array([ids[a][0] for a in at]), -exact))[: k + 1]
                     for b in best:
                         for i in ids[at[b]]:
@@ -207,8 +235,9 @@ def nearest(
                                 s.append(float(exact[b]))
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(p, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    found = members.unionByName(wanted).transform(shipped).groupBy("dim", "shard").applyInArrow(
-        search, "query_id long, vec_id long, score double")
+    by = ("dim", "shard", "block")
+    found = shown.select(*by, "embedding", "ids", "place", "start", "edges").groupBy(*by).cogroup(
+        sent.select(*by, "vec_id", "embedding").groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

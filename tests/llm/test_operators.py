@@ -231,6 +231,19 @@ def test_neighbours(spark):
     assert neighbour_graph.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_of_queries_in_blocks(spark):
+    x = vector_rows(300)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], VECTORS)
+    exact = {q: sorted(((-round(cosine(x[q], x[i]), 12), i) for i in range(300) if i != q))[:5] for q in range(300)}
+    for block in (4096, 20):
+        found = neighbour_graph.nearest(df, df, cfg=neighbour_graph.Settings(shard=60, block=block))
+        got = [(r.query_id, r.vec_id) for r in found.collect()]
+        assert len(got) == len(set(got)) == 5 * 300
+        assert len({(q, i) for q, best in exact.items() for _, i in best} & set(got)) >= 0.99 * len(got)
+    # Searches are dealt by the block of queries too, so no task holds all of them.
+    assert "block" in found._jdf.queryExecution().analyzed().toString().split("FlatMapCoGroupsInArrow")[1].split("\n")[0]
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_vector_dedup(spark, block):
     x = vector_rows(300)
