@@ -100,7 +100,7 @@ class Lattices:
         self.shown_chars = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32)
         self.high = np.zeros(len(self.pieces), bool)
         self.high[[i for byte, i in self.bytes.items() if byte >= 128]] = True
-        kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int32, "chance": np.float32, "sum": np.float64,
+        kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int32, "chance": np.float64, "sum": np.float64,
                  "to": np.int32, "logp": np.float64, "rest": np.float32, "code_from": np.int32, "code": np.int32}
         self.flat = {k: np.zeros(1 << 18, t) for k, t in kinds.items()}
         self.forget()
@@ -195,9 +195,12 @@ class Lattices:
         for values in (end, piece, logp):
             values[first], values[lead] = values[lead], values[first]
         chance = np.exp(logp)
-        running = np.cumsum(chance)
-        upto = running - np.repeat(running[first] - chance[first], count)
-        final = first + count - 1
+        # Each place is summed on its own, so that its sums depend on neither the batch nor what is known.
+        upto, final = chance.copy(), first + count - 1
+        longer = first
+        for i in range(1, int(count.max())):
+            longer = longer[count[start[longer]] > i]
+            upto[longer + i] += upto[longer + i - 1]
         upto = np.minimum(upto, 1.0)
         upto[final] = 1.0
         codes = np.ones(len(piece), np.int64)
@@ -218,8 +221,8 @@ class Lattices:
         # The place behind a run is the next run's first one; a walk stops there.
         for name, at, values in (
             ("begin", r, base + stop - size), ("end", r, base + stop),
-            ("edge_from", base, edges + np.append(first, len(start))), ("chance", base, np.where(alone, 2.0, chance[first])),
-            ("sum", edges, base + start + upto), ("to", edges, base + end), ("logp", edges, logp), ("rest", edges, rest),
+            ("edge_from", base, edges + np.append(first, len(start))), ("chance", base, np.where(alone, 2.0, upto[first])),
+            ("sum", edges, upto), ("to", edges, base + end), ("logp", edges, logp), ("rest", edges, rest),
             ("code_from", edges, known + np.append(code_from, len(code))), ("code", known, code),
         ):
             self._put(name, at, values)
@@ -238,17 +241,17 @@ class Lattices:
 
     def next_edges(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by a uniform number."""
-        flat, n = self.flat, self.count["edge"]
+        flat = self.flat
         edge = flat["edge_from"][at]
         other = np.flatnonzero(u >= flat["chance"][at])
         if not len(other):
             return edge
-        if len(other) < 64:
-            edge[other] = np.minimum(
-                np.searchsorted(flat["sum"][:n], at[other] + u[other], "right"), flat["edge_from"][at[other] + 1] - 1)
+        tried, last, sought = edge[other] + 1, flat["edge_from"][at[other] + 1] - 1, u[other]
+        if len(other) < 8:
+            for i, lo, hi, x in zip(other.tolist(), tried.tolist(), last.tolist(), sought.tolist(), strict=True):
+                edge[i] = lo + int(flat["sum"][lo:hi].searchsorted(x, "right"))
             return edge
         # A place has few edges, so they are tried one after the other.
-        tried, last, sought = edge[other] + 1, flat["edge_from"][at[other] + 1] - 1, at[other] + u[other]
         live = np.flatnonzero((tried < last) & (flat["sum"][tried] <= sought))
         while len(live):
             tried[live] += 1

@@ -431,6 +431,31 @@ def test_samples_follow_the_lattice():
     assert abs(sum(weighed.values()) - 1) < 0.1
 
 
+def test_draws_do_not_depend_on_the_batch_or_on_what_is_known():
+    runs = ["▁international", "▁cats", "▁segmentation", "▁transformation"]
+    fresh, used = piece_sampling.Lattices(sharpness=0.15), piece_sampling.Lattices(sharpness=0.15)
+    used.places([f"▁{w}" for t in word_texts(5, 30) for w in set(t.split())])
+    used.places(["▁before", *reversed(runs)])
+    for run in runs:
+        ranges = []
+        for own in (fresh, used):
+            place = own.places([run])[0]
+            begin, end = int(own.flat["begin"][place]), int(own.flat["end"][place])
+            ranges.append((own, begin, own.flat["edge_from"][begin : end + 1].astype(int)))
+        (a, _, ea), (b, _, eb) = ranges
+        assert (a.flat["sum"][ea[0] : ea[-1]] == b.flat["sum"][eb[0] : eb[-1]]).all()
+        for own, begin, bounds in ranges:
+            for t in range(len(bounds) - 1):
+                sums = own.flat["sum"][bounds[t] : bounds[t + 1]]
+                u = np.concatenate([np.nextafter(sums, 0), sums[:-1], sums / 2])
+                u = u[u < 1]
+                at = np.full(len(u), begin + t)
+                alone = [int(own.next_edges(at[i : i + 1], u[i : i + 1])[0]) for i in range(len(u))]
+                many = own.next_edges(np.tile(at, 100), np.tile(u, 100))
+                assert many.tolist() == alone * 100
+                assert [e - bounds[t] for e in alone] == np.minimum(np.searchsorted(sums, u, "right"), len(sums) - 1).tolist()
+
+
 def test_all_samples_of_a_short_text():
     sampler = piece_sampling.Sampler(piece_sampling.Settings(k=50))
     paths = all_paths("▁at", sampler.lattices)
