@@ -10,33 +10,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 1024
+FIRST_CUTS = 1024
 
 
 def split_points(df: DataFrame, *values: Column, slices: int | None = None) -> list[list]:
-    """Cut values of numeric columns, found in one pass.
+    """Cut values of numeric columns.
 
-    What comes to the driver is one row of at most ``MAX_SLICES`` numbers per column; how
-    many of them are used follows from the row count.
+    One pass counts the rows and finds ``FIRST_CUTS`` shares, from which fewer are taken; a
+    log that needs more slices than that is passed once more. What comes to the driver is one
+    row with a number per slice and column.
     """
-    shares = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    n, *cuts = df.agg(
-        F.count("*"), *(F.percentile_approx(v, shares, 10 * MAX_SLICES) for v in values)
-    ).first()
-    wanted = slices or max(2, min(MAX_SLICES, n // ROWS_PER_SLICE))
-    at = [round(i * MAX_SLICES / wanted) - 1 for i in range(1, wanted)]
-    return [sorted({found[i] for i in at}) if found else [] for found in cuts]
-
-
-def _place(column: str, cuts: list, lo: int, hi: int) -> str:
-    """Nested comparisons: 2i for a value between cuts i-1 and i, 2i+1 for cut i itself."""
-    if lo == hi:
-        return str(2 * lo)
-    mid = (lo + hi) // 2
-    return (
-        f"CASE WHEN {column} < {cuts[mid]}L THEN {_place(column, cuts, lo, mid)} "
-        f"WHEN {column} > {cuts[mid]}L THEN {_place(column, cuts, mid + 1, hi)} ELSE {2 * mid + 1} END"
-    )
+    def found(parts: int) -> list:
+        shares = [i / parts for i in range(1, parts)]
+        return list(df.agg(F.count("*"), *(F.percentile_approx(v, shares, 10 * parts) for v in values)).first())
+
+    n, *cuts = found(FIRST_CUTS)
+    wanted, parts = slices or max(2, n // ROWS_PER_SLICE), FIRST_CUTS
+    if wanted > parts:
+        parts, cuts = wanted, found(wanted)[1:]
+    at = [round(i * parts / wanted) - 1 for i in range(1, wanted)]
+    return [sorted({c[i] for i in at}) if c else [] for c in cuts]
+
+
+def _place(column: str, cuts: list) -> Column:
+    """2i for a value between cuts i-1 and i, 2i+1 for cut i itself, by halving one literal array."""
+    if not cuts:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    value = F.col(column)
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))))
+    search = lambda i, step: F.when(F.get(held, i + step - 1) <= value, i + step).otherwise(i)
+    is_cut = lambda i: F.coalesce(F.get(held, i - 1) == value, F.lit(False)).cast("int")
+    return F.aggregate(steps, F.lit(0), search, lambda i: 2 * i - is_cut(i))
 
 
 def slice_of(value: str, tie: str, cuts: list, tie_cuts: list) -> Column:
@@ -46,8 +51,8 @@ def slice_of(value: str, tie: str, cuts: list, tie_cuts: list) -> Column:
     very frequent value becomes, has slices of its own that are cut again by the tie. A
     label is found by halving, so many cuts cost a row few comparisons.
     """
-    base = F.expr(_place(value, cuts, 0, len(cuts))).cast("bigint")
-    finer = F.expr(_place(tie, tie_cuts, 0, len(tie_cuts)))
+    base = _place(value, cuts).cast("bigint")
+    finer = _place(tie, tie_cuts)
     return base * (2 * len(tie_cuts) + 1) + F.when(base % 2 == 1, finer).otherwise(0)
 
 

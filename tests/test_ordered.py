@@ -1,11 +1,14 @@
 """Sliced streaks against a plain loop, on uneven logs."""
 
 import random
+from bisect import bisect_left
 from datetime import datetime, timedelta
 
 import pytest
 
-from listwright.functions.ordered import failure_streak
+from pyspark.sql import functions as F
+
+from listwright.functions.ordered import failure_streak, slice_of, split_points
 
 START = datetime(2024, 1, 1)
 
@@ -38,3 +41,17 @@ def test_streak_goes_on_from_before(spark):
     df = spark.createDataFrame([(*r, {"a": 4, "b": 1}[r[0]]) for r in rows], "source string, ts timestamp, seq bigint, ok boolean, b bigint")
     got = {r.seq: r.streak for r in failure_streak(df, "source", "ts", "seq", "ok", start="b", slices=3).collect()}
     assert got == loop(rows, {"a": 4, "b": 1})
+
+
+def test_slices_have_no_ceiling(spark):
+    df = spark.range(20_000)
+    (cuts,) = split_points(df, F.col("id"), slices=3000)
+    assert len(cuts) == 2999
+    got = df.select("id", slice_of("id", "id", cuts, [5, 9]).alias("s")).collect()
+    place = lambda x, at: 2 * bisect_left(at, x) + (x in at)
+    held = set(cuts)
+    for r in got:
+        base = 2 * bisect_left(cuts, r.id) + (r.id in held)
+        assert r.s == base * 5 + (place(r.id, [5, 9]) if base % 2 else 0)
+    sizes = df.groupBy(slice_of("id", "id", cuts, [])).count().agg(F.max("count")).first()[0]
+    assert sizes < 20
