@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from listwright import config as C
 from listwright.functions import text as X
 from listwright.operators import digest, feeds
+from listwright.plans import page_queries as P
 from listwright.plans import state_queries as S
 from listwright.plans import views as V
-from listwright.plans.registry import query
+from listwright.plans.registry import ORACLE, query
 from listwright.plans.rules_queries import _q
 from listwright.plans.views import with_views
 from listwright.session import prepare, settle, work_dir
+from listwright.sources import adapters
 from listwright.streaming import jobs
 
 _VIEWS = ("v_full", "v_activity")
@@ -226,6 +228,16 @@ def stream_discovery(spark, folder):
     return jobs.discovery_stream(pages, links, f"{work}/stubs", f"{work}/marks")
 
 
+@query("stream_feed_union", ORACLE["feed_union"])
+def stream_feed_union(spark, folder):
+    """Stubs of newly landed pages of all feeds, read by their adapters batch by batch."""
+    work = work_dir(spark, "feeds")
+    schema = V.table(spark, folder, "pages").schema
+    pages = prepare(spark).readStream.schema(schema).parquet(f"{folder}/pages.parque[t]")
+    out = jobs.discovery_stream(P._landed(spark, folder, pages), adapters.union_feeds, f"{work}/stubs", f"{work}/marks")
+    return out.select("source", "source_listing_id", "canonical_url")
+
+
 @query("stream_digest", """
 SELECT 'digest:1999-07-01:' || o_orderpriority || ':' || o_orderkey AS event_key, 'confirmed' AS delivery_state, 'outbox' AS message_ref FROM orders""")
 def stream_digest(spark, folder):

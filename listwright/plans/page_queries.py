@@ -333,10 +333,10 @@ def feed_union(spark, folder):
     return union_feeds(landed).select("source", "source_listing_id", "canonical_url")
 
 
-def _landed(spark, folder):
+def _landed(spark, folder, pages=None):
     """Card and item-list pages as one table of landed search pages."""
     common = [F.lit(200).alias("http_status"), (F.col("page_id") + 1).cast("int").alias("page_no"),
               F.lit("2024-01-01 00:00:00").cast("timestamp").alias("fetched_at"), "html"]
-    cards = V.card_pages(spark, folder).select(F.lit(C.CARD_FEED).alias("source"), F.lit(None).cast("string").alias("state"), *common)
-    items = V.ld_pages(spark, folder).select(F.lit(C.ITEM_FEED).alias("source"), "state", *common)
+    cards = V.card_pages(spark, folder, pages).select(F.lit(C.CARD_FEED).alias("source"), F.lit(None).cast("string").alias("state"), *common)
+    items = V.ld_pages(spark, folder, pages).select(F.lit(C.ITEM_FEED).alias("source"), "state", *common)
     return cards.unionByName(items)

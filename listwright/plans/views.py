@@ -491,9 +491,9 @@ _SQL["v_responses"] = ((), """
 CARDS_PER_PAGE = 6
 
 
-def card_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages with result cards added behind their whole markup."""
-    p = table(spark, folder, "pages")
+def card_pages(spark: SparkSession, folder: str, pages: DataFrame | None = None) -> DataFrame:
+    """Pages, the given table's or a stream's, with result cards added behind their whole markup."""
+    p = table(spark, folder, "pages") if pages is None else pages
     n = F.col("page_id")
 
     def card(i: Column) -> Column:
@@ -518,9 +518,9 @@ _SQL["v_cards"] = ((), f"""
   FROM (SELECT page_id, i, page_id * 5 + i AS number FROM pages, range(1, {CARDS_PER_PAGE + 1}) t(i))""")
 
 
-def ld_pages(spark: SparkSession, folder: str) -> DataFrame:
+def ld_pages(spark: SparkSession, folder: str, pages: DataFrame | None = None) -> DataFrame:
     """Pages with JSON-LD blocks built from their own links: a good list, another type, a broken one."""
-    p = table(spark, folder, "pages")
+    p = table(spark, folder, "pages") if pages is None else pages
     links = F.regexp_extract_all("html", F.lit('<li><a href="/([^"]*)"'), F.lit(1))
     plain = F.transform(links, lambda x: F.regexp_replace(x, "[^A-Za-z]+", ""))
     n = F.col("page_id")

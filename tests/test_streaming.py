@@ -5,6 +5,7 @@ import random
 import shutil
 from datetime import datetime, timedelta
 
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from listwright import config as C
@@ -116,3 +117,10 @@ def test_activity_written_again(spark, tmp_path):
         snapshots.write_activity(events(*keys), path, run)
     got = snapshots.read_activity(spark, path)
     assert got.columns == ACTIVITY.fieldNames() and sorted(r.event_key for r in got.collect()) == ["a", "b", "c"]
+
+
+def test_registered_stream_reads_pages_by_their_adapters(spark):
+    found = entry.queries()["stream_feed_union"](spark, "/root/testdata/sf0.001")
+    batch = entry.queries()["feed_union"](spark, "/root/testdata/sf0.001")
+    assert as_set(found) == as_set(batch)
+    assert {r.source for r in found.collect()} == {C.CARD_FEED, C.ITEM_FEED}
