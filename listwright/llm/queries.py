@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright.llm import (
-    bit_planes, chat, embedding_dedup, minhash, mixing, neighbour_graph, piece_sampling, quality, separator_scan, toxicity,
+    bit_planes, chat, embedding_dedup, minhash, mixing, neighbour_graph, piece_sampling, quality, separator_scan, toxicity, whitening,
 )
 from listwright.llm.frames import staged, table
 from listwright.session import work_dir
@@ -87,11 +87,16 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_separator_scan, op2_minhash, op3_neighbour_graph, op4_bit_planes, op5_mixing, op6_chat,
         op7_embedding_dedup, op8_toxicity, op9_piece_sampling, op10_quality,
+        op11_whitening,
     )
 }
 

@@ -27,3 +27,16 @@ def matrices(column: pa.Array):
 
 def unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def integers(column: pa.Array):
+    """The rows of a list column of whole numbers, one matrix for each vector length: (rows, matrix)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    begin = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths):
+        rows = np.flatnonzero(lengths == dim)
+        if dim:
+            yield rows, flat[begin[rows][:, None] + np.arange(dim)]
