@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright.llm import (
-    bit_planes, chat, embedding_dedup, minhash, mixing, neighbour_graph, piece_sampling, quality, separator_scan, toxicity, whitening,
+    bit_planes, chat, embedding_dedup, minhash, mixing, neighbour_graph, piece_sampling, quality, risk_rules,
+    separator_scan, toxicity, whitening,
 )
 from listwright.llm.frames import staged, table
 from listwright.session import work_dir
@@ -91,12 +92,16 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
 
 
+def op12_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return risk_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_separator_scan, op2_minhash, op3_neighbour_graph, op4_bit_planes, op5_mixing, op6_chat,
         op7_embedding_dedup, op8_toxicity, op9_piece_sampling, op10_quality,
-        op11_whitening,
+        op11_whitening, op12_risk_rules,
     )
 }
 
@@ -197,4 +202,72 @@ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE links.a = named.id) AS n_
   id = component AS kept
 FROM named
 """,
+    "op12_risk_rules": r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+places AS (SELECT r, unnest(range(1, len(w) - 1)) AS i FROM split),
+wins AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n FROM places JOIN split USING (r)
+),
+covered AS (
+  SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM wins, (SELECT unnest([0, 1, 2]) AS d) WHERE n > 1 GROUP BY r
+),
+counted AS (
+  SELECT s.r, doc_id, coalesce('=' || lang, '-') AS stratum, len(w)::BIGINT AS n_words,
+    length(list_aggregate(w, 'string_agg', ''))::BIGINT AS joined, w, lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM split s LEFT JOIN covered USING (r)
+),
+stats AS (
+  SELECT r, doc_id, stratum, n_words, coalesce(joined, 0) AS word_chars,
+    coalesce(len(regexp_extract_all(list_aggregate(w, 'string_agg', ' '), '[#*$%&|<>]')), 0)::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, len(lines)::BIGINT AS n_lines,
+    coalesce(len(regexp_extract_all(list_aggregate(w, 'string_agg', ' '), '[A-Z]')), 0)::BIGINT AS n_capitals,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM counted
+),
+held AS (
+  SELECT stats.*, good FROM stats
+  JOIN (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+),
+grid(rule, steps) AS (
+  VALUES @GRID@
+),
+steps AS (SELECT rule, unnest(range(1, len(steps) + 1)) AS step, unnest(steps)::DOUBLE AS cutoff FROM grid),
+valued AS (
+  SELECT r, stratum, good, unnest(['symbols', 'capitals', 'word_length', 'dup_lines', 'repeats']) AS rule,
+    unnest([n_symbols / word_chars, n_capitals / word_chars, word_chars / n_words, n_dup_lines / n_lines, n_repeat_words / n_words]) AS value
+  FROM held
+),
+totals AS (SELECT stratum, sum(good)::BIGINT AS n, count(*) OVER () AS strata FROM held GROUP BY stratum),
+tests AS (
+  SELECT t.stratum, rule, step, cutoff, n, strata,
+    (SELECT count(*) FROM valued v WHERE v.stratum = t.stratum AND v.rule = s.rule AND value > cutoff AND good = 1) AS k,
+    (SELECT count(*) FROM valued v WHERE v.stratum = t.stratum AND v.rule = s.rule AND value > cutoff AND good = 0) AS bad
+  FROM totals t, steps s
+),
+chances AS (
+  SELECT *, CASE WHEN k >= n * 0.01 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(CASE WHEN n = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) END + i * ln(0.01) + (n - i) * ln(0.99)))) END
+    <= 0.05 / (strata * 5) AS passed
+  FROM tests
+),
+chosen AS (
+  SELECT stratum, rule, arg_max(cutoff, [bad - 10 * k, -step]) AS cutoff
+  FROM (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY step) AS safe FROM chances)
+  WHERE safe AND bad - 10 * k > 0 GROUP BY ALL
+),
+broken AS (
+  SELECT r, string_agg(rule, ',' ORDER BY list_position(['symbols', 'capitals', 'word_length', 'dup_lines', 'repeats'], rule)) AS failed_rules
+  FROM stats JOIN chosen USING (stratum)
+  WHERE NOT base_failed AND cutoff < CASE rule WHEN 'symbols' THEN n_symbols / word_chars WHEN 'capitals' THEN n_capitals / word_chars
+    WHEN 'word_length' THEN word_chars / n_words WHEN 'dup_lines' THEN n_dup_lines / n_lines ELSE n_repeat_words / n_words END
+  GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed,
+  NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
+FROM stats LEFT JOIN broken USING (r)
+""".replace("@GRID@", ", ".join(f"('{r.name}', {list(r.cutoffs)})" for r in risk_rules.RULES)),
 }
