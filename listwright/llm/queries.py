@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright.llm import (
     bit_planes, chat, embedding_dedup, minhash, mixing, neighbour_graph, piece_sampling, quality, risk_rules,
-    separator_scan, toxicity, whitening,
+    separator_scan, spelling, toxicity, whitening,
 )
 from listwright.llm.frames import staged, table
 from listwright.session import work_dir
@@ -96,12 +96,16 @@ def op12_risk_rules(spark: SparkSession, folder: str) -> DataFrame:
     return risk_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_separator_scan, op2_minhash, op3_neighbour_graph, op4_bit_planes, op5_mixing, op6_chat,
         op7_embedding_dedup, op8_toxicity, op9_piece_sampling, op10_quality,
-        op11_whitening, op12_risk_rules,
+        op11_whitening, op12_risk_rules, op13_spelling,
     )
 }
 
@@ -270,4 +274,58 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
   NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
 FROM stats LEFT JOIN broken USING (r)
 """.replace("@GRID@", ", ".join(f"('{r.name}', {list(r.cutoffs)})" for r in risk_rules.RULES)),
+    "op13_spelling": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))
+),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents
+),
+pairs AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hexed AS (SELECT *, lower(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run))) AS x FROM pairs),
+bytes AS (
+  SELECT doc_id, run, n, list_transform(range(0, len(x) // 2), lambda i:
+    16 * (strpos('0123456789abcdef', x[2 * i + 1]) - 1) + strpos('0123456789abcdef', x[2 * i + 2]) - 1) AS b
+  FROM hexed
+),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h
+  FROM bytes, crc_table
+),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hashed
+),
+vocabulary AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary),
+holes AS (SELECT word, n, i, substring(word, 1, (i - 1)::INT) AS head, substring(word, (i + 1)::INT) AS tail FROM places),
+near AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.i = y.i AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word
+  UNION
+  SELECT x.word, x.n, y.word, y.n FROM holes x JOIN vocabulary y ON x.head || x.tail = y.word
+  UNION
+  SELECT y.word, y.n, x.word, x.n FROM holes x JOIN vocabulary y ON x.head || x.tail = y.word
+),
+ranked AS (
+  SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place
+  FROM near
+),
+forms AS (
+  SELECT v.word, CASE WHEN near_n >= 10 * v.n THEN near END AS form, v.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND place = 1
+),
+chain(word, stop) AS (
+  SELECT word, word FROM forms
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.stop WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.stop AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.stop AND e.form IS NULL
+""",
 }
