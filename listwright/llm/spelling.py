@@ -88,18 +88,37 @@ def keys(reduced: np.ndarray) -> np.ndarray:
     return _finished((reduced * _power(n)[:n]).sum(axis=1, dtype=np.uint64), n)
 
 
-def neighbour_keys(reduced: np.ndarray, symbols: int) -> np.ndarray:
-    """Keys of each reduced word itself and of all words one edit from it, a row each; some stand twice."""
+def neighbour_keys(reduced: np.ndarray, symbols: int, most: int = _KEYS) -> Iterator[np.ndarray]:
+    """Keys of each reduced word itself and of all words one edit from it, a row each; some stand twice.
+
+    They come in pieces of some ``most`` keys, a stretch of places each.
+    """
     m, n = reduced.shape
     power, inverse = _power(n + 1), np.uint64(pow(_BASE, -1, 2**64))
     upto = np.zeros((m, n + 1), np.uint64)
     np.cumsum(reduced * power[:n], axis=1, out=upto[:, 1:])
     whole, every = upto[:, -1:], np.arange(1, symbols + 1, dtype=np.uint64)
-    changed = whole[:, :, None] + (every - reduced[:, :, None]) * power[:n, None]
-    shorter = upto[:, :n] + (whole - upto[:, 1:]) * inverse
-    longer = upto[:, :, None] + every * power[: n + 1, None] + ((whole - upto) * np.uint64(_BASE))[:, :, None]
-    return np.concatenate([
-        _finished(changed.reshape(m, -1), n), _finished(shorter, n - 1), _finished(longer.reshape(m, -1), n + 1)], axis=1)
+    step = max(1, most // (2 * symbols * m))
+    for lo in range(0, n + 1, step):
+        at, on = slice(lo, lo + step), slice(lo, min(lo + step, n))
+        changed = whole[:, :, None] + (every - reduced[:, on, None]) * power[on, None]
+        shorter = upto[:, on] + (whole - upto[:, 1:][:, on]) * inverse
+        longer = upto[:, at, None] + every * power[: n + 1][at, None] + ((whole - upto[:, at]) * np.uint64(_BASE))[:, :, None]
+        yield np.concatenate([
+            _finished(changed.reshape(m, -1), n), _finished(shorter, n - 1), _finished(longer.reshape(m, -1), n + 1)], axis=1)
+
+
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether strings differ by exactly one inserted, deleted or replaced code point.
+
+    Spark's bounded edit distance takes the square of the length, so long strings are compared
+    behind the first place where they differ.
+    """
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(differ, True).cast("int")
+    tail = lambda c, other: F.substr(c, at + F.when(F.length(c) >= F.length(other), F.lit(1)).otherwise(F.lit(0)))
+    close = F.abs(F.length(a) - F.length(b)) <= 1
+    return (a != b) & close & F.when(F.length(a) <= 200, F.levenshtein(a, b, 1) == 1).otherwise(tail(a, b) == tail(b, a))
 
 
 def _keyed(words: DataFrame, cfg: Settings) -> DataFrame:
@@ -132,12 +151,12 @@ def _generated(words: DataFrame, cfg: Settings) -> DataFrame:
             for own, reduced in by_length(batch.column(0).to_pylist(), cfg.symbols):
                 step = max(1, _KEYS // ((2 * reduced.shape[1] + 2) * cfg.symbols))
                 for lo in range(0, len(own), step):
-                    made = neighbour_keys(reduced[lo : lo + step], cfg.symbols)
-                    slot = made >> shift
-                    hit = np.flatnonzero((seen[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
-                    if not len(hit):
-                        continue
-                    who, key = hit // made.shape[1], made.ravel()[hit]
+                    hits = []
+                    for made in neighbour_keys(reduced[lo : lo + step], cfg.symbols):
+                        slot = made >> shift
+                        hit = np.flatnonzero((seen[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                        hits.append((hit // made.shape[1], made.ravel()[hit]))
+                    who, key = (np.concatenate(x) for x in zip(*hits, strict=True))
                     order = np.lexsort((key, who))
                     who, key = who[order], key[order]
                     new = np.append(True, (np.diff(who) != 0) | (key[1:] != key[:-1]))
@@ -153,7 +172,7 @@ def near_pairs(words: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``(word, n, near, near_n)`` for every word of ``words(word, n, key)`` and each word one edit from it."""
     known = words.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
     met = _generated(words, cfg).join(known, "key")
-    return met.filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    return met.filter(one_edit(F.col("word"), F.col("near"))).select("word", "n", "near", "near_n")
 
 
 def roots(forms: DataFrame) -> DataFrame:
