@@ -6,7 +6,7 @@ last returns sampled segmentations. Stages are written and read again in between
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listwright.llm import minhash, mixing, piece_sampling, quality, toxicity
 from listwright.llm.frames import staged, table
@@ -19,13 +19,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose chance of good quality reaches ``LEAST_QUALITY``."""
     stats = staged(quality.document_statistics(docs), "statistics")
     model = quality.train(stats, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).filter(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.good(docs, model, LEAST_QUALITY)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of being toxic is below ``MOST_TOXIC``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(F.col("toxic_score") < MOST_TOXIC).select(*docs.columns)
+    return toxicity.clean(docs, model, MOST_TOXIC)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,11 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")))
-    one = known.withColumn("_row", F.row_number().over(same)).filter("_row = 1").select(*docs.columns)
+    # Of rows that differ in other columns only, the one that comes first as JSON, whatever their types.
+    rest = [known[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text")]
+    rows = known.select(
+        "doc_id", F.xxhash64("text").alias("text"), F.to_json(F.struct(F.lit(0).alias("_"), *rest)).alias("rest"), F.struct("*").alias("row"))
+    one = rows.groupBy("doc_id", "text").agg(F.min_by("row", "rest").alias("row")).select("row.*")
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from listwright.llm.bytescan import mixed
 from listwright.llm.frames import partitions, shipped, staged
 from listwright.llm.graph import components
-from listwright.llm.vectors import matrices, unit, usable
+from listwright.llm.vectors import as_given, matrices, unit, usable
 
 
 @dataclass(frozen=True)
@@ -54,10 +55,17 @@ def table_keys(matrix: np.ndarray, cfg: Settings) -> np.ndarray:
     return out
 
 
+def _wide(vectors: DataFrame) -> str:
+    """How a vector's components are written as bytes."""
+    return "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
+
+
 def _keyed(classes: DataFrame, cfg: Settings) -> DataFrame:
+    wide = _wide(classes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = mixed(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            labels = mixed(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
             for rows, matrix in matrices(batch.column(3)):
                 keys = mixed(table_keys(matrix, cfg) ^ labels[rows][:, None])
                 bounds = pa.array((np.arange(len(rows) + 1) * cfg.tables).astype(np.int32))
@@ -66,10 +74,10 @@ def _keyed(classes: DataFrame, cfg: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(2), pa.ListArray.from_arrays(bounds, pa.array(keys.view(np.int64).ravel())),
                      pa.array([x.tobytes() for x in short], pa.binary()),
-                     pa.array([x.tobytes() for x in matrix.astype("<f4")], pa.binary())],
+                     pa.array([x.tobytes() for x in matrix.astype(wide)], pa.binary())],
                     ["class_id", "copies", "keys", "short", "vector"])
 
-    return classes.select("class_id", "label", "copies", "embedding").transform(shipped).mapInArrow(
+    return classes.select("class_id", F.xxhash64("label").alias("label"), "copies", "embedding").transform(shipped).mapInArrow(
         run, "class_id long, copies long, keys array<long>, short binary, vector binary")
 
 
@@ -131,7 +139,9 @@ def _compare(rows: dict[str, np.ndarray], cfg: Settings) -> Iterator[tuple[np.nd
             yield ids[base + hit], links[hit].astype(np.int64), ids[base + root[hit]]
 
 
-def _tile_links(tiles: DataFrame, cfg: Settings) -> DataFrame:
+def _tile_links(tiles: DataFrame, wide: str, cfg: Settings) -> DataFrame:
+    each = np.dtype(wide).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
@@ -142,10 +152,10 @@ def _tile_links(tiles: DataFrame, cfg: Settings) -> DataFrame:
             vectors = table.column("vector").to_pylist()
             change = np.flatnonzero(
                 (np.diff(col["key"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)) + 1
-            width = max(map(len, vectors)) // 4
+            width = max(map(len, vectors)) // each
             flat = np.zeros((len(vectors), width))
             for n, v in enumerate(vectors):
-                flat[n, : len(v) // 4] = np.frombuffer(v, "<f4")
+                flat[n, : len(v) // each] = np.frombuffer(v, wide)
             short = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u4").reshape(-1, cfg.tables)
             rows = {
                 "begin": np.concatenate([[0], change]), "id": col["class_id"], "copies": col["copies"], "i": col["i"],
@@ -184,20 +194,24 @@ def _tile_links(tiles: DataFrame, cfg: Settings) -> DataFrame:
 def near_duplicate_vectors(vectors: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors(vec_id, embedding, label)``.
 
-    Rows with equal labels and a cosine of at least ``cosine`` in double precision are linked.
-    Equal vectors are compared once and count as often as they stand; vectors of different
-    lengths have no cosine. A null label, and a vector that is null, zero or holds null or
-    non-finite components, links with nothing. A row without a vec_id takes no part, has no
-    component and is kept. Rows that repeat a vec_id are vectors of their own under one name.
+    Rows with equal labels, of any type, and a cosine of at least ``cosine`` in double precision
+    are linked; vectors of doubles are not narrowed. Equal vectors are compared once and count as
+    often as they stand; vectors of different lengths have no cosine. A null label, and a vector
+    that is null, zero or holds null or non-finite components, links with nothing. A row without
+    a vec_id takes no part, has no component and is kept. Rows that repeat a vec_id are vectors
+    of their own under one name, and come back one by one. No rows give none; other columns are
+    not looked at.
     """
     rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"),
-        F.col("label").cast("long").alias("label"))
+        F.col("vec_id").cast("long").alias("vec_id"),
+        as_given(F.col("embedding"), vectors.schema["embedding"].dataType).alias("embedding"), F.col("label"))
     part = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("part", part)
+    # A class has a number of its own, as its smallest vec_id may stand in several.
     classes = staged(
         rows.filter("part").groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "vector-classes")
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+        .withColumn("class_id", F.monotonically_increasing_id()), "vector-classes")
     keyed = staged(_keyed(classes, cfg), "vector-keys")
     exploded = keyed.select("class_id", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(
@@ -207,14 +221,15 @@ def near_duplicate_vectors(vectors: DataFrame, cfg: Settings = Settings()) -> Da
     tiles = member.select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id"
     ).join(keyed.select("class_id", "copies", "short", "vector"), "class_id")
-    found = staged(_tile_links(tiles, cfg), "vector-links")
+    found = staged(_tile_links(tiles, _wide(classes), cfg), "vector-links")
     counted = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     named = components(found.select(F.col("class_id").alias("a"), F.col("peer").alias("b")))
+    named = named.withColumnRenamed("node", "class_id")
+    least = classes.select("class_id", "least").join(named, "class_id").groupBy("component").agg(F.min("least").alias("first"))
     per_class = (
-        classes.join(counted, "class_id", "left")
-        .join(named.withColumnRenamed("node", "class_id"), "class_id", "left")
+        classes.join(counted, "class_id", "left").join(named, "class_id", "left").join(least, "component", "left")
         .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-                F.coalesce("component", "class_id").alias("component")))
+                F.coalesce("first", "least").alias("component")))
     out = rows.filter("part").join(per_class, ["label", "embedding"]).select(
         "vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"),
         (F.col("vec_id") == F.col("component")).alias("kept"))

@@ -47,27 +47,31 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def planned(docs: DataFrame, seed: int = 5, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Documents with ``size, source_size, target, copies``: how often the mix takes each.
+    """``(doc_id, size, source_size, target, copies, row)``: how often the mix takes each document.
 
     A source's repetition rate is target / size. Each document stands floor(rate) times, and
     once more if the draw of its doc_id falls below the fraction, so reruns agree and rows that
     repeat a doc_id are drawn alike. Null and empty texts have size 0; null is a source of its
-    own, and rows without a doc_id share one draw. Sizes are summed before the shuffle, so one
-    large source costs no more; per-source rows are as many as there are sources.
+    own, and rows without a doc_id share one draw. No documents give no rows. Texts are counted
+    where they are, whatever their length. ``row`` holds the given row, so that its columns may
+    have any names. Sizes are summed before the shuffle, so one large source costs no more;
+    per-source rows are as many as there are sources.
     """
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights, most)
     # Nulls are told apart so that the key can be joined on.
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    sized = docs.select(
+        "doc_id", key("source").alias("source_key"), "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    targets = source_targets(sized.select("source", "size"), weights, most)
     rates = targets.select(key("source").alias("source_key"), "source_size", "target")
-    mixed = sized.withColumn("source_key", key("source")).join(rates, "source_key", "left").drop("source_key")
+    mixed = sized.join(rates, "source_key", "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return mixed.withColumn("copies", F.least(F.floor(rate) + extra, F.lit(most).cast("long")))
+    copies = F.least(F.floor(rate) + extra, F.lit(most).cast("long"))
+    return mixed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), "row")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document as often as it is taken, in its own columns."""
     plan = planned(docs, **settings).filter("copies > 0")
     copies = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
-    return plan.withColumn("copy", F.explode(copies)).select(*docs.columns)
+    return plan.select("row", F.explode(copies)).select("row.*")

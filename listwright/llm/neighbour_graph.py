@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from listwright.llm.frames import shipped, staged
-from listwright.llm.vectors import usable
+from listwright.llm.vectors import as_given, held, unit, usable
 
 
 @dataclass(frozen=True)
@@ -158,8 +158,7 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     """Vectors of length one, computed in double precision a few at a time."""
     out = np.empty(vectors.shape, np.float32)
     for lo in range(0, len(vectors), 1024):
-        wide = vectors[lo : lo + 1024].astype(np.float64)
-        out[lo : lo + 1024] = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+        out[lo : lo + 1024] = unit(vectors[lo : lo + 1024].astype(np.float64))
     return out
 
 
@@ -173,10 +172,15 @@ def nearest(
     place of a graph that stands for their k + 1 smallest vec_ids, which is all that can be
     among the nearest. Vectors that are null, zero, or hold null or non-finite components take
     no part, nor do rows without a vec_id; vectors are searched among those of their length.
+    Vectors of doubles are not narrowed. Equal rows count once. Different vectors under one
+    vec_id are candidates of their own, and queries of their own, with ranks from 1 each. No
+    vectors or no queries give no rows; other columns are not looked at.
     Each shard's graph is written once; queries go to every graph in blocks of bounded size.
     """
+    given = as_given(F.col("embedding"), vectors.schema["embedding"].dataType)
+
     def clean(df: DataFrame) -> DataFrame:
-        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), given.alias("embedding"))
         return df.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).withColumn("dim", F.size("embedding"))
 
     rows = clean(vectors).distinct()
@@ -202,7 +206,8 @@ def nearest(
 
     graphs = staged(
         dealt.select("dim", "shard", "embedding", "ids").transform(shipped).groupBy("dim", "shard").applyInArrow(
-            build, "dim int, shard int, embedding array<float>, ids array<long>, place int, start int, edges array<int>"),
+            build, f"dim int, shard int, embedding {places.schema['embedding'].dataType.simpleString()}, "
+            "ids array<long>, place int, start int, edges array<int>"),
         "vector-graphs")
     shown = graphs.join(per_dim, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = (
@@ -211,33 +216,36 @@ def nearest(
 
     def search(key: tuple, graph: pa.Table, asks: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        q, p, s = [], [], []
+        q, v_of, p, s = [], [], [], []
         if graph.num_rows and asks.num_rows:
             graph = graph.take(pa.array(np.argsort(graph.column("place").to_numpy())))
             own, theirs = _matrix(graph, dim), _matrix(asks, dim)
             base, edges = _units(own), _matrix(graph, None, "edges")
             start = graph.column("start")[0].as_py()
             ids, query_ids = graph.column("ids").to_pylist(), asks.column("vec_id").to_pylist()
+            vector_of = asks.column("vector").to_pylist()
             beam = min(len(own), cfg.beam)
             for lo in range(0, len(theirs), cfg.batch):
-                wide = theirs[lo : lo + cfg.batch].astype(np.float64)
+                wide = held(theirs[lo : lo + cfg.batch].astype(np.float64))
                 met, _ = beam_search(base, edges, _units(wide), start, beam)
                 for x, places_met in enumerate(met):
                     at = places_met[places_met >= 0]
-                    v, near = wide[x], own[at].astype(np.float64)
+                    v, near = wide[x], held(own[at].astype(np.float64))
                     exact = (near @ v) / (np.linalg.norm(near, axis=1) * np.linalg.norm(v))
                     best = np.lexsort((np.array([ids[a][0] for a in at]), -exact))[: k + 1]
                     for b in best:
                         for i in ids[at[b]]:
                             if i != query_ids[lo + x]:
                                 q.append(query_ids[lo + x])
+                                v_of.append(vector_of[lo + x])
                                 p.append(i)
                                 s.append(float(exact[b]))
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(p, pa.int64()), "score": pa.array(s, pa.float64())})
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vector": pa.array(v_of, pa.int64()), "vec_id": pa.array(p, pa.int64()), "score": pa.array(s, pa.float64())})
 
     by = ("dim", "shard", "block")
     found = shown.select(*by, "embedding", "ids", "place", "start", "edges").groupBy(*by).cogroup(
-        sent.select(*by, "vec_id", "embedding").groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score double")
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        sent.select(*by, "vec_id", "embedding", F.xxhash64("embedding").alias("vector")).groupBy(*by)).applyInArrow(
+            search, "query_id long, vector long, vec_id long, score double")
+    rank = Window.partitionBy("query_id", "vector").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from listwright.llm.bytescan import LOWER, Words, texts
 from listwright.llm.frames import shipped, staged
@@ -132,15 +133,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Pool neighbours until means do not fall."""
+    """Pool neighbours until means do not fall; no mean is nearer to 0 or 1 than half a document."""
     blocks: list[list[float]] = []
     for total, count in zip(y, n, strict=True):
         blocks.append([total, count, 1])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             t, c, k = blocks.pop()
             blocks[-1] = [blocks[-1][0] + t, blocks[-1][1] + c, blocks[-1][2] + k]
-    # Half a document of each kind keeps chances off 0 and 1.
-    return np.concatenate([np.full(int(k), (t + 0.5 * t / max(c, 1) + 1e-3) / (c + 0.5 + 2e-3)) for t, c, k in blocks])
+    least = 0.5 / (1 + np.sum(n))
+    return np.concatenate([np.full(int(k), np.clip(t / c, least, 1 - least)) for t, c, k in blocks])
 
 
 def train(stats: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Model:
@@ -224,15 +225,10 @@ def scored_statistics(stats: DataFrame, model: Model, cfg: Settings = Settings()
     return stats.select("doc_id", "stats").transform(shipped).mapInArrow(run, "doc_id long, score double")
 
 
-def scored(docs: DataFrame, model: Model, cfg: Settings = Settings()) -> DataFrame:
-    """The rows with ``quality_score double``, without a join: texts are read where they are.
-
-    Null and empty texts have all statistics 0 and are scored like any other. A column of that
-    name is replaced; all others pass through.
-    """
-    rest = [c for c in docs.columns if c != "quality_score"]
-    kept = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*rest).alias("_row"))
-    kind = kept.schema["_row"].dataType.simpleString()
+def _scored(docs: DataFrame, model: Model, cfg: Settings) -> DataFrame:
+    """``(_row, quality_score)``, the given row whole, so that its columns may have any names."""
+    kept = docs.select(F.col("text").cast("string").alias("_text"), F.struct("*").alias("_row"))
+    out = StructType([StructField("_row", kept.schema["_row"].dataType), StructField("quality_score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,4 +238,21 @@ def scored(docs: DataFrame, model: Model, cfg: Settings = Settings()) -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(values)), pa.array(values)], ["_row", "quality_score"])
                 at += len(values)
 
-    return kept.transform(shipped).mapInArrow(run, f"_row {kind}, quality_score double").select("_row.*", "quality_score")
+    return kept.transform(shipped).mapInArrow(run, out)
+
+
+def scored(docs: DataFrame, model: Model, cfg: Settings = Settings()) -> DataFrame:
+    """The rows with ``quality_score double``, without a join: texts are read where they are.
+
+    Null and empty texts have all statistics 0 and are scored like any other. Rows are scored
+    one by one, so rows that repeat a text or a doc_id score alike and no rows give none; a text
+    of any length is scored whole, some 50 bytes a byte of it while it lasts. A column of that
+    name is replaced; all others pass through.
+    """
+    rest = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != "quality_score"]
+    return _scored(docs, model, cfg).select(*rest, "quality_score")
+
+
+def good(docs: DataFrame, model: Model, least: float, cfg: Settings = Settings()) -> DataFrame:
+    """The rows whose score reaches ``least``, as they are."""
+    return _scored(docs, model, cfg).filter(F.col("quality_score") >= least).select("_row.*")

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from listwright.llm.bytescan import LOWER, Words, texts
 from listwright.llm.frames import shipped, staged
@@ -191,17 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) -> Mod
         bias[0] if bias else -30.0)
 
 
-def scored(docs: DataFrame, model: Model, cfg: Settings = Settings()) -> DataFrame:
-    """The rows with ``toxic_score double`` and ``offending array<struct<start, end, score>>``.
-
-    Scores are chances of the label 1; offending sentences are spans of characters whose own
-    chance reaches ``offends``. Null and empty texts have no sentence and score 0. Columns of
-    these two names are replaced; all others pass through as they are.
-    """
-    rest = [c for c in docs.columns if c not in ("toxic_score", "offending")]
-    kept = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*rest).alias("_row"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name == "_row")
-    out += ", toxic_score double, offending array<struct<start:long,end:long,score:double>>"
+def _scored(docs: DataFrame, model: Model, cfg: Settings) -> DataFrame:
+    """``(_row, toxic_score, offending)``, the given row whole, so that its columns may have any names."""
+    kept = docs.select(F.col("text").cast("string").alias("_text"), F.struct("*").alias("_row"))
+    span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())])
+    out = StructType([
+        StructField("_row", kept.schema["_row"].dataType), StructField("toxic_score", DoubleType()),
+        StructField("offending", ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,4 +221,23 @@ def scored(docs: DataFrame, model: Model, cfg: Settings = Settings()) -> DataFra
                     ["_row", "toxic_score", "offending"])
                 at += n
 
-    return kept.transform(shipped).mapInArrow(run, out).select("_row.*", "toxic_score", "offending")
+    return kept.transform(shipped).mapInArrow(run, out)
+
+
+def scored(docs: DataFrame, model: Model, cfg: Settings = Settings()) -> DataFrame:
+    """The rows with ``toxic_score double`` and ``offending array<struct<start, end, score>>``.
+
+    Scores are chances of the label 1; offending sentences are spans of characters whose own
+    chance reaches ``offends``. Null and empty texts have no sentence and score 0. Rows are
+    scored one by one, so rows that repeat a text or a doc_id score alike and no rows give none;
+    a text of any length is scored whole, some 50 bytes a byte of it while it lasts. Columns of
+    these two names are replaced; all others pass through as they are.
+    """
+    found = _scored(docs, model, cfg)
+    rest = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("toxic_score", "offending")]
+    return found.select(*rest, "toxic_score", "offending")
+
+
+def clean(docs: DataFrame, model: Model, most: float, cfg: Settings = Settings()) -> DataFrame:
+    """The rows whose score is below ``most``, as they are."""
+    return _scored(docs, model, cfg).filter(F.col("toxic_score") < most).select("_row.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, DataType, FloatType
 
 
 def usable(vector: Column) -> Column:
@@ -25,7 +26,25 @@ def matrices(column: pa.Array):
         yield rows, flat[begin[rows][:, None] + np.arange(dim)]
 
 
+def as_given(vector: Column, kind: DataType) -> Column:
+    """A vector column in its own precision: floats stay floats, other numbers become doubles."""
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    return vector.cast("array<float>" if single else "array<double>")
+
+
+def held(matrix: np.ndarray) -> np.ndarray:
+    """The rows themselves, but those whose squares a double would not hold brought near 1."""
+    most = np.abs(matrix).max(axis=1, initial=0.0)
+    far = np.flatnonzero((most > 1e150) | (most < 1e-150))
+    if len(far):
+        matrix = matrix.copy()
+        matrix[far] /= most[far, None]
+    return matrix
+
+
 def unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length 1."""
+    matrix = held(matrix)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 

@@ -289,15 +289,17 @@ def test_mix(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rnd.randrange(0, 30))), rnd.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)]
     df = spark.createDataFrame([*rows, (None, None, "b"), (7, "", "z")], "doc_id long, text string, source string").withColumn("copies", F.lit("x"))
-    plan = mixing.planned(df.drop("copies"))
+    plan = mixing.planned(df).withColumn("source", F.col("row.source"))
     per = plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
     for r in per:
         assert r.most <= 3 and abs(r.taken - r.target) <= 0.1 * r.target + 1
-    mixed = mixing.mix(df.drop("copies"))
-    assert mixed.columns == ["doc_id", "text", "source"]
-    counts = Counter((r.doc_id, r.source) for r in mixed.collect())
+    mixed = mixing.mix(df)
+    assert mixed.columns == ["doc_id", "text", "source", "copies"]
+    given = mixed.collect()
+    assert {r.copies for r in given} == {"x"}
+    counts = Counter((r.doc_id, r.source) for r in given)
     assert counts == {(r.doc_id, r.source): r.copies for r in plan.collect() if r.copies}
-    assert mixing.mix(df.drop("copies").limit(0)).count() == 0
+    assert mixing.mix(df.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------------------- 6
