@@ -157,7 +157,7 @@ def mark_extracted(listings: DataFrame, results: DataFrame, now: Column) -> Data
         "lease_claimed_at": F.lit(None),
     }
     # What the detail page adds is kept, too, where it says anything.
-    values |= {c: F.coalesce(new(c), F.col(c)) for c in LATEST if c in have}
+    values |= {c: F.coalesce(new(c), F.col(c)) for c in (*LATEST, "broker_ref") if c in have}
     kinds = {f.name: f.dataType for f in listings.schema.fields}
     updates = {
         c: F.when(hit, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items() if c in kinds

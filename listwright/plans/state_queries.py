@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listwright.functions import text as X
-from listwright.operators import changes, digest, discovery, feeds, requests, state
+from listwright.operators import changes, digest, discovery, duplicates, feeds, requests, state
 from listwright.plans import views as V
 from listwright.plans.registry import query
 from listwright.plans.views import NOW, with_views
@@ -426,6 +426,51 @@ def duplicate_flags(spark, folder):
     return changes.duplicate_groups(rows)
 
 
+def _misspelt(spark, folder):
+    """Listings whose titles are a sector's name, edited here and there, and a number."""
+    k, at = F.col("k"), (F.col("k") % 7).cast("int")
+    name = F.translate(V.pick(V.SECTORS, V.tens(k, 3)), "_", " ")
+    spelt = (
+        F.when(k % 4 == 1, F.concat(F.substr(name, F.lit(1), at), F.substr(name, at + 2)))
+        .when(k % 4 == 2, F.upper(name))
+        .when(k % 4 == 3, F.concat(F.substr(name, F.lit(1), at), F.lit("x"), F.substr(name, at + 1)))
+        .otherwise(name)
+    )
+    rows = V.listings(spark, folder).withColumns({
+        "title": F.when(k % 17 != 0, F.concat(spelt, F.lit(", no. "), (k % 5).cast("string"))),
+        "broker_ref": F.when(k % 3 != 2, F.concat(F.lit("Ref-"), V.tens(k, 6).cast("string"))),
+    })
+    return conform(rows, LISTINGS)
+
+
+_NAME = f"replace({V.sql_pick(V.SECTORS, 'k // 3')}, '_', ' ')"
+
+
+@query("likely_duplicates", with_views(f"""
+WITH d AS (
+  SELECT id, source, location_state, asking_price AS price, CASE WHEN k % 3 <> 2 THEN 'ref ' || (k // 6) END AS ref,
+    CASE WHEN k % 17 <> 0 THEN (CASE k % 4 WHEN 1 THEN {_NAME}[:k % 7] || {_NAME}[k % 7 + 2:] WHEN 2 THEN upper({_NAME})
+      WHEN 3 THEN {_NAME}[:k % 7] || 'x' || {_NAME}[k % 7 + 1:] ELSE {_NAME} END) || ', no. ' || (k % 5) END AS title
+  FROM v_listings),
+split AS (SELECT *, string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM d WHERE title IS NOT NULL AND price >= 0 AND location_state IS NOT NULL),
+sets AS (
+  SELECT id, source, price, location_state || '|' || array_to_string(list_sort(list_filter(ws, lambda w: regexp_matches(w, '[0-9]'))), ' ') AS block,
+    list_distinct(flatten(list_transform(list_filter(ws, lambda w: w <> '' AND NOT regexp_matches(w, '[0-9]')),
+      lambda w: list_transform(range(1, len(w) + 1), lambda i: substr('^' || w || '$', i, 3))))) AS s
+  FROM split),
+links AS (
+  SELECT a.id AS a, b.id AS b FROM sets a JOIN sets b ON a.block = b.block AND 100 * abs(a.price - b.price) <= 5 * greatest(a.price, b.price)
+  WHERE 100 * len(list_intersect(a.s, b.s)) >= 70 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+reach(a, b) AS (SELECT id, id FROM sets WHERE len(s) > 0 UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+keyed AS (
+  SELECT id, source, 'strong' AS kind, ref AS key FROM d WHERE ref IS NOT NULL
+  UNION ALL SELECT a, any_value(source), 'possible', min(b) FROM reach JOIN sets ON sets.id = a GROUP BY a),
+g AS (SELECT kind, key, min(id) AS group_id, count(*) AS n_listings FROM keyed GROUP BY ALL HAVING min(source) <> max(source))
+SELECT id, source, kind, group_id, n_listings FROM keyed JOIN g USING (kind, key)""", "v_listings").replace("WITH ", "WITH RECURSIVE ", 1))
+def likely_duplicates(spark, folder):
+    return duplicates.likely_duplicates(_misspelt(spark, folder))
+
+
 @query("baseline_flag", with_views("""
 SELECT l.source || ':' || l.source_listing_id AS id, first_seen <= run AS is_baseline
 FROM (SELECT source, source_listing_id, min(seen_at) AS first_seen FROM v_sightings GROUP BY 1, 2) l

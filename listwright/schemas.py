@@ -33,7 +33,7 @@ LISTINGS = _schema(
     sector_code string, fit_outcome string, fit_reasons strings, missing_facts strings,
     criteria_version string, content_hash string, extraction_version string,
     processing_state string, processing_attempts int, next_retry timestamp,
-    lease_claimed_at timestamp, review_state string
+    lease_claimed_at timestamp, review_state string, broker_ref string
     """
 )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 # Settings every operator relies on; all of them can be changed on a live session.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,3 +70,30 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to a folder of its own under the shared one and go on from the files.
+
+    What follows reads only the columns it needs, knows how large they are, and survives a lost
+    executor by reading them again.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the executors once per session, so that tasks can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_listwright_sent", False) or not os.path.isdir(_PACKAGE):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="listwright-"), "listwright_sources.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(_PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    at = os.path.join(folder, name)
+                    out.write(at, os.path.relpath(at, os.path.dirname(_PACKAGE)))
+    sc.addPyFile(path)
+    sc._listwright_sent = True
