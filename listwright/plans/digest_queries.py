@@ -198,7 +198,8 @@ def _events_stream(spark, folder):
 def stream_upsert(spark, folder):
     """The upsert fold, run as a stream over the landed events."""
     work = work_dir(spark, "upsert")
-    out = jobs.upsert_stream(V.as_sightings(_events_stream(spark, folder)), f"{work}/state", f"{work}/marks")
+    table = jobs.sightings_table(f"{work}/state")
+    out = jobs.upsert_keyed_stream(V.as_sightings(_events_stream(spark, folder)), table, f"{work}/marks")
     return out.select(*S._fold_cols())
 
 
@@ -249,5 +250,6 @@ def stream_digest(spark, folder):
         F.concat_ws(":", "o_orderpriority", F.col("o_orderkey").cast("string")).alias("id"),
         F.concat(F.lit("https://bsale.com.au/listing/business-"), F.col("o_orderkey").cast("string")).alias("canonical_url"),
     )
-    log = jobs.delivery_stream(entries, f"{work}/activity", f"{work}/outbox", f"{work}/marks", V.now())
+    table = jobs.deliveries_table(f"{work}/activity")
+    log = jobs.delivery_keyed_stream(entries, table, f"{work}/outbox", f"{work}/marks", V.now())
     return log.select("event_key", "delivery_state", "message_ref")

@@ -18,17 +18,32 @@ def _folder(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
+def folders(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """The numbers n of the folders ``root/<prefix><n>``."""
     at, fs = _folder(spark, root)
     if not fs.exists(at):
         return []
-    found = []
-    for entry in fs.listStatus(at):
-        name = entry.getPath().getName()
-        mark = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
-        if name.startswith("v=") and name[2:].isdigit() and fs.exists(mark):
-            found.append(int(name[2:]))
-    return sorted(found)
+    names = [entry.getPath().getName() for entry in fs.listStatus(at)]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The complete versions, oldest first."""
+    at, fs = _folder(spark, root)
+    mark = lambda v: spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}/_SUCCESS")
+    return [v for v in folders(spark, root, "v=") if fs.exists(mark(v))]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that newer ones stand for."""
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def purge(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Remove all complete versions but the newest ``keep``; two let a replayed batch read what it read before."""
+    for v in versions(spark, root)[:-keep]:
+        remove(spark, f"{root}/v={v}")
 
 
 def read_latest(

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from listwright.operators import digest, feeds, state
 from listwright.schemas import ACTIVITY, SOURCES
+from listwright.session import written
 from listwright.sources import snapshots
+from listwright.sources.keyed import KeyedTable
 
 _KEYED = "struct<seen_at:timestamp,seq:bigint,value:{}>"
 _KINDS = {c: "string" for c in state.LATEST} | {"asking_price": "bigint"}
@@ -98,6 +100,25 @@ def stored_sightings(spark: SparkSession, root: str, upto: int | None = None) ->
     return merge_sightings(base.unionByName(deltas))
 
 
+def sightings_table(root: str, **layout) -> KeyedTable:
+    """Sightings by listing, as a keyed table."""
+    return KeyedTable(root, sighting_state_schema(), state.KEY, merge_sightings, **layout)
+
+
+def upsert_keyed_stream(stubs: DataFrame, table: KeyedTable, checkpoint: str) -> DataFrame:
+    """Fold a stream of stubs into a keyed table of sightings; returns the current view.
+
+    A batch writes its own run and merges touch the folders of their keys only, so neither the
+    work of a batch nor the number of files grows with the batches there were.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        table.append(_as_state(batch), batch_id)
+
+    _drain(stubs, work, checkpoint)
+    return sightings_view(table.rows(stubs.sparkSession))
+
+
 def discovery_stream(pages: DataFrame, discover, out: str, checkpoint: str) -> DataFrame:
     """Explode newly landed pages into stub rows, one output folder per batch."""
 
@@ -119,6 +140,7 @@ def run_log_stream(runs: DataFrame, sources: DataFrame, root: str, checkpoint: s
         begun = any(v < batch_id for v in snapshots.versions(spark, root))
         old = snapshots.read_latest(spark, root, SOURCES, before=batch_id) if begun else sources
         snapshots.write_version(feeds.apply_runs(old, batch), root, batch_id)
+        snapshots.purge(spark, root)
 
     _drain(runs, work, checkpoint)
     return snapshots.read_latest(runs.sparkSession, root, SOURCES)
@@ -126,7 +148,11 @@ def run_log_stream(runs: DataFrame, sources: DataFrame, root: str, checkpoint: s
 
 def delivery_log(spark: SparkSession, root: str) -> DataFrame:
     """The log of deliveries with each key in its last state; confirmed outranks pending."""
-    rows = snapshots.read_range(spark, root, ACTIVITY, -1)
+    return last_states(snapshots.read_range(spark, root, ACTIVITY, -1))
+
+
+def last_states(rows: DataFrame) -> DataFrame:
+    """One row per event key, in its last state."""
     rank = F.when(F.col("delivery_state") == "confirmed", 1).otherwise(0).alias("rank")
     rest = [f.name for f in ACTIVITY.fields if f.name != "event_key"]
     last = rows.groupBy("event_key").agg(F.max(F.struct(rank, *rest)).alias("last"))
@@ -158,3 +184,35 @@ def delivery_stream(candidates: DataFrame, root: str, outbox: str, checkpoint: s
 
     _drain(candidates, work, checkpoint)
     return delivery_log(candidates.sparkSession, root)
+
+
+def deliveries_table(root: str, **layout) -> KeyedTable:
+    """The delivery log by listing, as a keyed table; one row per event key."""
+    return KeyedTable(root, ACTIVITY, ("listing_id",), last_states, **layout)
+
+
+def delivery_keyed_stream(candidates: DataFrame, table: KeyedTable, outbox: str, checkpoint: str, now) -> DataFrame:
+    """Deliver each batch's entries at least once under stable keys, as ``delivery_stream`` does.
+
+    A batch asks the log for its own listings only, in the folders that can hold them, so its
+    work follows the batch and not the log.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entries = batch.groupBy("id").agg(F.min("canonical_url").alias("canonical_url"))
+        log = table.lookup(entries.select(F.col("id").alias("listing_id")), before=2 * batch_id)
+        todo = written(entries.join(digest.confirmed_ids(log), "id", "left_anti"), "todo")
+        key = state.delivery_key(F.col("id"), now)
+        pending = state.pending_rows(log, todo, now)
+        table.append(pending, 2 * batch_id)
+        text = F.concat(F.lit("<"), F.col("canonical_url"), F.lit("|View listing>"))
+        digest.outbox(todo, "digest", key, text).write.mode("overwrite").parquet(f"{outbox}/batch={batch_id}")
+        none = spark.createDataFrame([], ACTIVITY)
+        sent = state.pending_rows(none, todo, now).withColumns(
+            {"delivery_state": F.lit("confirmed"), "message_ref": F.lit("outbox")}
+        )
+        table.append(sent, 2 * batch_id + 1)
+
+    _drain(candidates, work, checkpoint)
+    return table.rows(candidates.sparkSession)
