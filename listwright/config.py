@@ -204,6 +204,20 @@ SECTOR_WORDS = (
 )
 
 
+# What requests are answered.
+ANSWERS = {
+    "nothing_asked": "Provide url or listingId",
+    "bad_url": "Invalid URL",
+    "unsupported": "URL must be a supported marketplace URL",
+    "processing": "Extraction in progress — check back in 30 seconds",
+    "queued": "Inspection queued — check back in 30 seconds",
+    "not_found": "Listing not found",
+    "missing_fields": "listingId, action, and actor are required",
+    "bad_action": "action must be watch, pursue, or pass",
+    "marked": "Listing marked as ",
+}
+
+
 @dataclass(frozen=True)
 class RuleConfig:
     """Switches of the rule chain; the defaults give the established behaviour."""

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
-from listwright.operators import digest, feeds
+from listwright.operators import digest, feeds, service
 from listwright.plans import page_queries as P
 from listwright.plans import state_queries as S
 from listwright.plans import views as V
 from listwright.plans.registry import ORACLE, query
 from listwright.plans.rules_queries import _q
 from listwright.plans.views import with_views
+from listwright.schemas import LISTINGS, conform
 from listwright.session import prepare, settle, work_dir
 from listwright.sources import adapters
 from listwright.streaming import jobs
@@ -166,6 +167,66 @@ def inspection_card(spark, folder):
     return rows.select("id", digest.inspection_text().alias("text"))
 
 
+def _carded(spark, folder):
+    """Stored listings with all columns of the package's table."""
+    rows = V.full_listings(spark, folder).withColumn("criteria_version", F.lit(C.CRITERIA_VERSION))
+    return conform(rows, LISTINGS)
+
+
+def _landed_details(spark, folder):
+    """A detail page for every second listing."""
+    rows = V.listings(spark, folder).filter(F.col("k") % 2 == 0)
+    html = F.concat(F.lit("<html><body><h1>"), F.coalesce("title", F.lit("Shop")), F.lit("</h1><p>Established 12 years. Turnover: $900,000</p></body></html>"))
+    return rows.select("id", "source", F.lit(200).alias("http_status"), html.alias("html"))
+
+
+def _inspected(spark, folder):
+    return service.inspect_batch(V.inspections(spark, folder), _carded(spark, folder), _landed_details(spark, folder), V.now())
+
+
+@query("inspect_batch", f"""
+SELECT r.request_id, r.status, r.answer_id, c.text AS card, CASE WHEN r.status = 'processing' THEN 'Extraction in progress — check back in 30 seconds'
+  WHEN r.status IN ('queued','created') THEN 'Inspection queued — check back in 30 seconds' WHEN r.status = 'not_found' THEN 'Listing not found'
+  WHEN r.status = 'invalid' THEN CASE WHEN r.request_id % 8 = 6 THEN 'URL must be a supported marketplace URL' ELSE 'Provide url or listingId' END END AS message
+FROM ({ORACLE['inspect_route']}) r LEFT JOIN ({ORACLE['inspection_card']}) c ON r.status = 'found' AND c.id = r.answer_id""")
+def inspect_batch(spark, folder):
+    """Look-up requests with their answers and cards."""
+    return _inspected(spark, folder).answers.drop("last_checked")
+
+
+@query("inspect_state", with_views(f"""
+WITH n AS (SELECT answer_id AS id, min(status) AS status FROM ({ORACLE['inspect_route']}) WHERE status IN ('queued','created') GROUP BY 1)
+SELECT l.id, CASE WHEN n.id IS NULL THEN processing_state WHEN k % 2 = 0 THEN 'done' WHEN processing_attempts >= {C.MAX_ATTEMPTS} THEN 'failed' ELSE 'retry' END AS processing_state,
+  CAST(processing_attempts + CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS processing_attempts
+FROM v_listings l LEFT JOIN n ON n.id = l.id
+UNION ALL SELECT id, 'retry', 1 FROM n WHERE status = 'created'""", "v_listings"))
+def inspect_state(spark, folder):
+    """The listings behind a batch of look-up requests: new ones, read ones, and those to try again."""
+    return _inspected(spark, folder).listings.select("id", "processing_state", "processing_attempts")
+
+
+@query("review_batch", with_views(f"""
+SELECT seq, listing_id, verdict, CASE verdict WHEN 'accepted' THEN 'Listing marked as ' || action || ' by ' || actor WHEN 'missing_fields' THEN 'listingId, action, and actor are required'
+  WHEN 'bad_action' THEN 'action must be watch, pursue, or pass' ELSE 'Listing not found' END AS message,
+  CASE WHEN verdict = 'accepted' THEN {S._iso('decided_at')} END AS timestamp
+FROM ({S._VERDICT})""", "v_reviews", "v_listings"))
+def review_batch(spark, folder):
+    """Review requests with their answers."""
+    return service.review_batch(V.reviews(spark, folder), V.listings(spark, folder), V.activity(spark, folder)).answers
+
+
+@query("review_queue", with_views(f"""
+WITH r AS ({S._LATEST})
+SELECT l.id, coalesce(l.fit_outcome, '') AS fit_outcome FROM v_listings l LEFT JOIN r ON r.listing_id = l.id
+WHERE processing_state = 'done' AND fit_outcome IN ('promising','needs_information') AND coalesce(r.action, review_state) = 'new'
+  AND NOT EXISTS (SELECT 1 FROM v_activity a WHERE a.listing_id = l.id AND a.event_type = 'digest_delivery' AND a.delivery_state = 'confirmed')""",
+    "v_reviews", "v_listings", "v_activity"))
+def review_queue(spark, folder):
+    """What the next digest would carry behind a batch of reviews."""
+    after = service.review_batch(V.reviews(spark, folder), V.listings(spark, folder), V.activity(spark, folder))
+    return digest.pending(after.listings, after.activity).select("id", "fit_outcome")
+
+
 @query("digest_outbox", with_views(f"""
 SELECT 'digest:1999-07-01:' || id AS event_key, 'digest' AS kind, {ENTRY} AS text FROM ({S.QUEUE_SQL})""", *_VIEWS))
 def digest_outbox(spark, folder):
