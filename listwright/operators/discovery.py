@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
-from listwright.session import settle
+from listwright.session import written
 
 MARK = 'data-listing-id="'
 
@@ -163,24 +163,46 @@ def discovered(stubs: DataFrame, pages: DataFrame) -> DataFrame:
 def discovered_by_state(stubs: DataFrame, pages: DataFrame, states=C.FEED_STATES) -> DataFrame:
     """The same for a feed paged state after state, whose seen ids span all states.
 
-    A row past one state's cut must not hide its id in a later state, so states are folded
-    in order; the ids kept so far are written out after each of the few states. Stubs are
-    narrow and written out first, so that no page is read again for a state.
+    A row past one state's cut must not hide its id in a later state. An id is one row with the
+    first page it stands on in each of its few states; given the cuts, it is new on those pages
+    that no page kept in an earlier state hides. Cuts follow from counts of new ids per page, and
+    are right for one more state with every round, so rounds end when no cut moves. To the
+    driver comes one number per feed and state.
     """
-    stubs, pages = settle(stubs), settle(pages)
-    kept, seen = [], None
-    for state in states:
-        here = stubs.filter(F.col("state") == state)
-        if seen is not None:
-            here = here.join(seen, ["source", "source_listing_id"], "left_anti")
-        part = settle(discovered(here, pages.filter(F.col("state") == state)))
-        kept.append(part)
-        ids = part.select("source", "source_listing_id")
-        seen = ids if seen is None else seen.unionByName(ids)
-    out = kept[0]
-    for part in kept[1:]:
-        out = out.unionByName(part)
-    return out
+    order = F.array(*map(F.lit, states))
+    place = F.array_position(order, F.col("state")).cast("int")
+    firsts = written(first_seen_rows(stubs.filter(F.col("state").isin(*states)), "page_no", "pos", key=("source", "source_listing_id", "state")), "stubs-by-state")
+    stop = F.struct(place.alias("place"), F.col("page_no").cast("int").alias("page"))
+    ids = written(firsts.groupBy("source", "source_listing_id").agg(F.array_sort(F.collect_list(stop)).alias("stops")), "ids-by-state")
+    asked = written(pages.filter(F.col("state").isin(*states)).groupBy(
+        "source", place.alias("place"), F.col("page_no").cast("int").alias("page")).agg(F.min("ok").alias("ok")), "pages-by-state")
+
+    def kept(stop, cuts: str):
+        cut = F.get(cuts, stop["place"] - 1)
+        return cut.isNull() | (stop["page"] < cut)
+
+    def with_cuts(rows: DataFrame) -> DataFrame:
+        table = [(source, [cuts.get((source, i + 1)) for i in range(len(states))]) for source in {s for s, _ in cuts}]
+        known = rows.sparkSession.createDataFrame(table, "source string, cuts array<int>")
+        return rows.join(known, "source", "left")
+
+    cuts: dict[tuple[str, int], int] = {}
+    for _ in states:
+        shown = with_cuts(ids)
+        # The first page kept hides the id in every later state.
+        hidden = F.array_position(F.transform("stops", lambda s: kept(s, "cuts")), True).cast("int")
+        until = F.when(hidden > 0, hidden).otherwise(F.size("stops"))
+        new = shown.select("source", F.explode(F.slice("stops", F.lit(1), until)).alias("s")).groupBy(
+            "source", F.col("s.place").alias("place"), F.col("s.page").alias("page")).agg(F.count("*").alias("n_new"))
+        ends = asked.join(new, ["source", "place", "page"], "left").filter(~F.col("ok") | F.col("n_new").isNull())
+        found = {(r.source, r.place): r.cut for r in ends.groupBy("source", "place").agg(F.min("page").alias("cut")).collect()}
+        if found == cuts:
+            break
+        cuts = found
+    owner = F.get(F.filter("stops", lambda s: kept(s, "cuts")), F.lit(0))
+    own = with_cuts(ids).select("source", "source_listing_id", owner.alias("own")).filter(F.col("own").isNotNull())
+    own = own.select("source", "source_listing_id", F.get(order, F.col("own.place") - 1).alias("state"))
+    return firsts.join(own, ["source", "source_listing_id", "state"], "left_semi").select(*stubs.columns)
 
 
 def coverage(
