@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from listwright.functions import text as X
 from listwright.operators import changes, digest, discovery, duplicates, feeds, requests, state
 from listwright.plans import views as V
-from listwright.plans.registry import query
+from listwright.plans.registry import ORACLE, query
 from listwright.plans.views import NOW, with_views
 from listwright.schemas import LISTINGS, SOURCES, conform, duplicate_keys, orphans
+from listwright.session import work_dir
+from listwright.sources.lookup import ListingIndex
 
 _TS = f"TIMESTAMP '{NOW}'"
 
@@ -513,6 +515,17 @@ def inspect_route(spark, folder):
     )
 
 
+@query("inspect_lookup", ORACLE["inspect_route"])
+def inspect_lookup(spark, folder):
+    """The same answers from an index of listings by id and by URL, written in two versions."""
+    stored, asked = V.listings(spark, folder), V.inspections(spark, folder)
+    index = ListingIndex(work_dir(spark, "listing-index"))
+    # Every third listing changes in the second version.
+    index.add(stored.withColumn("processing_state", F.when(F.col("k") % 3 == 0, "new").otherwise(F.col("processing_state"))), 0)
+    index.add(stored.filter(F.col("k") % 3 == 0), 1)
+    return requests.route_inspections(asked, index.wanted(asked)).select("request_id", "status", "answer_id", "last_checked")
+
+
 @query("unknown_url_stubs", with_views("""
 SELECT CASE WHEN contains(url, 'bsale.com.au') THEN 'bsale' ELSE 'business2sell' END AS source,
   coalesce(nullif(regexp_extract(url, '-([0-9]+)(?:\\.php)?$', 1), ''), 'manual:' || CAST(floor(epoch_us(min(requested_at)) / 1000) AS BIGINT)) AS source_listing_id,
