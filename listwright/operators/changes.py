@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listwright.functions import text as X
 
@@ -25,6 +25,28 @@ def material_changes(before: DataFrame, after: DataFrame, tracked=TRACKED) -> Da
     return old.join(new, "id").select("id", F.explode(moved).alias("m")).select("id", "m.*")
 
 
+def change_history(history: DataFrame, tracked=TRACKED) -> DataFrame:
+    """``(id, version, field, old_value, new_value)``: every move of a tracked field between versions.
+
+    ``history(id, version, ...)`` holds one row per listing and version, as snapshots do. A
+    listing is compared with its last version before, also where versions in between lack it;
+    a value that moves and moves back moves twice. Equal states in a row are dropped in the
+    window itself, and only tracked fields are dealt out.
+    """
+    values = F.struct(*(F.col(c).cast("string").alias(c) for c in tracked))
+    by = Window.partitionBy("id").orderBy("version")
+    rows = history.select("id", "version", values.alias("now")).withColumn("was", F.lag("now").over(by))
+    moved = F.filter(
+        F.array(*(
+            F.struct(F.lit(c).alias("field"), F.col(f"was.{c}").alias("old_value"), F.col(f"now.{c}").alias("new_value"))
+            for c in tracked
+        )),
+        lambda m: ~m["old_value"].eqNullSafe(m["new_value"]),
+    )
+    changed = rows.filter(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("now")))
+    return changed.select("id", "version", F.explode(moved).alias("m")).select("id", "version", "m.*")
+
+
 def change_events(changes: DataFrame, run_key: str | Column) -> DataFrame:
     """Material changes as activity rows with stable keys."""
     key = F.concat_ws(":", F.lit("change"), F.lit(run_key), F.col("id"), F.col("field"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright import config as C
 from listwright.config import RuleConfig
 from listwright.functions import text as X
 from listwright.operators import changes, detail, digest, discovery, facts, feeds, rules, state
-from listwright.schemas import ACTIVITY, STUBS, conform
+from listwright.schemas import ACTIVITY, LISTINGS, OUTBOX, SOURCES, STUBS, conform
 from listwright.session import settle
-from listwright.sources import adapters
+from listwright.sources import adapters, snapshots
+from listwright.sources.feeds import read_feeds
 
 
 def extract_and_classify(
@@ -179,3 +180,51 @@ def run_round(
     outbox = settle(outbox)
     sent = entries.select(state.delivery_key(F.col("id"), now).alias("event_key"), report_key.alias("message_ref"))
     return Round(current, status, settle(state.confirm_delivery(pending, sent)), outbox)
+
+
+TABLES = {"listings": LISTINGS, "sources": SOURCES, "outbox": OUTBOX}
+
+
+def stored_round(
+    spark: SparkSession, root: str, feeds_path: str, search_pages: DataFrame, detail_pages: DataFrame, now: Column,
+    date_label: str, **settings,
+) -> int:
+    """Run a round over the tables stored under ``root``; returns the version it has written.
+
+    Feeds come from a JSON document. The round reads the newest complete version and writes its
+    listings, sources and outbox as the next, and to the activity log the rows it adds. A mark
+    written last makes them count, so they appear together, and a round that broke off is
+    written again under the same number. Older versions but one are removed.
+    """
+    done = snapshots.versions(spark, f"{root}/rounds")
+    last, version = (done[-1] if done else -1), (done[-1] if done else -1) + 1
+    held = {t: snapshots.read_range(spark, f"{root}/{t}", kind, last - 1, last) for t, kind in TABLES.items()}
+    log = snapshots.read_range(spark, f"{root}/activity", ACTIVITY, -1, last).transform(last_events)
+    after = run_round(
+        held["listings"], held["sources"], log, read_feeds(spark, feeds_path), search_pages, detail_pages, now, date_label, **settings)
+    for t, rows in (("listings", after.listings), ("sources", after.sources), ("outbox", after.outbox)):
+        snapshots.write_version(conform(rows, TABLES[t]), f"{root}/{t}", version)
+    # What the round has added or moved on; the log keeps every version.
+    known = log.select("event_key", "delivery_state")
+    fresh = after.activity.join(known, (after.activity["event_key"] == known["event_key"]) & after.activity["delivery_state"].eqNullSafe(known["delivery_state"]), "left_anti")
+    snapshots.write_version(conform(fresh, ACTIVITY), f"{root}/activity", version)
+    snapshots.write_version(spark.range(1), f"{root}/rounds", version)
+    for t in TABLES:
+        snapshots.purge(spark, f"{root}/{t}")
+    return version
+
+
+def last_events(rows: DataFrame) -> DataFrame:
+    """One row per event key of the log; a confirmed delivery outranks a pending one."""
+    rank = F.when(F.col("delivery_state") == "confirmed", 1).otherwise(0)
+    rest = [c for c in ACTIVITY.names if c != "event_key"]
+    last = rows.groupBy("event_key").agg(F.max_by(F.struct(*rest), rank).alias("last"))
+    return last.select("event_key", "last.*").select(*ACTIVITY.names)
+
+
+def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Listings, sources, outbox and activity as the last complete round left them."""
+    done = snapshots.versions(spark, f"{root}/rounds")
+    last = done[-1] if done else -1
+    out = {t: snapshots.read_range(spark, f"{root}/{t}", kind, last - 1, last) for t, kind in TABLES.items()}
+    return out | {"activity": snapshots.read_range(spark, f"{root}/activity", ACTIVITY, -1, last).transform(last_events)}

@@ -11,6 +11,7 @@ from listwright.plans.registry import ORACLE, query
 from listwright.plans.views import NOW, with_views
 from listwright.schemas import LISTINGS, SOURCES, conform, duplicate_keys, orphans
 from listwright.session import work_dir
+from listwright.sources import snapshots
 from listwright.sources.lookup import ListingIndex
 
 _TS = f"TIMESTAMP '{NOW}'"
@@ -387,6 +388,26 @@ def material_changes(spark, folder):
     return changes.material_changes(stored, after, tracked=("asking_price", "title"))
 
 
+@query("change_history", with_views("""
+WITH h AS (
+  SELECT id, v AS version, CAST(CASE WHEN k % 5 = 0 THEN asking_price + 1000 * (v % 2) WHEN k % 7 = v THEN NULL ELSE asking_price END AS VARCHAR) AS price,
+    CASE WHEN k % 3 = 0 AND v >= 2 THEN 'sold' ELSE advertised_status END AS status
+  FROM v_listings, (SELECT unnest([0, 1, 2, 3]) AS v) WHERE k % 11 <> v),
+l AS (SELECT *, row_number() OVER w AS n, lag(price) OVER w AS price_was, lag(status) OVER w AS status_was FROM h WINDOW w AS (PARTITION BY id ORDER BY version))
+SELECT id, CAST(version AS BIGINT) AS version, 'asking_price' AS field, price_was AS old_value, price AS new_value FROM l WHERE n > 1 AND price IS DISTINCT FROM price_was
+UNION ALL SELECT id, CAST(version AS BIGINT), 'advertised_status', status_was, status FROM l WHERE n > 1 AND status IS DISTINCT FROM status_was""", "v_listings"))
+def change_history(spark, folder):
+    """Moves over four stored versions, of which each lacks some listings and some prices move back."""
+    root, k, price = work_dir(spark, "versions"), F.col("k"), F.col("asking_price")
+    for v in range(4):
+        rows = V.listings(spark, folder).filter(k % 11 != v).withColumns({
+            "asking_price": F.when(k % 5 == 0, price + 1000 * (v % 2)).when(k % 7 != v, price),
+            "advertised_status": F.when((k % 3 == 0) & F.lit(v >= 2), "sold").otherwise(F.col("advertised_status")),
+        })
+        snapshots.write_version(conform(rows, LISTINGS), root, v)
+    return changes.change_history(snapshots.read_history(spark, root, LISTINGS), ("asking_price", "advertised_status"))
+
+
 _PRICES = f"""SELECT a.id, CAST(a.asking_price AS VARCHAR) AS o, CAST(b.asking_price AS VARCHAR) AS n FROM
   (SELECT source || ':' || source_listing_id AS id, {_last('asking_price')} FROM v_sightings WHERE seen_at < {_CUT} GROUP BY 1) a JOIN
   (SELECT source || ':' || source_listing_id AS id, {_last('asking_price')} FROM v_sightings GROUP BY 1) b USING (id) WHERE a.asking_price IS DISTINCT FROM b.asking_price"""

@@ -54,6 +54,8 @@ ACTIVITY = _schema(
     """
 )
 
+OUTBOX = _schema("event_key string, kind string, text string")
+
 STUBS = _schema(
     """
     source string, source_listing_id string, canonical_url string, title string,

@@ -7,7 +7,7 @@ makes a replayed batch harmless.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from listwright.schemas import ACTIVITY
 
@@ -66,6 +66,17 @@ def read_range(
     return spark.read.schema(schema).parquet(*(f"{root}/v={v}" for v in wanted))
 
 
+def read_history(
+    spark: SparkSession, root: str, schema: T.StructType, after: int = -1, upto: int | None = None
+) -> DataFrame:
+    """The rows of all complete versions in (after, upto], each with its ``version``."""
+    wanted = [v for v in versions(spark, root) if v > after and (upto is None or v <= upto)]
+    if not wanted:
+        return spark.createDataFrame([], schema).withColumn("version", F.lit(None).cast("long"))
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("v", T.LongType())])).option("basePath", root)
+    return rows.parquet(*(f"{root}/v={v}" for v in wanted)).withColumnRenamed("v", "version")
+
+
 def write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/v={version}")
 
