@@ -15,6 +15,7 @@ from listwright.schemas import ACTIVITY, LISTINGS, OUTBOX, SOURCES, STUBS, confo
 from listwright.session import settle
 from listwright.sources import adapters, snapshots
 from listwright.sources.feeds import read_feeds
+from listwright.sources.keyed import KeyedTable
 
 
 def extract_and_classify(
@@ -199,21 +200,27 @@ def stored_round(
     done = snapshots.versions(spark, f"{root}/rounds")
     last, version = (done[-1] if done else -1), (done[-1] if done else -1) + 1
     held = {t: snapshots.read_range(spark, f"{root}/{t}", kind, last - 1, last) for t, kind in TABLES.items()}
-    log = snapshots.read_range(spark, f"{root}/activity", ACTIVITY, -1, last).transform(last_events)
+    events = activity_table(root)
+    log = events.rows(spark, before=last + 1)
     after = run_round(
         held["listings"], held["sources"], log, read_feeds(spark, feeds_path), search_pages, detail_pages, now, date_label, **settings)
     for t, rows in (("listings", after.listings), ("sources", after.sources), ("outbox", after.outbox)):
         snapshots.write_version(conform(rows, TABLES[t]), f"{root}/{t}", version)
-    # What the round has added or moved on; the log keeps every version.
+    # What the round has added or moved on.
     known = log.select("event_key", "delivery_state")
     fresh = after.activity.join(known, (after.activity["event_key"] == known["event_key"]) & after.activity["delivery_state"].eqNullSafe(known["delivery_state"]), "left_anti")
-    snapshots.write_version(conform(fresh, ACTIVITY), f"{root}/activity", version)
+    events.append(conform(fresh, ACTIVITY), version)
     snapshots.write_version(spark.range(1), f"{root}/rounds", version)
-    for t in TABLES:
+    for t in (*TABLES, "rounds"):
         snapshots.purge(spark, f"{root}/{t}")
     return version
 
 
+def activity_table(root: str) -> KeyedTable:
+    """The activity log by listing, one row per event key, in a bounded number of folders."""
+    return KeyedTable(f"{root}/activity", ACTIVITY, ("listing_id",), last_events)
+
+
 def last_events(rows: DataFrame) -> DataFrame:
     """One row per event key of the log; a confirmed delivery outranks a pending one."""
     rank = F.when(F.col("delivery_state") == "confirmed", 1).otherwise(0)
@@ -227,4 +234,4 @@ def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     done = snapshots.versions(spark, f"{root}/rounds")
     last = done[-1] if done else -1
     out = {t: snapshots.read_range(spark, f"{root}/{t}", kind, last - 1, last) for t, kind in TABLES.items()}
-    return out | {"activity": snapshots.read_range(spark, f"{root}/activity", ACTIVITY, -1, last).transform(last_events)}
+    return out | {"activity": activity_table(root).rows(spark, before=last + 1)}
