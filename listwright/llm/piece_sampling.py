@@ -10,15 +10,16 @@ left falls into one set per edge of that path (same path so far, another edge he
 with a value of its own below the one that was taken.
 
 No piece joins a letter to something else or goes on to the next space mark, so the lattice is
-a chain of the lattices of such runs, and those are remembered within a worker.
+a chain of the lattices of such runs, and those are remembered within a worker, by a 64-bit hash
+of their characters.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -35,8 +36,13 @@ PIECES = "piece_bpe_32k.model"
 SPACE = "▁"
 # Letters, without the small digits that Python counts among them.
 _LETTER = re.compile(r"[^\W\d_²³¹]")
-_RUN = re.compile(f"{SPACE}*[^\\W\\d_²³¹]+|{SPACE}*(?:[^\\w{SPACE}]+|[\\d_²³¹]+)+|{SPACE}+")
-_MOST_EDGES = 5_000_000
+# Edges that a worker remembers, some 30 bytes each with their share of places and runs; a text
+# that needs more by itself gets more while it lasts.
+_MOST_EDGES = 4_000_000
+# Characters of new runs whose edges are worked out at once, and of runs that are hashed at once.
+_LEARNT = 1 << 16
+_HASHED = 1 << 20
+_OTHER, _LETTERS, _MARK = 1, 2, 3
 
 
 def _hash_of(text: str) -> np.uint64:
@@ -95,20 +101,56 @@ class Lattices:
         shown = list(self.pieces)
         for byte, i in self.bytes.items():
             shown[i] = chr(byte) if byte < 128 else ""
-        self.shown_size = np.fromiter(map(len, shown), np.int64, len(shown))
-        self.shown_from = np.cumsum(self.shown_size) - self.shown_size
+        self.shown_size = np.fromiter(map(len, shown), np.int32, len(shown))
+        self.shown_from = (np.cumsum(self.shown_size) - self.shown_size).astype(np.int32)
         self.shown_chars = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32)
         self.high = np.zeros(len(self.pieces), bool)
         self.high[[i for byte, i in self.bytes.items() if byte >= 128]] = True
-        kinds = {"begin": np.int64, "end": np.int64, "edge_from": np.int32, "chance": np.float64, "sum": np.float64,
-                 "to": np.int32, "logp": np.float64, "rest": np.float32, "code_from": np.int32, "code": np.int32}
-        self.flat = {k: np.zeros(1 << 18, t) for k, t in kinds.items()}
+        edges = _MOST_EDGES
+        kinds = {"begin": (np.int64, edges // 8), "end": (np.int64, edges // 8), "edge_from": (np.int32, edges // 2),
+                 "chance": (np.float64, edges // 2), "sum": (np.float64, edges), "to": (np.int32, edges),
+                 "logp": (np.float64, edges), "code": (np.int32, edges),
+                 "spell_from": (np.int32, 1 << 16), "spell_code": (np.int32, 1 << 16)}
+        # Untouched zeros take no memory.
+        self.flat = {k: np.zeros(n + 1, t) for k, (t, n) in kinds.items()}
+        self.kind = np.zeros(0x110000, np.int8)
         self.forget()
 
     def forget(self) -> None:
         """Begin anew, in the arrays that are there."""
-        self.run: dict[str, int] = {}
-        self.count = dict.fromkeys(("run", "node", "edge", "code"), 0)
+        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.count = dict.fromkeys(("run", "node", "edge", "spell", "byte"), 0)
+
+    def cuts(self, chars: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Where runs begin, of texts one after the other whose spaces are marks.
+
+        A run is marks and the letters behind them, or marks and whatever else.
+        """
+        kind = self.kind[chars]
+        if not kind.all():
+            for c in np.unique(chars[kind == 0]).tolist():
+                self.kind[c] = _MARK if chr(c) == SPACE else _LETTERS if _LETTER.match(chr(c)) else _OTHER
+            kind = self.kind[chars]
+        mark = kind == _MARK
+        first = np.ones(len(chars), bool)
+        first[1:] = ~mark[:-1] & (kind[1:] != kind[:-1])
+        first[bound[:-1][bound[1:] > bound[:-1]]] = True
+        return np.flatnonzero(first)
+
+    def hashed(self, chars: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of characters one after the other, as ``_hash_of`` gives them."""
+        out = np.empty(len(start), np.uint64)
+        lo = 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + _HASHED, "right")))
+            base, n = start[lo], int(stop[hi - 1] - start[lo])
+            power, inverse = powers(n)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(mixed(chars[base : base + n].astype(np.uint64)) * power[:n], out=sums[1:])
+            a, b = start[lo:hi] - base, stop[lo:hi] - base
+            out[lo:hi] = mixed((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+            lo = hi
+        return out
 
     def _pieces(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among those of the pieces, or -1."""
@@ -128,10 +170,8 @@ class Lattices:
             self.flat[name] = have = more
         have[at : at + len(values)] = values
 
-    def _learn(self, runs: list[str]) -> None:
+    def _learn(self, text: np.ndarray, size: np.ndarray) -> None:
         """Edges of new runs, the best of each place first, with chances given the place."""
-        text = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.fromiter(map(len, runs), np.int64, len(runs))
         n, stop = len(text), np.cumsum(size)
         ahead = np.repeat(stop, size) - np.arange(n)
         power, inverse = powers(n + 1)
@@ -194,50 +234,66 @@ class Lattices:
         lead[start[best]] = best
         for values in (end, piece, logp):
             values[first], values[lead] = values[lead], values[first]
-        chance = np.exp(logp)
-        # Each place is summed on its own, so that its sums depend on neither the batch nor what is known.
-        upto, final = chance.copy(), first + count - 1
-        longer = first
-        for i in range(1, int(count.max())):
-            longer = longer[count[start[longer]] > i]
-            upto[longer + i] += upto[longer + i - 1]
-        upto = np.minimum(upto, 1.0)
+        # Chances in 53 bits: their running sums over all places are exact modulo 2**64, so those of a
+        # place depend on neither the batch nor what is known.
+        sums = np.cumsum((np.exp(logp) * (1 << 53)).astype(np.uint64), dtype=np.uint64)
+        before = np.append(np.uint64(0), sums)[first]
+        upto = np.minimum((sums - np.repeat(before, count)).astype(np.float64) * 2.0**-53, 1.0)
+        final = first + count - 1
         upto[final] = 1.0
-        codes = np.ones(len(piece), np.int64)
+        r, base, edges, spells, known = (self.count[k] for k in ("run", "node", "edge", "spell", "byte"))
+        # An edge's code is its piece, or below 0 the number of a spelling in bytes.
         spelt = np.flatnonzero(piece < 0)
-        codes[spelt] = [len(spelled[-1 - i]) for i in piece[spelt]]
-        code_from = np.cumsum(codes) - codes
-        code = np.zeros(int(codes.sum()), np.int32)
-        code[code_from[piece >= 0]] = piece[piece >= 0]
-        for e in spelt.tolist():
-            raw = spelled[-1 - piece[e]]
-            code[code_from[e] : code_from[e] + len(raw)] = [self.bytes[b] for b in raw]
-        r, base, edges, known = (self.count[k] for k in ("run", "node", "edge", "code"))
+        raws = [spelled[-1 - i] for i in piece[spelt]]
+        piece[spelt] = -1 - spells - np.arange(len(spelt))
+        spelling = np.array([self.bytes[b] for raw in raws for b in raw], np.int32)
+        spell_from = known + np.cumsum([0, *map(len, raws)])
         alone = first == final
-        # What the other edges of a place weigh together.
-        with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(-np.expm1(np.minimum(logp, 0.0)), 0.0))
-        rest[first[alone]] = -np.inf
         # The place behind a run is the next run's first one; a walk stops there.
         for name, at, values in (
             ("begin", r, base + stop - size), ("end", r, base + stop),
             ("edge_from", base, edges + np.append(first, len(start))), ("chance", base, np.where(alone, 2.0, upto[first])),
-            ("sum", edges, upto), ("to", edges, base + end), ("logp", edges, logp), ("rest", edges, rest),
-            ("code_from", edges, known + np.append(code_from, len(code))), ("code", known, code),
+            ("sum", edges, upto), ("to", edges, base + end), ("logp", edges, logp),
+            ("code", edges, piece), ("spell_from", spells, spell_from), ("spell_code", known, spelling),
         ):
             self._put(name, at, values)
-        self.run.update(zip(runs, range(r, r + len(runs)), strict=True))
-        self.count = {"run": r + len(runs), "node": base + n, "edge": edges + len(start), "code": known + len(code)}
+        self.count = {"run": r + len(size), "node": base + n, "edge": edges + len(start),
+                      "spell": spells + len(spelt), "byte": known + len(spelling)}
 
     def places(self, runs: list[str]) -> np.ndarray:
-        if self.count["edge"] > _MOST_EDGES:
+        """The number of each run's lattice."""
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        stop = np.cumsum(size)
+        return self.placed(np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32), stop - size, stop)
+
+    def placed(self, chars: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The numbers of the lattices of runs of characters; new runs are learnt in small slices."""
+        hashes, at, which = np.unique(self.hashed(chars, start, stop), return_index=True, return_inverse=True)
+        size = (stop - start)[at]
+
+        def unknown() -> np.ndarray:
+            near = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+            return np.flatnonzero(self.known[near] != hashes) if len(self.known) else np.arange(len(hashes))
+
+        new = unknown()
+        # A character has two or three edges.
+        if self.count["edge"] + 3 * int(size[new].sum()) > _MOST_EDGES and len(self.known):
             self.forget()
-        place = np.fromiter(map(self.run.get, runs, repeat(-1)), np.int64, len(runs))
-        new = np.flatnonzero(place < 0).tolist()
-        if new:
-            self._learn(list(dict.fromkeys(runs[i] for i in new)))
-            place[new] = [self.run[runs[i]] for i in new]
-        return place
+            new = unknown()
+        numbers = self.count["run"] + np.arange(len(new))
+        upto = np.cumsum(size[new])
+        lo = 0
+        while lo < len(new):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _LEARNT, "right")))
+            own = size[new[lo:hi]]
+            ends = np.cumsum(own)
+            self._learn(chars[np.repeat(start[at[new[lo:hi]]] - (ends - own), own) + np.arange(int(ends[-1]))], own)
+            lo = hi
+        if len(new):
+            to = np.searchsorted(self.known, hashes[new])
+            self.known = np.insert(self.known, to, hashes[new])
+            self.known_at = np.insert(self.known_at, to, numbers)
+        return self.known_at[np.searchsorted(self.known, hashes)][which] if len(hashes) else np.zeros(0, np.int64)
 
     def next_edges(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each place, by a uniform number."""
@@ -281,12 +337,18 @@ class Lattices:
 
     def codes(self, edges: np.ndarray) -> np.ndarray:
         """The piece ids of edges one after the other."""
-        lo = self.flat["code_from"][edges].astype(np.int64)
-        n = self.flat["code_from"][edges + 1] - lo
-        if (n == 1).all():
-            return self.flat["code"][lo]
+        code = self.flat["code"][edges]
+        spelt = np.flatnonzero(code < 0)
+        if not len(spelt):
+            return code
+        lo = self.flat["spell_from"][-1 - code[spelt]].astype(np.int64)
+        n = np.ones(len(code), np.int64)
+        n[spelt] = self.flat["spell_from"][-code[spelt]] - lo
+        out = np.repeat(code, n)
         ends = np.cumsum(n)
-        return self.flat["code"][np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        for at, begin, many in zip((ends - n)[spelt].tolist(), lo.tolist(), n[spelt].tolist(), strict=True):
+            out[at : at + many] = self.flat["spell_code"][begin : begin + many]
+        return out
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -307,6 +369,13 @@ def _below(mass: np.ndarray, u: np.ndarray, bound: float) -> np.ndarray:
     return value
 
 
+def marked(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of texts one after the other, marks for spaces and one in front; an empty text has none."""
+    size = np.fromiter(((len(t) + 1 if t else 0) for t in texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(SPACE + t for t in texts if t).encode("utf-32-le"), np.uint32)
+    return np.where(chars == 0x20, np.uint32(ord(SPACE)), chars), np.append(0, np.cumsum(size))
+
+
 class Sampler:
     """Draws k distinct segmentations of each text; equal keys draw alike."""
 
@@ -320,29 +389,45 @@ class Sampler:
         ``value`` is the perturbed log-probability. ``inclusion`` is the probability that the
         path is among the k, given the value of the best path left out; 1 if there is none.
         """
-        k, seed = self.cfg.k, mixed(np.array([self.cfg.seed], np.uint64))[0]
-        split = [_RUN.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        runs = [r for rs in split for r in rs]
-        count = np.array(list(map(len, split)), np.int64)
-        bound = np.concatenate([[0], np.cumsum(count)])
-        place = self.lattices.places(runs)
+        seed, lattices = mixed(np.array([self.cfg.seed], np.uint64))[0], self.lattices
+        chars, bound = marked(texts)
+        start = lattices.cuts(chars, bound)
+        place = lattices.placed(chars, start, np.append(start[1:], len(chars)))
+        bound = np.searchsorted(start, bound)
+        count = np.diff(bound)
         doc_key = mixed(keys.astype(np.int64).view(np.uint64) ^ seed)
-        own = np.arange(len(runs)) - np.repeat(bound[:-1], count)
+        own = np.arange(len(start)) - np.repeat(bound[:-1], count)
         run_key = mixed(np.repeat(doc_key, count) + (own.astype(np.uint64) << np.uint64(24)))
-        walks = [self.lattices.walks(place, mixed(run_key + (np.uint64(j) << np.uint64(56)))) for j in range(k)]
-        for d in range(len(texts)):
-            with np.errstate(over="ignore"):
-                found = self._search(doc_key[d], walks, place, int(bound[d]), int(bound[d + 1]))
-            yield found
-
-    def _search(self, key: np.uint64, walks: list, place: np.ndarray, lo: int, hi: int) -> list:
+        searches = [self._search(doc_key[d], place, int(bound[d]), int(bound[d + 1])) for d in range(len(texts))]
+        found: list = [None] * len(texts)
+        given: list = [None] * len(texts)
+        for j in range(self.cfg.k + 1):
+            # Every search goes on to its next path, and says from which run on it wants fresh draws.
+            wants = []
+            for d, search in enumerate(searches):
+                if found[d] is None:
+                    try:
+                        with np.errstate(over="ignore"):
+                            wants.append((d, search.send(given[d])))
+                    except StopIteration as end:
+                        found[d], given[d] = end.value, None
+            if not wants:
+                break
+            many = np.array([bound[d + 1] - lo for d, lo in wants], np.int64)
+            ends = np.cumsum(many)
+            runs = np.repeat(np.array([lo for _, lo in wants], np.int64) - (ends - many), many) + np.arange(int(ends[-1]))
+            edges, at = lattices.walks(place[runs], mixed(run_key[runs] + (np.uint64(j) << np.uint64(56))))
+            for (d, _), lo, hi in zip(wants, (ends - many).tolist(), ends.tolist(), strict=True):
+                given[d] = edges[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        yield from found
+
+    def _search(self, key: np.uint64, place: np.ndarray, lo: int, hi: int) -> Generator[int, tuple[np.ndarray, np.ndarray], list]:
+        """Samples of the runs from lo to hi. Yields a run, and gets drawn paths of the runs from there on."""
         flat, k = self.lattices.flat, self.cfg.k
         if lo == hi:
             return [(np.zeros(0, np.int32), 0.0, 0.0, 1.0)]
         noise = lambda j, n: _uniform(key + (np.uint64(j + 1) << np.uint64(48)) + np.arange(n, dtype=np.uint64))
-        edges, at = walks[0]
-        path = edges[at[lo] : at[hi]]
-        firsts = at[lo : hi + 1] - at[lo]
+        path, firsts = yield lo
         found, sets = [], []
         value = float(_gumbel(noise(0, 1))[0])
         barred: dict[tuple[int, int], set[int]] = {}
@@ -353,7 +438,9 @@ class Sampler:
             if j == 0:
                 begin, origin = 0, None
             # What is left of the set this path came from: at its first free edge other edges are barred too.
-            left = flat["rest"][path]
+            # What the other edges of a place weigh together; a single edge's weight is 0.
+            with np.errstate(divide="ignore"):
+                left = np.log(-np.expm1(np.minimum(steps, 0.0)))
             left[:begin] = -np.inf
             if origin is not None:
                 owner, t = origin
@@ -373,7 +460,9 @@ class Sampler:
             taken = barred.get((i, t), {int(owner_path[t])})
             barred[j + 1, t] = taken
             origin, begin = (j + 1, t), t
-            path, firsts = self._detour(key, j + 1, owner_path, owner_firsts, t, taken, walks[j + 1], place, lo, hi)
+            run = int(np.searchsorted(owner_firsts, t, "right")) - 1
+            fresh = yield lo + run + 1
+            path, firsts = self._detour(key, j + 1, owner_path, owner_firsts, t, taken, fresh, place, lo)
         out = []
         for path, logp, v, _ in found:
             inclusion = -np.expm1(-np.exp(min(logp - value, 50.0))) if np.isfinite(value) else 1.0
@@ -385,9 +474,9 @@ class Sampler:
         run = int(np.searchsorted(firsts, t, "right")) - 1
         return int(self.lattices.flat["begin"][place[lo + run]] if t == firsts[run] else self.lattices.flat["to"][path[t - 1]])
 
-    def _detour(self, key, j, path, firsts, t, taken, fresh, place, lo, hi):
-        """The path up to edge t, another edge there, and drawn edges from then on."""
-        flat, edges, at = self.lattices.flat, fresh[0], fresh[1]
+    def _detour(self, key, j, path, firsts, t, taken, fresh, place, lo):
+        """The path up to edge t, another edge there, and drawn edges from then on, ``fresh`` behind its run."""
+        flat, (rest, at) = self.lattices.flat, fresh
         run = int(np.searchsorted(firsts, t, "right")) - 1
         node = self._node(path, place, lo, firsts, t)
         options = [e for e in range(int(flat["edge_from"][node]), int(flat["edge_from"][node + 1])) if e not in taken]
@@ -399,11 +488,23 @@ class Sampler:
         while (node := int(flat["to"][edge])) < stop:
             edge = int(self.lattices.next_edges(np.array([node]), np.array([next(draws)]))[0])
             tail.append(edge)
-        rest = edges[at[lo + run + 1] : at[hi]]
         new = np.concatenate([path[:t], np.array(tail, np.int64), rest])
-        starts = np.concatenate([firsts[: run + 1], at[lo + run + 1 : hi + 1] - at[lo + run + 1] + t + len(tail)])
+        starts = np.concatenate([firsts[: run + 1], at + t + len(tail)])
         return new, starts
 
+    def spells(self, ids: np.ndarray, chars: np.ndarray, text: str) -> bool:
+        """Whether decoding the ids gives the text, whose characters ``marked`` has given."""
+        own = self.lattices
+        if SPACE in text or own.high[ids].any():
+            return self.decode(ids) == text
+        size = own.shown_size[ids]
+        upto = np.cumsum(size, dtype=np.int32)
+        if (upto[-1] if len(ids) else 0) != len(chars):
+            return False
+        shown = np.repeat(own.shown_from[ids] - (upto - size), size)
+        shown += np.arange(len(chars), dtype=np.int32)
+        return bool((own.shown_chars[shown] == chars).all())
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; byte pieces are put together."""
         own = self.lattices
@@ -446,6 +547,7 @@ def sampled(docs: DataFrame, cfg: Settings = Settings(), path: str | None = None
             few = (column.slice(i, 64).to_pylist() for i in range(0, len(column), 64))
             for texts in slices(chain.from_iterable(few), 1 << 19):
                 who, number, ids, logp, value, inclusion, whole = [], [], [], [], [], [], []
+                chars, bound = marked(texts)
                 for d, samples in enumerate(own.sample(texts, keys[at : at + len(texts)])):
                     for s, (codes, p, v, q) in enumerate(samples):
                         who.append(at + d)
@@ -454,7 +556,7 @@ def sampled(docs: DataFrame, cfg: Settings = Settings(), path: str | None = None
                         logp.append(p)
                         value.append(v)
                         inclusion.append(q)
-                        whole.append(own.decode(codes) == texts[d])
+                        whole.append(own.spells(codes, chars[bound[d] : bound[d + 1]], texts[d]))
                 bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(who, pa.int64())), pa.array(number, pa.int32()),
