@@ -93,6 +93,22 @@ def test_one_large_group_costs_links_as_its_titles(spark):
     assert sorted((r.group_id, r.n_listings, r["count"]) for r in got) == [("00000", 2000, 2000), ("n00000", 1200, 1200)]
 
 
+@pytest.mark.parametrize("cfg", [Likeness(), Likeness(few=1, tile=8)])
+def test_many_prices_of_alike_titles_cost_chains(spark, cfg):
+    """Chains of prices of alike titles overlap, touch and stay apart; titles are compared once."""
+    rnd = random.Random(11)
+    titles = ["coastal bakery and catering", "coastal bakery and caterin", "coastal bakeryx and catering", "northern motel"]
+    rows = [(f"{i:04}", rnd.choice("ab"), None, rnd.choice(titles), "VIC", int(1000 * 1.03 ** rnd.randrange(400))) for i in range(260)]
+    rows += [(f"d{i:03}", rnd.choice("ab"), None, rnd.choice(titles), "SA", 1000 + 2 * i) for i in range(240)]
+    rows += [("e1", "a", None, titles[0], "WA", 0), ("e2", "b", None, titles[1], "WA", 0), ("e3", "b", None, titles[1], "WA", 1)]
+    df = spark.createDataFrame(rows, ROWS).repartition(3)
+    _, classes = duplicates._classes(df, cfg)
+    links = duplicates.alike_links(duplicates._by_rarity(classes.filter("block LIKE 'SA%'")), cfg).distinct().count()
+    got = {(r.id, r.group_id, r.n_listings) for r in duplicates.likely_duplicates(df, cfg).collect()}
+    assert classes.count() == 10 and links <= 3
+    assert got == brute(rows, cfg)
+
+
 def test_strong_groups_on_the_listing_table(spark):
     rows = [("1", "x", "Ref 7", "Cafe", "VIC", 10), ("2", "y", "ref-7", "Bar", "VIC", 11), ("3", "x", "", "p", "SA", 1), ("4", "y", " - ", "q", "SA", 1),
             ("5", "x", "9", "p", None, 1), ("6", "x", "9", "p", "SA", None)]
