@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from listwright import config as C
 from listwright.functions import text as X
-from listwright.functions.joins import spread
+from listwright.functions.joins import joined, spread
+from listwright.session import written
 
 
 def by_url(listings: DataFrame) -> DataFrame:
@@ -25,22 +26,20 @@ def route_inspections(requests: DataFrame, listings: DataFrame) -> DataFrame:
     """
     named = F.nullif(F.col("listing_id"), F.lit(""))
     url = F.nullif(F.col("url"), F.lit(""))
-    asked = requests.withColumns({"listing_id": named, "url": url}).withColumns(
-        {
-            "_id": spread(F.col("listing_id"), "url", "requested_at"),
-            "_url": spread(F.col("url"), "listing_id", "requested_at"),
-        }
-    )
+    asked = requests.withColumns({"listing_id": named, "url": url}).withColumns({"_id": F.col("listing_id"), "_url": F.col("url")})
+    # Read several times: a request moves once for each key it has, and not at all without one.
+    asked = written(asked, "asked")
     ids = listings.select(
         F.col("id").alias("_id"), F.col("id").alias("i_id"),
         F.col("processing_state").alias("i_state"), F.col("last_fetched").alias("i_fetched"),
     )
-    # Only the URLs asked for are grouped; a small batch costs the store no shuffle.
-    wanted = asked.filter(F.col("url").isNotNull()).select(F.col("url").alias("canonical_url")).distinct()
-    urls = by_url(listings.join(wanted, "canonical_url", "left_semi")).withColumnRenamed("url", "_url")
     # All requests of a batch for one new URL are answered with the stub of the first one.
     firsts = asked.filter(F.col("url").isNotNull()).groupBy("_url").agg(F.min("requested_at").alias("_first_at"))
-    joined = asked.join(ids, "_id", "left").join(urls, "_url", "left").join(firsts, "_url", "left")
+    # Only the URLs asked for are grouped; a small batch costs the store no shuffle.
+    wanted = firsts.select(F.col("_url").alias("canonical_url"))
+    urls = by_url(listings.join(wanted, "canonical_url", "left_semi")).withColumnRenamed("url", "_url")
+    at_url = firsts.join(urls, "_url", "left")
+    found = joined(joined(asked, ids, "_id"), at_url, "_url")
     with_id = F.col("listing_id").isNotNull()
     bad = ~with_id & (F.col("url").isNull() | ~X.is_market_url(F.col("url")))
     state = F.when(with_id, F.col("i_state")).otherwise(F.col("u_state"))
@@ -59,7 +58,7 @@ def route_inspections(requests: DataFrame, listings: DataFrame) -> DataFrame:
     )
     hit = F.when(with_id, F.col("i_id")).otherwise(F.col("u_id"))
     checked = F.when(with_id, F.col("i_fetched")).otherwise(F.col("u_fetched"))
-    return joined.withColumn("status", status).select(
+    return found.withColumn("status", status).select(
         *requests.columns,
         "status",
         F.when(F.col("status") == "created", made)

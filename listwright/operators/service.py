@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from listwright import config as C
 from listwright.config import RuleConfig
 from listwright.functions import text as X
-from listwright.functions.joins import spread
+from listwright.functions.joins import joined
 from listwright.operators import cycle, digest, requests, state
 from listwright.schemas import LISTINGS, conform
 from listwright.session import written
@@ -57,27 +57,35 @@ def inspect_batch(
     many requests name it. Cards of listings finished by this batch go to the outbox under a
     key of listing and content, so a replay sends nothing new.
     """
-    stored = conform(listings, LISTINGS)
+    stored = written(conform(listings, LISTINGS), "inspect-listings")
     routed = written(requests.route_inspections(asked, stored), "inspections")
     new = routed.filter("status = 'created'").select("url", "requested_at", F.col("request_id").cast("long").alias("seq"))
-    stored = written(state.upsert_stubs(stored, state.unknown_url_stubs(new)), "inspected")
-    named = routed.filter(F.col("status").isin("queued", "created")).select(F.col("answer_id").alias("id")).distinct()
-    work = written(stored.join(named, "id", "left_semi"), "inspect-work")
-    fetched = pages.filter(F.col("http_status") == 200).join(work.select("id"), "id", "left_semi")
+    stubs = written(state.unknown_url_stubs(new), "inspect-stubs")
+    waiting, found = (routed.filter(F.col("status").isin(*s)).select(F.col("answer_id").alias("id")).distinct()
+                      for s in (("queued", "created"), ("found",)))
+    # Rows that the batch may change or show are parted from the others once; nothing moves those again.
+    seen = stored.join(stubs.select(*state.KEY).distinct(), list(state.KEY), "left_semi").select("id")
+    named = waiting.unionByName(seen).withColumn("moving", F.lit(True)).unionByName(found.withColumn("moving", F.lit(False)))
+    named = written(named.filter("id IS NOT NULL").groupBy("id").agg(F.max("moving").alias("moving")), "inspect-named")
+    others = stored.filter("id IS NOT NULL").join(named, "id", "left_anti")
+    mine = written(stored.join(named, "id").unionByName(stored.filter("id IS NULL").withColumn("moving", F.lit(True))), "inspect-mine")
+    shown = mine.filter("NOT moving").drop("moving")
+    moving = written(state.upsert_stubs(mine.filter("moving").drop("moving"), stubs), "inspected")
+    work = written(moving.join(waiting, "id", "left_semi"), "inspect-work")
+    fetched = written(pages.filter(F.col("http_status") == 200).join(work.select("id"), "id", "left_semi"), "inspect-pages")
     details = adapters.union_details(fetched, readers, config)
     results = written(cycle.extract_and_classify(work, fetched, details, cfg, replies), "inspect-results")
-    current = written(cycle.apply_results(stored, work, results, now), "inspected")
+    changed = written(cycle.apply_results(moving, work, results, now), "inspect-changed")
 
-    hit = F.when(F.col("status") == "found", F.col("answer_id"))
-    cards = stored.select(F.col("id").alias("_id"), digest.inspection_text().alias("card"))
-    wanted = routed.filter("status = 'found'").select(F.col("answer_id").alias("_id")).distinct()
-    keyed = routed.withColumn("_id", spread(hit, "request_id"))
-    answers = keyed.join(cards.join(wanted, "_id", "left_semi"), "_id", "left").select(
+    carded = shown.unionByName(moving.join(found, "id", "left_semi"))
+    cards = carded.select(F.col("id").alias("_id"), digest.inspection_text().alias("card"))
+    keyed = routed.withColumn("_id", F.when(F.col("status") == "found", F.col("answer_id")))
+    answers = joined(keyed, cards, "_id").select(
         "request_id", "status", "answer_id", "last_checked",
         inspection_message(F.col("status"), F.col("listing_id"), F.col("url")).alias("message"), "card")
-    done = current.join(results.filter("not parse_failed").select("id"), "id", "left_semi")
+    done = changed.join(results.filter("not parse_failed").select("id"), "id", "left_semi")
     key = F.concat_ws(":", F.lit("inspection"), "id", "content_hash")
-    return Inspected(answers, current, digest.outbox(done, "inspection", key, digest.inspection_text()))
+    return Inspected(answers, others.unionByName(shown).unionByName(changed), digest.outbox(done, "inspection", key, digest.inspection_text()))
 
 
 @dataclass(frozen=True)

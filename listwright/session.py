@@ -79,7 +79,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     executor by reading them again.
     """
     path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -54,6 +54,29 @@ def test_look_ups_are_answered_and_worked_on(spark):
     assert nothing.answers.count() == 0 and nothing.listings.count() == 5
 
 
+def test_a_batch_moves_the_rows_it_names(spark, monkeypatch):
+    """Of a large store only what is asked for, or what a new URL turns out to be, is written again."""
+    kept = {}
+
+    def spy(df, purpose, write=service.written):
+        kept[purpose] = write(df, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(service, "written", spy)
+    stored = listings(
+        spark, *({"id": f"l{i}", "processing_state": ("done", "new")[i % 2], "last_fetched": T0} for i in range(200)),
+        {"id": "old", "source_listing_id": "77", "processing_state": "done", "fit_outcome": "promising"})
+    asked = [(0, "l0", None, T0), (1, "l1", None, T0), (2, None, "https://www.business2sell.com.au/businesses-details/cafe-77.php", T0), (3, "nobody", None, T0)]
+    out = service.inspect_batch(spark.createDataFrame(asked, ASKED), stored, spark.createDataFrame([], PAGES), F.lit(NOW).cast("timestamp"))
+    assert {p: df.count() for p, df in kept.items() if p.startswith("inspect") and p not in ("inspect-listings", "inspections")} == {
+        "inspect-stubs": 1, "inspect-named": 4, "inspect-mine": 3, "inspected": 2, "inspect-work": 1, "inspect-pages": 0, "inspect-results": 0, "inspect-changed": 2}
+    after = {r.id: r for r in out.listings.collect()}
+    assert len(after) == out.listings.count() == 201
+    assert after["l1"].processing_state == "retry" and after["l3"].processing_state == "new" and after["l0"].processing_state == "done"
+    assert after["old"].title == "On-demand inspection" and after["old"].canonical_url.endswith("cafe-77.php")
+    assert [r.card is not None for r in out.answers.orderBy("request_id").collect()] == [True, False, False, False]
+
+
 def test_reviews_leave_the_next_digest(spark):
     stored = listings(spark, *({"id": i, "processing_state": "done", "fit_outcome": "promising"} for i in "abcd"))
     activity = spark.createDataFrame([], ACTIVITY)
