@@ -76,14 +76,21 @@ def tens(k: Column, by: int) -> Column:
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as stored listings."""
-    o = table(spark, folder, "orders")
+    return _as_listings(_brokered(spark, folder))
+
+
+def _brokered(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("broker_name"))
+    return table(spark, folder, "orders").join(names, "o_custkey", "left")
+
+
+def _as_listings(orders: DataFrame, *more: str) -> DataFrame:
     k = F.col("o_orderkey")
     seen = F.col("o_orderdate").cast("timestamp")
     stage = pick(PROCESSING, k)
     done = stage == "done"
     outcome = F.when(F.col("o_orderstatus") == "P", "promising").when(F.col("o_orderstatus") == "O", "needs_information").otherwise("excluded")
-    return o.join(names, "o_custkey", "left").select(
+    return orders.select(
         k.alias("k"),
         F.concat_ws(":", "o_orderpriority", k.cast("string")).alias("id"),
         F.col("o_orderpriority").alias("source"),
@@ -106,6 +113,7 @@ def listings(spark: SparkSession, folder: str) -> DataFrame:
         F.when(stage == "retry", seen + F.make_dt_interval(hours=(k % 50).cast("int"))).alias("next_retry"),
         F.when(stage == "processing", seen + F.make_dt_interval(hours=(k % 48).cast("int"))).alias("lease_claimed_at"),
         pick(REVIEWS, tens(k, 10)).alias("review_state"),
+        *more,
     )
 
 
@@ -212,25 +220,30 @@ _SQL["v_rules"] = (("v_listings", "v_facts", "v_desc"), """
 
 
 def full_listings(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored listings with facts, as after extraction."""
-    return with_facts(listings(spark, folder), facts(spark, folder))
+    """Stored listings with facts, as after extraction.
+
+    Facts join the bare orders, so that no text made of them goes through a shuffle.
+    """
+    known = facts(spark, folder).withColumnsRenamed({"sector": "sector_code", "k": "o_orderkey"})
+    rows = _brokered(spark, folder).join(known, "o_orderkey", "left")
+    return _with_statements(_as_listings(rows, *(c for c in known.columns if c != "o_orderkey")))
 
 
 def with_facts(stored: DataFrame, known: DataFrame) -> DataFrame:
-    f = known.withColumnRenamed("sector", "sector_code")
+    return _with_statements(stored.join(known.withColumnRenamed("sector", "sector_code"), "k", "left"))
+
+
+def _with_statements(rows: DataFrame) -> DataFrame:
     price, ebitda = F.col("asking_price"), F.col("ebitda")
     ratio = F.when((price > 0) & (ebitda > 0), F.floor(F.try_divide(price.cast("double"), ebitda.cast("double")) * 10 + 0.5) / 10)
-    return (
-        stored.join(f, "k", "left")
-        .withColumns(
-            {
-                "revenue_raw": F.when(F.col("revenue").isNotNull() & (F.col("k") % 8 != 0), F.concat(F.lit("$"), F.col("revenue").cast("string"), F.lit(" p.a."))),
-                "ebitda_raw": F.when(F.col("ebitda").isNotNull() & (F.col("k") % 8 == 1), F.concat(F.lit("EBITDA $"), F.col("ebitda").cast("string"))),
-                "asking_multiple": ratio,
-                "fit_reasons": F.when(F.col("k") % 9 != 0, F.array(F.lit("Tier 1 sector"), F.concat(F.lit("Signal "), (F.col("k") % 3).cast("string")), F.lit("NDIS: caution"), F.lit("Licensed"), F.lit("Tenure"))),
-                "missing_facts": F.when(F.col("k") % 4 != 0, F.array(F.lit("EBITDA not disclosed"), F.lit("Location not identified"), F.lit("Revenue not disclosed"))),
-            }
-        )
+    return rows.withColumns(
+        {
+            "revenue_raw": F.when(F.col("revenue").isNotNull() & (F.col("k") % 8 != 0), F.concat(F.lit("$"), F.col("revenue").cast("string"), F.lit(" p.a."))),
+            "ebitda_raw": F.when(F.col("ebitda").isNotNull() & (F.col("k") % 8 == 1), F.concat(F.lit("EBITDA $"), F.col("ebitda").cast("string"))),
+            "asking_multiple": ratio,
+            "fit_reasons": F.when(F.col("k") % 9 != 0, F.array(F.lit("Tier 1 sector"), F.concat(F.lit("Signal "), (F.col("k") % 3).cast("string")), F.lit("NDIS: caution"), F.lit("Licensed"), F.lit("Tenure"))),
+            "missing_facts": F.when(F.col("k") % 4 != 0, F.array(F.lit("EBITDA not disclosed"), F.lit("Location not identified"), F.lit("Revenue not disclosed"))),
+        }
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from listwright import config as C
 from listwright.operators import digest, service
+from listwright.plans import views
 from listwright.schemas import ACTIVITY, LISTINGS
 
 T0 = datetime(2024, 5, 1)
@@ -91,3 +92,11 @@ def test_reviews_leave_the_next_digest(spark):
     assert {r.id: r.review_state for r in out.listings.collect()} == {"a": "pursue", "b": "watch", "c": "new", "d": "new"}
     replay = service.review_batch(reviews, out.listings, out.activity)
     assert out.activity.count() == replay.activity.count() == 3
+
+
+def test_stored_listings_join_facts_before_texts_are_made(spark, tmp_path):
+    for name in ("orders", "customer", "lineitem", "part"):
+        spark.createDataFrame([], views.SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = views.full_listings(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.index("https://bsale") < plan.index("Join") and rows.count() == 0
