@@ -50,10 +50,12 @@ def unpack(sizes: list[int], data: bytes, n: int, width: int, kind: str) -> np.n
         planes.append(np.frombuffer(press.decompress(data[at : at + size]), np.uint8))
         at += size
     if kind == "bit":
-        bits = np.unpackbits(np.stack(planes), axis=1, count=n)
-        raw = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    else:
-        raw = np.ascontiguousarray(np.stack(planes).T)
+        # Plane by plane over whole arrays, without turning the bits of each id around.
+        ids = np.zeros(n, f"<u{width // 8}")
+        for k, bits in enumerate(np.unpackbits(np.stack(planes), axis=1, count=n)):
+            ids |= bits.astype(ids.dtype) << k
+        return ids
+    raw = np.ascontiguousarray(np.stack(planes).T)
     return np.ascontiguousarray(raw).view(f"<u{width // 8}").reshape(n)
 
 

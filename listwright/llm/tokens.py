@@ -8,9 +8,10 @@ a text with any other character goes through the tokenizer whole.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -56,10 +57,12 @@ class WordEncoder:
 
     def _learn(self, cuts: list[str]) -> None:
         one = self.tokenizer.model.tokenize
-        found = [[t.id for t in one(c.encode().decode("latin-1").translate(_AS_LETTERS))] for c in cuts]
+        # Printable ASCII stands for itself.
+        spelt = [c if c.isascii() and c.isprintable() else c.encode().decode("latin-1").translate(_AS_LETTERS) for c in cuts]
+        found = [[t.id for t in one(c)] for c in spelt]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         total = int(lengths.sum())
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, total)
         n, m = len(self.place), len(cuts)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -73,7 +76,19 @@ class WordEncoder:
         self.place.update(zip(cuts, range(n, n + m), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in one array, and the place where each text begins."""
+        """All ids of the texts in one array, and the place where each text begins.
+
+        Millions of strings are made here and no cycles, so the collector of cycles waits.
+        """
+        waits = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if waits:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > _REMEMBERED:
             self.forget()
         known = [bool(_LATIN.fullmatch(t)) and not (self.special and "<|" in t) for t in texts]

@@ -481,3 +481,33 @@ def test_segmentations(spark):
             assert sampler.decode(np.array(r.ids, np.int64)) == (texts[r.doc_id] or "")
     assert len(per[7]) == 2 and per[0] == per[1] == {()}
     assert piece_sampling.sampled(docs_of(spark, [])).count() == 0
+
+
+def test_no_cycles_are_looked_for_while_encoding():
+    import gc
+
+    from listwright.llm import tokens
+
+    enc, seen = tokens.WordEncoder(), []
+    texts = [" ".join(f"word{i}x{j} ~\x01é" for j in range(200)) for i in range(100)]
+    gc.collect()
+    gc.callbacks.append(lambda phase, info: seen.append((phase, gc.isenabled())))
+    try:
+        ids, bounds = enc.encode(texts)
+    finally:
+        gc.callbacks.pop()
+    assert len([s for s in seen if s[0] == "start"]) <= 1 and gc.isenabled()
+    want = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+
+
+def test_planes_of_any_width_are_read_back():
+    from listwright.llm import bit_planes
+
+    rng = np.random.default_rng(4)
+    for width, top in ((16, 1 << 16), (32, 1 << 32)):
+        for n in (1, 7, 8, 1001):
+            ids = rng.integers(0, top, n).astype(f"<u{width // 8}")
+            for kind in ("bit", "byte"):
+                back = bit_planes.unpack(*bit_planes.pack(ids, width, kind), n, width, kind)
+                assert back.dtype == ids.dtype and (back == ids).all()
