@@ -489,7 +489,8 @@ def test_no_cycles_are_looked_for_while_encoding():
     from listwright.llm import tokens
 
     enc, seen = tokens.WordEncoder(), []
-    texts = [" ".join(f"word{i}x{j} ~\x01é" for j in range(200)) for i in range(100)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("w" + "".join(p) + a + b + " ~\x01é" for p in itertools.product(letters, repeat=2)) for a in letters for b in letters[:2]]
     gc.collect()
     gc.callbacks.append(lambda phase, info: seen.append((phase, gc.isenabled())))
     try:
